@@ -1,8 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, quality classifier, near duplicates, personal data, packing.
 
-STAGES = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. Every stage works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.llm import ngram_join, packing, pii, quality_classifier, quality_rules
+from evidentia.llm.common import materialise
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the base rules or the certified cutoffs reject. Rows that share an id stand or fall together."""
+    judged = quality_rules.judge(docs, _labels(spark, sf_dir)).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
+    return docs.join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are predicted to be of low quality, by a model of the labels of two thirds of them."""
+    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1
+    model = quality_classifier.fit_on(docs, _labels(spark, sf_dir).filter(~held_out))
+    scored = quality_classifier.score(docs.withColumn("_text", F.col("text")), model, "_text")
+    return scored.filter("predicted = 1").select(docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class; all documents without an id."""
+    classes = ngram_join.near_duplicate_classes(docs)
+    gone = classes.filter("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; n_chars follows."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all pieces into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("quality classifier", quality_classifier_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("personal data", personal_data_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: None: the classifier, the exact join's components and the packing are not for SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs)
+    return docs
