@@ -36,7 +36,7 @@ from .components import connected_components
 #: Documents that may have a pivot candidate before it is late in the order.
 FREQUENT = 32
 #: Documents of a region whose pairs are counted; larger regions become cells at once.
-SMALL = 12
+SMALL = 48
 #: Documents of a cell that one task joins; more are joined block by block.
 CELL = 2048
 _MASK = U((1 << 62) - 1)
@@ -73,11 +73,11 @@ def _documents(batch: pa.RecordBatch, size: int):
 
 
 def _candidates(size: int, part: Fraction):
-    """(token, n): pivot candidates of the order by hash, a quarter more than needed, with the documents of a batch that have them."""
+    """(token, n): pivot candidates of the order by hash, an eighth more than needed, with the documents of a batch that have them."""
 
     def run(batches):
         for batch in batches:
-            own = [s[: (p := len(s) - _needed(len(s), part) + 1) + p // 4] for _, s in _documents(batch, size) if len(s)]
+            own = [s[: (p := len(s) - _needed(len(s), part) + 1) + p // 8] for _, s in _documents(batch, size) if len(s)]
             tokens, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, U), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
@@ -222,9 +222,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sets = found.filter("n > 0 and id is not null").select("id", "n", "fp1", "fp2")
     classes = materialise(sets.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")))
     shown = found.join(classes.select(F.col("rep").alias("id"), "fp1", "fp2", "n"), ["id", "fp1", "fp2", "n"], "left_semi")
-    regions = shown.select(F.explode("pivots").alias("token"), F.col("id").alias("rep"), "n", "last").repartition("token")
+    regions = shown.select(F.explode("pivots").alias("token"), F.col("id").alias("rep")).repartition("token")
     shared = regions.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").drop("high")
-    cells = materialise(_cells(materialise(regions.join(shared.hint("shuffle_hash"), "token")), part))
+    places = found.select(F.col("id").alias("rep"), "n", "last").dropDuplicates(["rep"])
+    cells = materialise(_cells(materialise(regions.join(shared.hint("shuffle_hash"), "token")).join(places, "rep"), part))
 
     wanted = spark.sparkContext.broadcast(bitmap(cells, "member"))
     members = docs.mapInArrow(_sets(size, wanted), "member long, shingles binary")
