@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import tune
 
@@ -241,4 +242,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
             texts = [None if x is None else own.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*schema.fieldNames(), out_col])
 
-    return encoded.mapInArrow(run, schema.add(out_col, "string"))
+    return encoded.mapInArrow(run, T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))

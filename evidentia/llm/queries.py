@@ -160,7 +160,7 @@ bad AS (
   FROM cut JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]{1,18})', 1) AS BIGINT) GROUP BY page_id),
 hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k,
-    array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+    regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, list_extract(string_split(host, '.'), -1) AS suffix
   FROM cut LEFT JOIN bad USING (page_id) GROUP BY host),
 known AS (SELECT * FROM hosts WHERE n > 0),
 total AS (SELECT sum(k) / sum(n)::DOUBLE AS mean FROM known),
