@@ -18,9 +18,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the base rules or the certified cutoffs reject. Rows that share an id stand or fall together."""
-    judged = quality_rules.judge(docs, _labels(spark, sf_dir)).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
-    return docs.join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Drop documents that the base rules or the certified cutoffs reject."""
+    return quality_rules.keep(docs, _labels(spark, sf_dir)).select(docs.columns)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +31,11 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class; all documents without an id."""
+    """Keep the document with the smallest id of each class, once; all documents without an id."""
     classes = ngram_join.near_duplicate_classes(docs)
     gone = classes.filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

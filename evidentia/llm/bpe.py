@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import map_batches, tune
 
 #: Chunks that a worker remembers; then it starts afresh.
 CACHE = 250_000
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode_batch(_texts(batch.column(1))), pa.binary())], ["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -242,4 +242,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
             texts = [None if x is None else own.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*schema.fieldNames(), out_col])
 
-    return encoded.mapInArrow(run, T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))
+    return map_batches(encoded, run, T.StructType([*schema.fields, T.StructField(out_col, T.StringType())]))

@@ -6,7 +6,9 @@ turned into Python strings. A word's hash depends on its bytes alone, so it is t
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import uuid
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch: texts can be long, and two Python workers share an executor's memory.
 BATCH_ROWS = 1000
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: log2 of the bits in a broadcast bitmap: 2 MB, whatever the size of the data.
 BITMAP_LOG2 = 24
 
@@ -30,6 +32,23 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow whose workers give memory back after each partition: idle ones stay beside those of the next stage."""
+
+    def frugal(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return df.mapInArrow(frugal, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -130,7 +149,7 @@ def _words(data: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np
     after[-1], after[:-1] = True, space[1:]
     starts = np.flatnonzero(~space & (before | breaks[:-1]))
     ends = np.flatnonzero(~space & (after | breaks[1:]))
-    up, down = _powers(max(21, int(n).bit_length()))
+    up, down = _powers(max(20, int(n).bit_length()))
     sums = np.cumsum(_byte_values(fold)[data] * up[:n])
     value = sums[ends] - np.where(starts > 0, sums[starts - 1], U(0))
     hashes = mix(value * down[starts] + (ends - starts).astype(U))

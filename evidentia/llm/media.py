@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tune
+from .common import map_batches, materialise, tune
 
 #: A PNG row: 64 pixels of three 8-bit samples. Payloads are padded to whole rows.
 ROW = 192
@@ -101,7 +101,7 @@ def store(docs: DataFrame, id_cols: list[str], payload_col: str = "text") -> Dat
                 media.append(made)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["id", "n_bytes", "digest", "media"])
 
-    return plain.mapInArrow(run, f"id {kind}, n_bytes long, digest string, media binary").select("id.*", "n_bytes", "digest", "media")
+    return map_batches(plain, run, f"id {kind}, n_bytes long, digest string, media binary").select("id.*", "n_bytes", "digest", "media")
 
 
 class _Parser(HTMLParser):
@@ -175,7 +175,7 @@ def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_html(x) for x in batch.column(1).to_pylist()], item)], ["row", "items"])
 
-    return plain.mapInArrow(run, f"row {kind}, items {ITEMS}").select("row.*", "items")
+    return map_batches(plain, run, f"row {kind}, items {ITEMS}").select("row.*", "items")
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def describe(media: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    found = media.select("digest", "media").filter("media is not null").mapInArrow(run, f"digest string, {FACTS}")
+    found = map_batches(media.select("digest", "media").filter("media is not null"), run, f"digest string, {FACTS}")
     return found.dropDuplicates(["digest"])
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bitmap, in_bitmap, materialise, mix, tune, word_slices
+from .common import U, bitmap, in_bitmap, map_batches, materialise, mix, tune, word_slices
 from .components import connected_components
 
 #: Documents that may have a pivot candidate before it is late in the order.
@@ -215,9 +215,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark, part = docs.sparkSession, Fraction(str(threshold)).limit_denominator(1000)
     tune(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counted = docs.mapInArrow(_candidates(size, part), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs, _candidates(size, part), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     late = spark.sparkContext.broadcast(bitmap(counted.filter(F.col("n") > FREQUENT), "token"))
-    found = materialise(docs.mapInArrow(_pivots(size, part, late), "id long, n long, fp1 long, fp2 long, last long, pivots array<long>"))
+    found = materialise(map_batches(docs, _pivots(size, part, late), "id long, n long, fp1 long, fp2 long, last long, pivots array<long>"))
 
     sets = found.filter("n > 0 and id is not null").select("id", "n", "fp1", "fp2")
     classes = materialise(sets.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")))
@@ -228,13 +228,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     cells = materialise(_cells(materialise(regions.join(shared.hint("shuffle_hash"), "token")).join(places, "rep"), part))
 
     wanted = spark.sparkContext.broadcast(bitmap(cells, "member"))
-    members = docs.mapInArrow(_sets(size, wanted), "member long, shingles binary")
+    members = map_batches(docs, _sets(size, wanted), "member long, shingles binary")
     large = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
     blocks = cells.join(large, "cell").withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     keyed = blocks.select(F.struct("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("key"), "member")
     keyed = keyed.join(members, "member").select(F.to_json("key").alias("key"), "member", "shingles")
-    links = keyed.repartition("key").sortWithinPartitions("key", "member").mapInArrow(_join_cells(part), "a long, b long")
+    links = map_batches(keyed.repartition("key").sortWithinPartitions("key", "member"), _join_cells(part), "a long, b long")
     components = connected_components(links)
 
     reps = classes.join(components, classes["rep"] == components["node"], "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("rep"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tune
+from .common import map_batches, materialise, tune
 
 #: Items that a group packs at once; their rows fit a worker's memory many times over.
 GROUP = 40_000
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_c
             yield pa.RecordBatch.from_arrays(kept, ["id", "piece", "start", "length", "ids_crc32", "ids"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("id", "doc_id")
+    return map_batches(plain, run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("id", "doc_id")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

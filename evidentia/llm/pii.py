@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tune
+from .common import map_batches, materialise, tune
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; a pattern's least score and distinct seeds to be believed.
@@ -121,7 +121,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", reliable: float
     docs = docs.drop("spans", "more")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = keyed.schema["row"].dataType.simpleString()
-    found = materialise(keyed.mapInArrow(_extract, f"key {kind}, spans {SPANS}, contexts array<struct<pattern:string,instance:string,kind:string,start:long,end:long>>").withColumn("id", F.monotonically_increasing_id()))
+    found = materialise(map_batches(keyed, _extract, f"key {kind}, spans {SPANS}, contexts array<struct<pattern:string,instance:string,kind:string,start:long,end:long>>").withColumn("id", F.monotonically_increasing_id()))
     seen = found.select("id", F.explode("contexts").alias("c")).select("id", "c.*")
     graph = seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
     good = score_patterns(graph, rounds).filter((F.col("score") >= reliable) & (F.col("seeds") >= seeds)).select("pattern", F.col("kind").alias("of"))

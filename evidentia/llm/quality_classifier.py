@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, string_buffers, tune, word_slices
+from .common import U, map_batches, mix, string_buffers, tune, word_slices
 
 #: Labelled rows that a model is fitted on at most; log2 of the number of hashed indicators.
 SAMPLE, LOG2 = 6000, 18
@@ -147,7 +147,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = half[0].unionByName(half[1])
     # at most `sample` rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    table = texts.select("label", "text").mapInArrow(_grams_of, "label int, grams array<int>").toArrow()
+    table = map_batches(texts.select("label", "text"), _grams_of, "label int, grams array<int>").toArrow()
     grams = [np.asarray(g, np.int64) for g in table["grams"].combine_chunks().to_numpy(zero_copy_only=False)] if len(table) else []
     got = table["label"].to_numpy() if len(table) else np.zeros(0, np.int64)
     order = sorted(range(len(got)), key=lambda k: (got[k], len(grams[k]), grams[k][:8].tolist(), int(grams[k].sum())))  # tasks end in any order
@@ -177,5 +177,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores[first : first + n] = own.scores(own.margins(row, gram, n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["row", "score"])
 
-    scored = plain.mapInArrow(run, f"row {kind}, score double")
+    scored = map_batches(plain, run, f"row {kind}, score double")
     return scored.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -24,6 +24,8 @@ SYMBOLS = r"[#*$%&|<>]"
 ALPHA, DELTA = 0.02, 0.05
 #: Tails of more terms are bounded by Chernoff's inequality, which certifies less, never more.
 TERMS = 10_000
+#: Strata whose cutoffs are broadcast at most.
+STRATA = 10_000
 #: Statistics in thousandths; a document passes a rule up to the cutoff.
 RULES = ("symbols", "duplicate_lines", "repeats", "word_length")
 LADDERS = {
@@ -81,8 +83,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(among(words))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(id_col, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines) of each row.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False) -> DataFrame:
+    """(id_col, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines) of each row; with whole, also the row itself as `row`.
 
     A null or empty text has no words. Rows that repeat stay; a null stratum is the stratum ''; other columns are ignored.
     """
@@ -101,8 +103,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _let(words_of(text), of_words).alias("w"),
         _let(lines, of_lines).alias("l"),
         F.when(text.rlike(SYMBOLS), F.regexp_count(text, F.lit(SYMBOLS))).otherwise(0).cast("long").alias("n_symbols"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []),
     )
-    return found.select(id_col, "stratum", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    return found.select(*(["row"] if whole else []), id_col, "stratum", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
 
 
 def values() -> dict[str, Column]:
@@ -141,6 +144,24 @@ def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     return certified.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES])
 
 
+def _verdicts(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """stats with base_failed and kept. The cutoffs are broadcast if there are at most STRATA of them; otherwise they are joined as they come."""
+    limits = materialise(limits)
+    side = F.broadcast(limits) if limits.count() <= STRATA else limits
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    joined = stats.join(side, "stratum", "left").withColumn("base_failed", failed)
+    kept = ~F.col("base_failed")
+    for rule, value in values().items():
+        kept = kept & F.coalesce(value <= F.col(rule), F.lit(True))
+    return joined.withColumn("kept", kept)
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that judge() keeps. Statistics are written beside their rows, so that no text is shuffled."""
+    stats = materialise(statistics(docs, id_col, text_col, stratum_col, whole=True))
+    return _verdicts(stats, cutoffs(stats.drop("row"), labels, id_col, label_col, alpha, delta)).filter("kept").select("row.*")
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Statistics of each row with base_failed and kept.
 
@@ -148,11 +169,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     without labels has none. Null or empty texts fail; every row stays; an empty table gives an empty result.
     """
     stats = materialise(statistics(docs, id_col, text_col, stratum_col))
-    limits = cutoffs(stats, labels, id_col, label_col, alpha, delta)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    joined = stats.join(limits, "stratum", "left").withColumn("base_failed", failed)
-    passed = [F.coalesce(value <= F.col(rule), F.lit(True)) for rule, value in values().items()]
-    kept = ~F.col("base_failed")
-    for rule in passed:
-        kept = kept & rule
-    return joined.select(id_col, "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    judged = _verdicts(stats, cutoffs(stats, labels, id_col, label_col, alpha, delta))
+    return judged.select(id_col, "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import map_batches, tune
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
         held = ledger.select("blob", F.explode("scanned").alias("s")).groupBy("blob").agg(F.collect_set("s").alias("scanned"))
         todo = texts.select("blob").distinct().join(held, "blob", "left").select("blob", F.array_except(wanted, F.coalesce("scanned", F.expr("array()"))).alias("todo"))
         texts = texts.join(todo.filter(F.size("todo") > 0), "blob").select("blob", "text", "todo")
-    found = texts.mapInArrow(_scan(rules), f"blob string, scanned array<string>, findings {FINDINGS}")
+    found = map_batches(texts, _scan(rules), f"blob string, scanned array<string>, findings {FINDINGS}")
     # several tasks can hold copies of a blob; their rows are equal
     return found.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.first("findings").alias("findings"))
 
