@@ -122,3 +122,16 @@ def widen(hits: DataFrame, least: int) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("q").orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_ = per.withColumn("before", before).filter(F.col("before") < least).select("q", "stage")
     return first.join(open_, ["q", "stage"], "left_semi")
+
+
+def inherited(tree: DataFrame, depth: int) -> DataFrame:
+    """(node, source, depth, rank) of a tree (node, parent, priority, local): scopes within so many levels up, at the least rank and depth. A level adds
+    100000 and its priority; nothing is inherited through a local scope; parent 0 is none."""
+    step = tree.select(F.col("node").alias("source"), "parent", "priority")
+    locals_ = tree.select(F.col("node").alias("parent"), F.col("local").alias("shut"))
+    found = now = tree.select("node", F.col("node").alias("source"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), "local")
+    for _ in range(depth):
+        up = now.filter("not coalesce(local, false)").join(step, "source").filter("parent != 0").join(locals_, "parent", "left")
+        now = up.select("node", F.col("parent").alias("source"), (F.col("depth") + 1).alias("depth"), (F.col("rank") + 100000 + F.col("priority")).alias("rank"), F.col("shut").alias("local"))
+        found = found.unionByName(now)
+    return found.groupBy("node", "source").agg(F.min("depth").alias("depth"), F.min("rank").alias("rank"))

@@ -145,13 +145,13 @@ def epistemic_weights(spark, sf):
     return table(spark, sf, "events").select("event_id", w.alias("w")).select("event_id", F.round("w.attention", 6).alias("attention"), F.round("w.trust", 6).alias("trust"), F.round("w.effective", 6).alias("effective"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'k' || turn WHEN turn % 5 = 1 THEN 'slot:claim:' || conv_id || ':' || role || ':' || turn || ':' || md5(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) WHEN turn % 5 = 2 THEN 'event:claim:' || conv_id || ':' || role || ':e' || turn || ':' || md5(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) ELSE 's' || conv_id || ':' END AS correlation_key FROM conversations WHERE regexp_matches(text, '^[ -~\\s]*$')""".replace("\\\\", "\\"))
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'k' || turn WHEN turn % 5 = 1 THEN 'slot:claim:' || conv_id || ':' || role || ':' || turn || ':' || md5(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) WHEN turn % 5 = 2 THEN 'event:claim:' || conv_id || ':' || role || ':e' || turn || ':' || md5(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) ELSE 's' || conv_id || ':' END AS correlation_key FROM conversations""".replace("\\\\", "\\"))
 def correlation_keys(spark, sf):
-    """The first key that makes two observations one, over ASCII turns (case rules differ between engines elsewhere)."""
+    """The first key that makes two observations one."""
     t = F.col("turn")
     none = F.lit(None).cast("string")
     key = E.correlation_key(F.when(t % 5 == 0, F.concat(F.lit("k"), t.cast("string"))), none, F.when(t % 5 == 1, t), F.col("text"), F.when(t % 5 == 2, F.concat(F.lit("e"), t.cast("string"))), F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.lit("claim"), F.col("conv_id").cast("string"), F.col("role"))
-    return table(spark, sf, "conversations").filter(F.col("text").rlike(r"^[ -~\s]*$")).select("conv_id", "turn", key.alias("correlation_key"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", key.alias("correlation_key"))
 
 
 @query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'model' ELSE 'unknown' END AS origin, CASE role WHEN 'user' THEN 'attested' ELSE 'candidate' END AS level, CASE role WHEN 'user' THEN 2 WHEN 'assistant' THEN 0 ELSE 1 END AS rank FROM conversations""")

@@ -1 +1,184 @@
-"""Queries."""
+"""Vector and graph queries. The supplied vectors are close to random: floors are .20 to .25 here, and a label stands in for a topic."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import values as V
+from ..operators import graph as G
+from ..operators import vector as X
+from .registry import query, table
+
+CORE, ATTACH, FLOOR = 0.25, 0.22, 0.20
+
+_SIMS = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity >= {floor}), near AS (SELECT * FROM k WHERE rank <= 12)
+"""
+_EDGES = _SIMS.format(floor=FLOOR) + """, g AS (SELECT least(q, id) AS a, greatest(q, id) AS b, max(similarity) AS similarity FROM near GROUP BY ALL),
+edges AS (SELECT g.*, CASE WHEN x.label = y.label AND (a + b) % 97 = 0 THEN 'CONTRADICTS' WHEN x.label = y.label AND similarity >= 0.35 THEN 'EQUIVALENT' WHEN x.label = y.label AND similarity >= 0.30 THEN 'REFINES' WHEN x.label = y.label THEN 'SAME_TOPIC' ELSE 'RELATED' END AS relation
+FROM g JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b)
+"""
+
+
+def edges(spark, sf):
+    """Neighbour graph with relations by label."""
+    e = table(spark, sf, "embeddings")
+    g = X.neighbor_graph(e, 12, FLOOR)
+    label = lambda c: e.select(F.col("vec_id").alias(c), F.col("label").alias(f"of_{c}"))
+    known = g.join(label("a"), "a").join(label("b"), "b")
+    return X.relation(known, F.col("of_a") == F.col("of_b"), (F.col("a") + F.col("b")) % 97 == 0, 0.35, 0.30).select("a", "b", "similarity", "relation")
+
+
+@query(_SIMS.format(floor=-1) + "SELECT q, id, similarity, rank FROM k WHERE rank <= 5 AND q % 20 = 0")
+def knn_topk(spark, sf):
+    """Five nearest vectors of every twentieth one, against all."""
+    e = table(spark, sf, "embeddings")
+    return X.top_k(e.filter("vec_id % 20 = 0"), e, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_EDGES + "SELECT a, b, similarity FROM g")
+def neighbor_graph(spark, sf):
+    """Unordered pairs of 12 nearest neighbours."""
+    return edges(spark, sf).select("a", "b", "similarity")
+
+
+@query(_EDGES + "SELECT a, b, relation FROM edges")
+def relation_types(spark, sf):
+    """Relation of each neighbour pair by the first rule that fits."""
+    return edges(spark, sf).select("a", "b", "relation")
+
+
+@query(_SIMS.format(floor=-1) + """, d AS (SELECT q, id, similarity * 2 AS s2, x.label = y.label AS topic, CASE WHEN x.label <> y.label OR similarity * 2 < 0.90 THEN NULL WHEN (q + id) % 3 = 0 AND (q + id) % 2 = 0 THEN 'challenges' WHEN (q + id) % 3 = 0 AND similarity * 2 >= 0.94 THEN 'reinforces' ELSE 'refines' END AS d FROM k JOIN v x ON x.vec_id = q JOIN v y ON y.vec_id = id WHERE rank <= 12)
+SELECT q, coalesce(arg_min(d, struct_pack(s := -s2, i := id)) FILTER (d IS NOT NULL), 'novel') AS decision, coalesce(arg_min(id, struct_pack(s := -s2, i := id)) FILTER (d IS NOT NULL), -1) AS by FROM d GROUP BY q""")
+def vector_admission(spark, sf):
+    """Decision on each statement by its nearest ones; similarities are doubled to reach the thresholds."""
+    e = table(spark, sf, "embeddings")
+    near = X.top_k(e, e, 12)
+    label = lambda c: e.select(F.col("vec_id").alias(c), F.col("label").alias(f"of_{c}"))
+    n, both = near.join(label("q"), "q").join(label("id"), "id"), F.col("q") + F.col("id")
+    same = F.col("of_q") == F.col("of_id")
+    return X.vector_admission(n.select("q", "id", (F.col("similarity") * 2).alias("similarity"), (same & (both % 3 == 0)).alias("same_statement"), same.alias("same_topic"), (both % 2 == 0).alias("opposite"))).na.fill({"by": -1})
+
+
+@query()
+def cluster_cores(spark, sf):
+    """Bridge-safe cores and their fringe: an ordered fold per component, tested on hand-made graphs."""
+    return G.clusters(edges(spark, sf), CORE, ATTACH)
+
+
+@query()
+def cluster_metrics(spark, sf):
+    """Density, cohesion, boundary and separation of the clusters."""
+    e = edges(spark, sf)
+    return G.cluster_metrics(G.clusters(e, CORE, ATTACH), e)
+
+
+@query(_EDGES + """SELECT x.label AS cluster, count(DISTINCT CASE WHEN y.label = x.label THEN least(a, b) END) AS linked,
+ round(avg(similarity) FILTER (x.label = y.label), 6) AS cohesion, round(max(similarity) FILTER (x.label <> y.label), 6) AS boundary
+FROM (SELECT a, b, similarity FROM edges UNION ALL SELECT b, a, similarity FROM edges) JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b GROUP BY x.label""")
+def label_metrics(spark, sf):
+    """Cohesion and boundary of labels taken as clusters."""
+    e = table(spark, sf, "embeddings")
+    g = edges(spark, sf)
+    both = g.select("a", "b", "similarity").unionByName(g.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    known = both.join(e.select(F.col("vec_id").alias("a"), F.col("label").alias("cluster")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("other")), "b")
+    same = F.col("cluster") == F.col("other")
+    return known.groupBy("cluster").agg(F.count_distinct(F.when(same, F.least("a", "b"))).alias("linked"), F.round(F.avg(F.when(same, F.col("similarity"))), 6).alias("cohesion"), F.round(F.max(F.when(~same, F.col("similarity"))), 6).alias("boundary"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT a, b FROM (SELECT o_custkey % 50000 AS a, (o_orderkey * 7) % 50000 AS b FROM orders) WHERE a <> b),
+e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
+w AS (SELECT s AS seed, s AS node, 0 AS depth FROM (VALUES (1), (2), (3), (4), (5)) AS t(s) UNION SELECT seed, b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 3)
+SELECT seed, node, min(depth) AS depth FROM w GROUP BY ALL""")
+def bfs_walk(spark, sf):
+    """Nodes within three steps of five seeds, at their nearest depth."""
+    o = table(spark, sf, "orders")
+    e = o.select((F.col("o_custkey") % 50000).cast("int").alias("a"), (F.col("o_orderkey") * 7 % 50000).cast("int").alias("b")).filter("a != b").distinct()
+    return G.walk(spark.range(1, 6).select(F.col("id").cast("int").alias("seed")), e, 3)
+
+
+_TREE = "SELECT 1000 + r_regionkey AS node, 0 AS parent, CAST(10 AS INT) AS priority, FALSE AS local FROM region UNION ALL SELECT n_nationkey, 1000 + n_regionkey, n_nationkey % 3, FALSE FROM nation UNION ALL SELECT 100000 + c_custkey, c_nationkey, c_custkey % 5, c_custkey % 11 = 0 FROM customer"
+
+
+@query(f"""WITH RECURSIVE t AS ({_TREE}), w AS (SELECT node, node AS source, 0 AS depth, 0 AS rank, local FROM t UNION ALL SELECT w.node, t.parent, depth + 1, rank + 100000 + t.priority, p.local FROM w JOIN t ON t.node = w.source LEFT JOIN t p ON p.node = t.parent WHERE depth < 4 AND t.parent <> 0 AND NOT coalesce(w.local, FALSE))
+SELECT node, source, min(depth) AS depth, min(rank) AS rank FROM w GROUP BY ALL""")
+def scope_resolution(spark, sf):
+    """Scopes that a node inherits from, up to four levels, not through local ones; the least rank and depth of each."""
+    t = (
+        table(spark, sf, "region").select((1000 + F.col("r_regionkey")).cast("long").alias("node"), F.lit(0).cast("long").alias("parent"), F.lit(10).alias("priority"), F.lit(False).alias("local"))
+        .unionByName(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (1000 + F.col("n_regionkey")).cast("long").alias("parent"), (F.col("n_nationkey") % 3).alias("priority"), F.lit(False).alias("local")))
+        .unionByName(table(spark, sf, "customer").select((100000 + F.col("c_custkey")).alias("node"), F.col("c_nationkey").cast("long").alias("parent"), (F.col("c_custkey") % 5).cast("int").alias("priority"), (F.col("c_custkey") % 11 == 0).alias("local")))
+    )
+    from ..operators.retrieval import inherited
+
+    return inherited(t, 4)
+
+
+@query("""WITH f AS (SELECT label, vec_id % 2 AS half, count(*)::DOUBLE AS n FROM embeddings GROUP BY ALL), p AS (SELECT a.label AS x, b.label AS y FROM (SELECT DISTINCT label FROM f) a JOIN (SELECT DISTINCT label FROM f) b ON a.label < b.label),
+m AS (SELECT x, y, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))) AS o FROM p, (VALUES (0), (1)) h(half) LEFT JOIN f a ON a.label = x AND a.half = h.half LEFT JOIN f b ON b.label = y AND b.half = h.half GROUP BY ALL),
+sc AS (SELECT x, y, o, (x * 7 + y * 3) % 10 / 10.0::DOUBLE AS c FROM m),
+l AS (SELECT x, y, unnest([struct_pack(k := 0, label := 'SAME_REGION', s := 0.34 * 0.6 + 0.18 * o + 0.18 * o + 0.12 * 0.5 + 0.10 * 0.5 + 0.08 * 0.5 - 0.20 * c), struct_pack(k := 1, label := 'TOPIC_SPLIT', s := 0.35 * 0.4 + 0.30 * (1 - o) + 0.20 * (1 - o) + 0.15 * 0.5),
+ struct_pack(k := 2, label := 'TEMPORAL_TRANSITION', s := 0.24 * o + 0.20 * 0.5 + 0.14 * 0.5 + 0.12 * 0.5), struct_pack(k := 3, label := 'STATE_TRANSITION', s := 0.18 * o + 0.16 * 0.5 + 0.14 * 0.5 + 0.10 * 0.5 + 0.22 * c),
+ struct_pack(k := 4, label := 'NARRATIVE_SPLIT', s := 0.24 * o + 0.18 * o + 0.20 * 0.5 + 0.16 * c + 0.12 * c + 0.10 * 0.4), struct_pack(k := 5, label := 'CONTRADICTION_CLUSTER', s := 0.30 * c + 0.18 * c + 0.14 * c + 0.14 * c + 0.12 * 0.5 + 0.12 * 0.5),
+ struct_pack(k := 6, label := 'EXPERIENTIAL_BRANCH_CANDIDATE', s := 0.22 * o + 0.18 * o + 0.18 * 0.5 + 0.16 * 0.5 + 0.12 * 0.5 + 0.08 * c + 0.06 * c), struct_pack(k := 7, label := 'WORLD_BRANCH_CANDIDATE', s := 0.24 * o + 0.18 * o + 0.18 * 0.5 + 0.16 * c + 0.12 * c + 0.12 * 0.4)]) AS t FROM sc),
+r AS (SELECT x, y, t.label AS label, round(greatest(0, least(1, t.s)), 6) AS s, row_number() OVER (PARTITION BY x, y ORDER BY round(greatest(0, least(1, t.s)), 6) DESC, t.k) AS k FROM l)
+SELECT a.x, a.y, CASE WHEN a.s < 0.48 OR round(a.s - b.s, 6) < 0.04 THEN 'UNRESOLVED' ELSE a.label END AS label, a.s AS score FROM r a JOIN r b ON a.x = b.x AND a.y = b.y AND a.k = 1 AND b.k = 2""")
+def boundary_labels(spark, sf):
+    """Label of the boundary between each two labels' regions; what the data don't tell is neutral."""
+    e = table(spark, sf, "embeddings")
+    maps = e.groupBy("label").agg(F.array(F.sum(F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.0)), F.sum(F.when(F.col("vec_id") % 2 == 1, 1.0).otherwise(0.0))).alias("m"))
+    pairs = maps.select(F.col("label").alias("x"), F.col("m").alias("mx")).join(maps.select(F.col("label").alias("y"), F.col("m").alias("my")), F.col("x") < F.col("y"))
+    fold = lambda f: F.aggregate(F.zip_with("mx", "my", f), F.lit(0.0), lambda s, v: s + v)
+    p = pairs.withColumn("o", fold(lambda x, y: F.least(x, y)) / fold(lambda x, y: F.greatest(x, y))).withColumn("c", (F.col("x") * 7 + F.col("y") * 3) % 10 / 10.0)
+    half, o, c = F.lit(0.5), F.col("o"), F.col("c")
+    features = {"similarity": F.lit(0.6), "topic": o, "subject": o, "predicate": half, "world": half, "timeline": half, "conflict": c, "separation": F.lit(0.0), "state_like": c, "source": half, "overlap": c, "opposite": c, "exclusive": c, "instance": half, "origin": half}
+    s = X.boundary_scores(features, V.BOUNDARY_WEIGHTS, V.BOUNDARY_CONFIDENCE, V.BOUNDARY_MARGIN)
+    return p.select("x", "y", s.alias("s")).select("x", "y", "s.label", "s.score")
+
+
+@query(_SIMS.format(floor=-1) + """SELECT label, arg_min(vec_id, struct_pack(s := -m, i := vec_id)) AS medoid FROM (SELECT x.label, x.vec_id, round(avg(list_dot_product(x.e, y.e)), 6) AS m FROM v x JOIN v y ON x.label = y.label GROUP BY ALL) GROUP BY label""")
+def medoids(spark, sf):
+    """Member of each label with the highest mean cosine to all its members, from the label's mean vector: no pairs."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    means = e.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("mean"))
+    scored = e.join(means, "label").withColumn("m", F.round(X.cosine(F.col("embedding"), F.col("mean")), 6))
+    return scored.groupBy("label").agg(F.min(F.struct((-F.col("m")).alias("s"), "vec_id"))["vec_id"].alias("medoid"))
+
+
+@query("""SELECT 'g' || (c_custkey % 3) AS graph, 'customer:' || c_custkey AS s, p, o FROM (SELECT c_custkey, 'nation' AS p, 'nation:' || c_nationkey AS o FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer UNION ALL SELECT o_custkey, 'ordered', 'order:' || o_orderkey FROM orders)""")
+def quads(spark, sf):
+    """Rows as statements (graph, s, p, o)."""
+    from ..sources.quads import of
+
+    c = of(table(spark, sf, "customer"), "customer", "c_custkey", {"nation": F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")), "segment": F.col("c_mktsegment")}, F.concat(F.lit("g"), (F.col("c_custkey") % 3).cast("string")))
+    o = of(table(spark, sf, "orders"), "customer", "o_custkey", {"ordered": F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))}, F.concat(F.lit("g"), (F.col("o_custkey") % 3).cast("string")))
+    return c.unionByName(o)
+
+
+@query("""WITH q AS (SELECT 'customer:' || c_custkey AS s, 'nation:' || c_nationkey AS n, c_mktsegment AS seg FROM customer) SELECT n AS o, count(*) AS subjects, count(DISTINCT seg) AS segments FROM q GROUP BY n""")
+def quad_pattern(spark, sf):
+    """Two statement patterns that share a subject, counted per object."""
+    from ..sources.quads import match, of
+
+    q = of(table(spark, sf, "customer"), "customer", "c_custkey", {"nation": F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")), "segment": F.col("c_mktsegment")}, F.lit("g"))
+    return match(q, p="nation").select("s", "o").join(match(q, p="segment").select("s", F.col("o").alias("seg")), "s").groupBy("o").agg(F.count("*").alias("subjects"), F.count_distinct("seg").alias("segments"))
+
+
+@query("""SELECT id, s, version, value, decision FROM (WITH RECURSIVE w AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s, event_type AS value, epoch_us(ts) AS t FROM events),
+f AS (SELECT id, s, value, t, 1 AS version, 'ADMIT' AS decision FROM w WHERE s = 1
+UNION ALL SELECT f.id, w.s, CASE WHEN d = 'ADMIT' THEN w.value ELSE f.value END, CASE WHEN d = 'ADMIT' THEN w.t ELSE f.t END, CASE WHEN d = 'ADMIT' THEN f.version + 1 ELSE f.version END, d
+FROM f JOIN w ON w.id = f.id AND w.s = f.s + 1, LATERAL (SELECT CASE WHEN w.value = f.value THEN 'IDEMPOTENT' WHEN w.t = f.t THEN 'CONFLICT' WHEN w.t < f.t THEN 'UNDERDETERMINED' ELSE 'ADMIT' END AS d) x)
+SELECT * FROM f)""")
+def causal_scalar_fold(spark, sf):
+    """A state per user that events write in order of arrival: what each write did."""
+    from pyspark.sql import Window
+
+    from ..operators.causal import fold
+
+    e = table(spark, sf, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    w = e.select(F.col("user_id").alias("key"), seq.alias("seq"), F.col("event_id").alias("node"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("value"), F.lit("set").alias("event"), F.lit(False).alias("latent"))
+    return fold(w).select(F.col("key").alias("id"), F.col("seq").alias("s"), "version", "value", "decision")
+

@@ -1 +1,126 @@
-"""Queries."""
+"""Retrieval queries. Benchmark texts are queries, documents the corpus, orders and events stand in for memories."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import values as V
+from ..operators import retrieval as R
+from .registry import query, table
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + ")"
+_LEX = f"""WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]{{1,}}')) AS term FROM documents),
+idx AS (SELECT id, term, count(*) AS tf FROM tok WHERE term NOT IN {_STOP} GROUP BY ALL),
+qt AS (SELECT item_id AS q, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]{{1,}}')) AS term FROM benchmark), qu AS (SELECT DISTINCT q, term FROM qt WHERE term NOT IN {_STOP}),
+h AS (SELECT q, id, count(*) AS hits, round(sum(ln(1 + tf)), 6) AS score FROM idx JOIN qu USING (term) GROUP BY ALL),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, score DESC, id) AS rank FROM h) WHERE rank <= 50),
+fresh AS (SELECT * FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY n_chars DESC, id) AS rank FROM lex JOIN documents ON doc_id = id) WHERE rank <= 25),
+m AS (SELECT q, id, lex.rank AS lexical, fresh.rank AS size FROM lex FULL JOIN fresh USING (q, id)),
+rrf AS (SELECT q, id, lexical, size, round(coalesce(100.0 / (60 + lexical), 0) + coalesce(100.0 / (60 + size), 0) + CASE WHEN lang = 'en' THEN 0.10 ELSE 0 END, 6)::DOUBLE AS score FROM m JOIN documents ON doc_id = id)
+"""
+
+
+def _lexical(spark, sf):
+    terms = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9][a-z0-9_-]{1,}"), F.lit(0)), lambda t: ~t.isin(list(V.STOP_WORDS)))
+    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    queries = b.select(F.col("item_id").alias("q"), F.array_distinct(terms(F.col("text"))).alias("terms"))
+    return R.lexical(queries, R.term_index(d, "doc_id", terms(F.col("text"))), 50)
+
+
+def _fused(spark, sf):
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang", "source")
+    lex = _lexical(spark, sf)
+    near = lex.join(d, "id")
+    size = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n_chars"), "id"))).filter("rank <= 25")
+    boosts = near.filter("lang = 'en'").select("q", "id", F.lit(0.10).alias("boost"))
+    return R.reciprocal_ranks({"lexical": lex, "size": size}, boosts), d
+
+
+@query(_LEX + "SELECT q, id, hits, score, rank FROM lex WHERE rank <= 20")
+def lexical_search(spark, sf):
+    """Best documents of each query by term hits."""
+    return _lexical(spark, sf).filter("rank <= 20").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_LEX + "SELECT q, id, score FROM rrf")
+def rrf_search(spark, sf):
+    """Two rankings fused by reciprocal rank, with a boost."""
+    return _fused(spark, sf)[0].select("q", "id", "score")
+
+
+@query(_LEX + """, s AS (SELECT q, id, score, source, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, id) > 1 AS later FROM rrf JOIN documents ON doc_id = id),
+p AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY later, score DESC, id) AS place FROM s) SELECT q, id, place FROM p WHERE place <= 10""")
+def doc_diversity(spark, sf):
+    """First hit of each source, then the rest, ten per query."""
+    hits, d = _fused(spark, sf)
+    return R.diverse(hits.join(d, "id"), "source", 10).select("q", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang || '.' || source AS path, doc_id % 4 = 0 AS public FROM documents) SELECT doc_id FROM d WHERE (public OR path = 'en.src1' OR path LIKE 'en.src1.%' OR path LIKE 'fr.%') AND NOT (path LIKE '%.src3' OR path = 'de.src2')""")
+def acl_filter(spark, sf):
+    """Documents that are public or allowed, and not denied, by path prefixes."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws(".", "lang", "source").alias("path"), (F.col("doc_id") % 4 == 0).alias("public"))
+    rows = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    return R.visible(d, rows("en.src1", "fr"), rows("en.src3", "fr.src3", "de.src3", "es.src3", "de.src2")).select("doc_id")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, date_diff('hour', o_orderdate, TIMESTAMP '2002-01-01') AS age, o_totalprice / 500000 AS conf, o_custkey % 7 AS dist, o_orderstatus AS st, o_custkey % 13 = 0 AS active, o_custkey % 17 <> 0 AS vis, (o_orderkey % 10) / 10.0::DOUBLE AS sim, (o_orderkey % 13) / 10.0::DOUBLE AS sal, string_split(lower(o_orderpriority), '-') AS w FROM orders),
+o AS (SELECT *, len(list_intersect(w, ['1', 'urgent', 'x'])) / sqrt(len(list_distinct(w)) * 3.0) AS f FROM c)
+SELECT id, round(1.4 / (1 + ln(1 + age)) + f + 1.8 * sim + CASE WHEN active THEN 1.4 ELSE 0 END + least(1.2, sal) + 0.8 * least(1.0, conf) + 1.2 / (1 + dist) - CASE WHEN vis THEN 0 ELSE 100 END - CASE WHEN st = 'P' THEN 2 ELSE 0 END, 6) AS score FROM o""")
+def relevance_score(spark, sf):
+    """Relevance of orders as memories, as of a given time."""
+    o = table(spark, sf, "orders")
+    age = F.floor((F.unix_timestamp(F.lit("2002-01-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.date_trunc("hour", "o_orderdate"))) / 3600)
+    words = lambda *w: F.array(*map(F.lit, w))
+    status = F.when(F.col("o_orderstatus") == "P", "rejected").otherwise("held")
+    s = R.relevance(F.split(F.lower("o_orderpriority"), "-"), words("1", "urgent", "x"), F.array().cast("array<string>"), age, F.lit(0), F.col("o_orderkey") % 10 / 10.0, F.col("o_custkey") % 13 == 0, F.col("o_orderkey") % 13 / 10.0, F.col("o_totalprice") / 500000, F.col("o_custkey") % 7, F.col("o_custkey") % 17 != 0, status)
+    return o.select(F.col("o_orderkey").alias("id"), F.round(s, 6).alias("score"))
+
+
+@query()
+def recall_select(spark, sf):
+    """Memories of a customer that compete for twelve places: an ordered fold, tested on hand-made rows."""
+    o = table(spark, sf, "orders")
+    words = F.split(F.lower(F.concat_ws("-", "o_orderpriority", (F.col("o_orderkey") % 5).cast("string"))), "-")
+    return R.recall(o.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 50000, 6).alias("score"), words.alias("words"), F.lit(1).alias("polarity"), (F.col("o_orderstatus") == "F").alias("established")))
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS owner, turn AS id, CAST(ceil(length(text) / 4.0) AS INT) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT owner, id, cost, k, cost <= 300 AS fits, CASE WHEN cost <= 300 THEN cost ELSE 0 END AS used FROM c WHERE k = 1
+UNION ALL SELECT c.owner, c.id, c.cost, c.k, f.used + c.cost <= 300, CASE WHEN f.used + c.cost <= 300 THEN f.used + c.cost ELSE f.used END FROM f JOIN c ON c.owner = f.owner AND c.k = f.k + 1)
+SELECT owner, id, cost, CAST(row_number() OVER (PARTITION BY owner ORDER BY k) - 1 AS INT) AS place FROM f WHERE fits""")
+def budget_trim(spark, sf):
+    """Turns of a conversation that fit 300 tokens, in order, skipping what doesn't."""
+    c = table(spark, sf, "conversations")
+    return R.trim(c.select(F.col("conv_id").alias("owner"), F.col("turn").alias("id"), F.col("turn").alias("ord"), "text"), 300)
+
+
+@query("""WITH h AS (SELECT user_id AS q, event_id % 40 AS id, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS stage, max(value) AS score FROM events GROUP BY ALL),
+f AS (SELECT q, id, min(stage) AS stage FROM h GROUP BY ALL), n AS (SELECT q, stage, count(*) AS n FROM f GROUP BY ALL), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY q ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT f.q, f.id, f.stage, h.score FROM f JOIN b USING (q, stage) JOIN h ON h.q = f.q AND h.id = f.id AND h.stage = f.stage WHERE before < 12""")
+def staged_widening(spark, sf):
+    """Hits of the first stages that give a user twelve."""
+    e = table(spark, sf, "events")
+    stage = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 2).otherwise(3)
+    hits = e.groupBy(F.col("user_id").alias("q"), (F.col("event_id") % 40).alias("id"), stage.alias("stage")).agg(F.max("value").alias("score"))
+    return R.widen(hits, 12)
+
+
+@query()
+def query_passages(spark, sf):
+    """Densest passage of each query's best document."""
+    best = _lexical(spark, sf).filter("rank = 1").select("q", "id")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), T.research_terms(F.col("text")).alias("terms"))
+    return best.join(d, "id").join(terms, "q").select("q", "id", R.passage(F.col("text"), F.col("terms")).alias("p")).select("q", "id", "p.start", F.sha2("p.passage", 256).alias("digest"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_name, c_mktsegment, count(o_orderkey) AS n, count(DISTINCT o_orderpriority) AS kinds, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::BIGINT AS conflicts FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_name ILIKE '%7%' OR c_mktsegment ILIKE '%build%' GROUP BY ALL) SELECT id, n, kinds, conflicts FROM p""")
+def epistemic_search(spark, sf):
+    """Rows of which any field has a string, with counts and conflicts in one left join."""
+    c = table(spark, sf, "customer").filter(F.col("c_name").ilike("%7%") | F.col("c_mktsegment").ilike("%build%")).select("c_custkey")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("id")).agg(F.count("o_orderkey").alias("n"), F.count_distinct("o_orderpriority").alias("kinds"), F.sum(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("conflicts"))

@@ -191,12 +191,12 @@ def cross_source_copies(spark, sf):
     return found.filter("n > 1")
 
 
-@query("""WITH t AS (SELECT source AS domain, lang AS section, doc_id AS document, 't' || unnest([doc_id % 4, (doc_id + 1) % 4]) AS topic, 0.78 + (doc_id % 20) / 100.0 AS similarity FROM documents WHERE doc_id % 7 = 0),
+@query("""WITH t AS (SELECT source AS domain, lang AS section, doc_id AS document, 't' || unnest([doc_id % 4, (doc_id + 1) % 4]) AS topic, 0.78 + (doc_id % 20) / 100.0 AS similarity FROM documents),
 o AS (SELECT domain, section, document, topic, max(similarity) AS similarity FROM t GROUP BY ALL),
 p AS (SELECT a.domain, a.topic AS a, b.topic AS b, a.document, a.section, least(a.similarity, b.similarity) AS s FROM o a JOIN o b ON a.domain = b.domain AND a.section = b.section AND a.document = b.document AND a.topic < b.topic WHERE least(a.similarity, b.similarity) >= 0.78)
 SELECT domain, a, b, count(DISTINCT document) AS documents, count(DISTINCT section) AS sections, round(min(s), 4)::DOUBLE AS signal FROM p GROUP BY ALL HAVING count(DISTINCT document) >= 2""")
 def gap_pairs(spark, sf):
     """Topics that occur together in sections of at least two documents of a domain."""
-    d = table(spark, sf, "documents").filter("doc_id % 7 = 0")
+    d = table(spark, sf, "documents")
     t = d.select(F.col("source").alias("domain"), F.col("lang").alias("section"), F.col("doc_id").alias("document"), F.explode(F.array(F.col("doc_id") % 4, (F.col("doc_id") + 1) % 4)).alias("t"), (0.78 + (F.col("doc_id") % 20) / 100.0).alias("similarity"))
     return D.gap_pairs(t.withColumn("topic", F.concat(F.lit("t"), F.col("t").cast("string"))))
