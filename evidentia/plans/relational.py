@@ -24,8 +24,8 @@ relation("rel_either_direction", "SELECT s, count(*) AS n FROM (SELECT l_partkey
 relation("rel_range_join", "SELECT e.event_id, count(*) AS n FROM {events} e JOIN {events} f ON e.user_id = f.user_id AND f.event_id BETWEEN e.event_id - 500 AND e.event_id GROUP BY e.event_id")
 relation("rel_lateral", "SELECT c_custkey, t.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 relation("rel_semi_join", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-relation("rel_anti_join", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
-relation("rel_anti_null_safe", "SELECT c_custkey FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+relation("rel_anti_join", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+relation("rel_anti_null_safe", "SELECT c_custkey FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_totalprice > 250000 WHERE o_orderkey IS NULL")
 relation("rel_mark_join", "SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS finished FROM {customer}")
 relation("rel_unnest", "SELECT doc_id, count(DISTINCT w) AS words FROM (SELECT doc_id, explode(split(text, ' ')) AS w FROM {documents}) GROUP BY doc_id", "SELECT doc_id, count(DISTINCT w) AS words FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM {documents}) GROUP BY doc_id")
 relation("rel_group_having", "SELECT l_suppkey, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean FROM {lineitem} GROUP BY l_suppkey HAVING count(*) > 20")
@@ -112,8 +112,8 @@ def rel_update_delete(spark, sf):
     return delete_using(cleared, o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_acctbal")
 
 
-@query("""SELECT event_type, date_diff('minute', TIMESTAMP '2024-01-01', ts) // 1440 AS day, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL""")
+@query("""SELECT event_type, date_diff('minute', TIMESTAMP '2024-01-01', ts) // 1440 AS day, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY ALL""")
 def rel_job_rates(spark, sf):
     """Arrivals per type and day, as windows of event time."""
-    e = table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    e = table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"))
     return e.select("event_type", F.datediff(F.col("w.start"), F.lit("2024-01-01")).cast("long").alias("day"), "n", "mean")
