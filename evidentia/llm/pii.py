@@ -19,6 +19,8 @@ from .common import map_batches, materialise, tune
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; a pattern's least score and distinct seeds to be believed.
 ROUNDS, RELIABLE, SEEDS = 3, 0.8, 5
+#: Discovered spans that are broadcast at most; more are joined by row.
+BROADCAST = 50_000
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 _DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,7 +129,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", reliable: float
     good = score_patterns(graph, rounds).filter((F.col("score") >= reliable) & (F.col("seeds") >= seeds)).select("pattern", F.col("kind").alias("of"))
     more = seen.filter("kind is null").join(good, "pattern").groupBy("id")
     more = more.agg(F.array_sort(F.collect_set(F.struct("start", "end", "of"))).alias("more")).select("id", F.expr("transform(more, m -> struct(m.of as kind, m.start as start, m.end as end))").alias("more"))
-    out = found.select("id", "key", "spans").join(more, "id", "left")
+    more = materialise(more)
+    few = (more.agg(F.sum(F.size("more"))).first()[0] or 0) <= BROADCAST
+    out = found.select("id", "key", "spans").join(F.broadcast(more) if few else more, "id", "left")
     return out.select("key.*", "spans", F.coalesce("more", F.expr(f"cast(array() as {SPANS})")).alias("more"))
 
 

@@ -450,3 +450,21 @@ def test_each_stage_keeps_the_columns_and_drops_only_what_it_rejects(spark, sf):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_long_texts(spark, sf):
+    import corpus_pipeline
+
+    long = prose(4, 30000, 9000)
+    rows = [(1, None, None, None, None), (None, prose(1, 80), "en", "s", 1), (2, "", "", "s", 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, long + " end", None, "s", 1), (None, prose(1, 80), "en", "s", 1), (5, prose(2, 60) + " a@b.co", "xx", "s", 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf).collect()
+        sizes[name] = len(out)
+        if name == "n-gram Jaccard join":
+            assert sorted(r.doc_id or 0 for r in out) == [0, 0, 1, 2, 3, 5]
+        if name == "personal data":
+            assert len(out) == 8 and {r.text[-7:] for r in out if r.doc_id == 5} == {"[EMAIL]"}
+    assert sizes["quality rules"] == 6
+    assert sizes["best-fit packing"] >= 8
