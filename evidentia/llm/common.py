@@ -61,10 +61,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the shared folder: a lost executor costs no recomputation, and Parquet keeps it small."""
+    """Cut lineage with a table in the shared folder: a lost executor costs no recomputation, and Parquet keeps it small.
+
+    The table goes when the driver ends; results that were not written by then go with it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/evidentia-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
