@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, tune
+from .common import map_batches, materialise, tune
 
 
 @dataclass(frozen=True)
@@ -126,4 +126,5 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
     kept = kept.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("f.start").alias("start"), order[F.col("f.kind")].alias("k"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end")))).alias("found"))
     texts = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).drop(text_col, "findings")
     kept = kept.select("blob", F.expr("transform(found, f -> struct(f.kind as kind, f.start as start, f.end as end))").alias("findings"))
-    return texts.join(kept, "blob", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")))
+    # written, so that the join's two sides are plain shuffles and a blob of many paths can be split
+    return texts.join(materialise(kept), "blob", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")))

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, start of path); fixed by contract.
 RULES = (
@@ -117,5 +119,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     counts = cut.select("id", "host").join(worst, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     known = counts.filter("n > 0")
     hosts = reputation(counts, estimate(known)).select("host", F.when(F.col("lower") > limit, "block").otherwise("allow").alias("method"))
-    judged = cut.join(hosts, "host").withColumn("by", rule_for(F.col("host"), F.col("path"), rules))
+    # written: its size is then known, and a host of many pages can be split where it is too large to broadcast
+    judged = cut.join(materialise(hosts), "host").withColumn("by", rule_for(F.col("host"), F.col("path"), rules))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", "method").alias("verdict"))
