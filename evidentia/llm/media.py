@@ -207,8 +207,12 @@ def interleave(pages: DataFrame, media: DataFrame, html_col: str = "html") -> Da
     ones too; an empty table gives an empty result; columns of pages named items are replaced.
     """
     keyed = materialise(sequences(pages, html_col).withColumn("_key", F.monotonically_increasing_id()))
-    facts = describe(media)
+    # written, so that the join's two sides are plain shuffles and a digest with many references can be split
+    facts = materialise(describe(media))
     names = [f.name for f in facts.schema if f.name != "digest"]
     item = keyed.select("_key", F.explode("items").alias("i")).select("_key", "i.*")
-    whole = item.join(facts, "digest", "left").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", *names))).alias("items"))
+    # what has no digest must not meet under one key
+    known = item.filter("digest is not null").join(facts, "digest", "left")
+    plain = item.filter("digest is null").select("*", *[F.lit(None).cast(facts.schema[n].dataType).alias(n) for n in names])
+    whole = known.unionByName(plain).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", *names))).alias("items"))
     return keyed.drop("items").join(whole, "_key", "left").drop("_key")
