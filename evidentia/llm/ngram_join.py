@@ -238,5 +238,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     components = connected_components(links)
 
     reps = classes.join(components, classes["rep"] == components["node"], "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("rep"))
-    out = found.select("id", "n", "fp1", "fp2").join(reps, ["fp1", "fp2", "n"], "left")
+    # written, so that the join's two sides are plain shuffles and a text of many copies can be split
+    out = found.select("id", "n", "fp1", "fp2").join(materialise(reps), ["fp1", "fp2", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("component_id"))
