@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 GLUE = ("EQUIVALENT", "REFINES", "SAME_TOPIC", "SAME_EVENT")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder where one is set, else in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def walk(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(seed, node, depth): nodes within so many steps of each seed, at their nearest depth. edges (a, b) go both ways.
 
     Every step joins the frontier with the edges and drops what was visited, so that paths never multiply; steps are cut off from their lineage in the
     checkpoint folder where one is set.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = held(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("depth", F.lit(0))
     visited = frontier
-    durable = seeds.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for k in range(1, depth + 1):
         reached = frontier.join(both, frontier["node"] == both["a"]).select("seed", F.col("b").alias("node")).distinct()
         frontier = reached.join(visited, ["seed", "node"], "left_anti").withColumn("depth", F.lit(k))
-        frontier = frontier.checkpoint() if durable else frontier
+        frontier = held(frontier)
         visited = visited.unionByName(frontier)
     return visited
 
@@ -114,8 +118,7 @@ def cores_and_fringe(edges: pd.DataFrame, core: float, attach: float, least: int
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): smallest node that can be reached, by spreading minima and halving paths."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    durable = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    both = held(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     label = both.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     total = None
     for _ in range(rounds):
@@ -123,7 +126,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         label = label.join(spread, label["node"] == spread["u"]).select("node", F.least("component", "m").alias("component"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
         label = label.join(jump, "component").select("node", F.least("component", "up").alias("component"))
-        label = label.checkpoint() if durable else label.cache()
+        label = held(label)
         now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == total:
             break
@@ -134,6 +137,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def clusters(edges: DataFrame, core: float = 0.82, attach: float = 0.76, least: int = 3) -> DataFrame:
     """(node, cluster, role, score) over the whole graph. Components of edges that can matter are independent, and each is folded in its own group; edges
     that are neither glue of `attach` nor contradictions join nothing."""
+    edges = held(edges)
     glue = edges.filter(F.col("relation").isin(list(GLUE)) & (F.col("similarity") >= min(core, attach)))
     of = components(glue)
     inside = edges.join(of.withColumnRenamed("node", "a"), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").filter("component = other")

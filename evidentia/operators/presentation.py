@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import held
+
 
 def collapse(rows: DataFrame, group: list[str], bonus: float = 0.35) -> DataFrame:
     """(group, id, score, n): the best row speaks for its group, with a bonus that grows with the logarithm of the group and is bounded by `bonus`."""
@@ -46,13 +48,12 @@ def memory_scope(lineage: DataFrame, worlds: DataFrame, peers: DataFrame, depth:
         found = now = step.select(F.col("_a").alias("instance"), F.col("_b").alias("source"), F.lit(1).alias("d"))
         for k in range(2, most + 1):
             now = now.join(step, now["source"] == step["_a"]).select("instance", F.col("_b").alias("source"), F.lit(k).alias("d"))
-            now = now.checkpoint() if durable else now.cache()
+            now = held(now)
             if now.isEmpty():
                 break
             found = found.unionByName(now)
         return found
 
-    durable = lineage.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     every = lineage.select("instance").distinct()
     own = every.select("instance", F.col("instance").alias("source"), F.lit(0).alias("rank"))
     up = climb(lineage, "instance", "parent", depth).select("instance", "source", F.col("d").alias("rank"))

@@ -70,8 +70,8 @@ def cluster_cores(spark, sf):
 @query()
 def cluster_metrics(spark, sf):
     """Density, cohesion, boundary and separation of the clusters."""
-    e = edges(spark, sf)
-    return G.cluster_metrics(G.clusters(e, CORE, ATTACH), e)
+    e = G.held(edges(spark, sf))
+    return G.cluster_metrics(G.held(G.clusters(e, CORE, ATTACH)), e)
 
 
 @query(_EDGES + """SELECT x.label AS cluster, count(DISTINCT CASE WHEN y.label = x.label THEN least(a, b) END) AS linked,
