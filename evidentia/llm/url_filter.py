@@ -65,9 +65,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _strength(groups: DataFrame, by: str) -> float:
-    """Strength of the beta prior over groups (n, k) by the method of moments, around the mean of each `by`; one row reaches the driver."""
-    groups = groups.join(groups.groupBy(by).agg((F.sum("k") / F.sum("n")).alias("p")), by)
+def _strength(groups: DataFrame, by: str | None, mean: float = 0.0) -> float:
+    """Strength of the beta prior over groups (n, k) by the method of moments, around the mean of each `by`, or a given one; one row reaches the driver."""
+    groups = groups.join(groups.groupBy(by).agg((F.sum("k") / F.sum("n")).alias("p")), by) if by else groups.withColumn("p", F.lit(mean))
     spread = groups.agg(
         F.sum(F.pow(F.col("k") / F.col("n") - F.col("p"), 2) * F.col("n")).alias("s"),
         F.sum(F.col("p") * (1 - F.col("p"))).alias("v1"),
@@ -89,8 +89,7 @@ def estimate(counts: DataFrame) -> Strengths:
     counts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     mean = float(total["k"]) / total["n"]
     level = lambda *keys: counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = level("suffix").withColumn("all", F.lit(""))
-    return Strengths(mean, _strength(suffixes, "all"), _strength(level("domain", "suffix"), "suffix"), _strength(level("host", "domain"), "domain"))
+    return Strengths(mean, _strength(level("suffix"), None, mean), _strength(level("domain", "suffix"), "suffix"), _strength(level("host", "domain"), "domain"))
 
 
 def reputation(counts: DataFrame, prior: Strengths, deviations: float = DEVIATIONS) -> DataFrame:
@@ -116,7 +115,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     """
     cut = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     worst = outcomes.select(F.col(id_col).alias("id"), F.col("bad").cast("long").alias("bad")).filter("id is not null and bad in (0, 1)").groupBy("id").agg(F.max("bad").alias("bad"))
-    counts = cut.select("id", "host").join(worst, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    counts = materialise(cut.select("id", "host").join(worst, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")))
     known = counts.filter("n > 0")
     hosts = reputation(counts, estimate(known)).select("host", F.when(F.col("lower") > limit, "block").otherwise("allow").alias("method"))
     # written: its size is then known, and a host of many pages can be split where it is too large to broadcast
