@@ -12,7 +12,8 @@ their Jaccard distance is at most 1 - threshold. Only links between different se
    Regions that share their smallest document are merged into a cell, to which a set is sent once.
 3. *Recursive exact join.* A cell takes one of its documents as the next pivot, measures all its distances exactly, unites what is in reach, and goes
    on with the rest. By the triangle inequality, a document at distance d from the pivot links only to those between d - r and d + r; if all in that
-   window are united with it already, it is passed over. Cells of more than CELL documents are joined block against block.
+   window are united with it already, it is passed over. Cells of more than CELL documents do the same across tasks, a pivot a round, sending the
+   pivot's set to blocks of the cell; what is left of a cell goes on to one task, or block against block if it is still too large.
 4. Links are contracted to connected components; the smallest doc_id names one.
 
 Rare-first order needs document frequencies: those of pivot candidates are counted over all documents, and the frequent ones go to all executors as a
@@ -23,6 +24,7 @@ Sets are of 62-bit hashes, classes of 128-bit fingerprints.
 
 from __future__ import annotations
 
+import functools
 from fractions import Fraction
 
 import numpy as np
@@ -37,8 +39,10 @@ from .components import connected_components
 FREQUENT = 32
 #: Documents of a region whose pairs are counted; larger regions become cells at once.
 SMALL = 48
-#: Documents of a cell that one task joins; more are joined block by block.
-CELL = 2048
+#: Documents of a cell that one task joins; larger cells are first contracted around pivots, in at most so many rounds.
+CELL, CONTRACTIONS = 2048, 8
+#: Steps in which contraction tells distances apart.
+STEPS = 100
 _MASK = U((1 << 62) - 1)
 
 
@@ -205,6 +209,69 @@ def _cells(rows: DataFrame, part: Fraction) -> DataFrame:
     return cells.unionByName(rows.filter(F.col("m") > SMALL).select(F.col("low").alias("cell"), F.col("rep").alias("member"))).distinct()
 
 
+def _measure(batches):
+    """(cell, member, pivot, shared, total) of blocks whose first row is the pivot: sizes of intersection and union with its set."""
+    key = pivot = centre = before = None
+    for batch in batches:
+        out = []
+        for cell, block, first, member, shingles in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            own = np.frombuffer(shingles, U)
+            if (cell, block) != key:
+                key, pivot, centre, before = (cell, block), member, own, None
+            if first and member != before:
+                before = member
+                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                shared = int(np.count_nonzero(centre[at] == own))
+                out.append((cell, member, pivot, shared, len(centre) + len(own) - shared))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["cell", "member", "pivot", "shared", "total"])
+
+
+def _contract(cells: DataFrame, docs: DataFrame, size: int, part: Fraction) -> tuple[DataFrame, DataFrame | None]:
+    """(cells, links): cells of over CELL documents lose those that can link only to documents that they are united with by links.
+
+    A round takes a pivot in each such cell, one that no pivot reached so far if there is any, measures all distances to it and unites what is in
+    reach. A document stays only if one that it is not united with lies within the radius of its distance to the pivot, told in whole steps. So a group
+    of near copies costs one row per copy and round, however large it is.
+    """
+    spark = docs.sparkSession
+    large = materialise(cells.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL).select("cell"))
+    if large.isEmpty():
+        return cells, None
+    now = materialise(cells.join(large, "cell").select("cell", "member", F.col("member").alias("label"), F.lit(False).alias("seen")))
+    done, links = [cells.join(large, "cell", "left_anti")], []
+    wanted = spark.sparkContext.broadcast(bitmap(now, "member"))
+    sets = map_batches(docs, _sets(size, wanted), "member long, shingles binary")
+    sets = materialise(sets.join(now.select("member").distinct(), "member", "left_semi"))
+    window = int(float(1 - part) * STEPS) + 2
+    for k in range(CONTRACTIONS):
+        # by a hash, so that a round does not take the pivot of one before
+        pivots = now.groupBy("cell").agg(F.count("*").alias("m"), F.min(F.struct("seen", F.xxhash64("member", F.lit(k)), "member"))["member"].alias("pivot"))
+        pivots = materialise(pivots.filter(F.col("m") > CELL).select("cell", "pivot", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
+        if pivots.isEmpty():
+            break
+        done.append(now.join(pivots, "cell", "left_anti").select("cell", "member"))
+        now = now.join(pivots.select("cell", "blocks"), "cell")
+        rows = now.select("cell", F.pmod(F.xxhash64("member"), "blocks").cast("long").alias("block"), F.lit(1).cast("long").alias("first"), "member")
+        centres = pivots.select("cell", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.lit(0).cast("long").alias("first"), F.col("pivot").alias("member"))
+        keyed = rows.unionByName(centres).join(sets, "member").select("cell", "block", "first", "member", "shingles")
+        keyed = keyed.repartition("cell", "block").sortWithinPartitions("cell", "block", "first", "member")
+        found = map_batches(keyed, _measure, "cell long, member long, pivot long, shared long, total long")
+        found = found.withColumn("near", F.col("shared") * part.denominator >= F.col("total") * part.numerator)
+        found = materialise(now.join(found, ["cell", "member"]).withColumn("step", F.expr(f"cast((total - shared) * {STEPS} div total as int)")))
+        links.append(found.filter("near and member != pivot").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+        # labels of seen rows: at most one for each round so far
+        united = found.filter("near").groupBy("cell").agg(F.min("label").alias("to"), F.collect_set(F.when(F.col("seen"), F.col("label"))).alias("old"))
+        # written, so that the join's two sides are plain shuffles and a hot cell can be split
+        found = found.join(materialise(united), "cell").withColumn("label", F.expr("if(near or array_contains(old, label), to, label)")).withColumn("seen", F.expr("seen or near"))
+        found = materialise(found.select("cell", "member", "label", "seen", "step"))
+        steps = found.groupBy("cell", "step").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        steps = materialise(steps.groupBy("cell").agg(F.collect_list(F.struct("step", "lo", "hi")).alias("steps")))
+        other = F.exists("steps", lambda s: (F.abs(s["step"] - F.col("step")) <= window) & ((s["lo"] != F.col("label")) | (s["hi"] != F.col("label"))))
+        now = materialise(found.join(steps, "cell").filter(other).select("cell", "member", "label", "seen"))
+    done.append(now.select("cell", "member"))
+    return materialise(functools.reduce(DataFrame.unionByName, done)), functools.reduce(DataFrame.unionByName, links)
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
@@ -226,6 +293,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shared = regions.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").drop("high")
     places = found.select(F.col("id").alias("rep"), "n", "last").dropDuplicates(["rep"])
     cells = materialise(_cells(materialise(regions.join(shared.hint("shuffle_hash"), "token")).join(places, "rep"), part))
+    cells, contracted = _contract(cells, docs, size, part)
 
     wanted = spark.sparkContext.broadcast(bitmap(cells, "member"))
     members = map_batches(docs, _sets(size, wanted), "member long, shingles binary")
@@ -235,7 +303,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = blocks.select(F.struct("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("key"), "member")
     keyed = keyed.join(members, "member").select(F.to_json("key").alias("key"), "member", "shingles")
     links = map_batches(keyed.repartition("key").sortWithinPartitions("key", "member"), _join_cells(part), "a long, b long")
-    components = connected_components(links)
+    components = connected_components(links if contracted is None else links.unionByName(contracted))
 
     reps = classes.join(components, classes["rep"] == components["node"], "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("rep"))
     # written, so that the join's two sides are plain shuffles and a text of many copies can be split

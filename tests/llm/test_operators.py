@@ -93,6 +93,29 @@ def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got.collect()) == [(-1, -1), (2, 2), (4, 2), (4, 2)]
 
 
+def test_a_large_group_of_near_copies_is_contracted_around_its_pivots(spark, monkeypatch):
+    from evidentia.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    left, contract = [], ngram_join._contract
+
+    def spied(cells, *rest):
+        made = contract(cells, *rest)
+        left.append((cells.count(), made[0].count()))
+        return made
+
+    monkeypatch.setattr(ngram_join, "_contract", spied)
+    base = prose(5, 200, 9999).split()
+    texts = []
+    for k in range(150):
+        own = base[:]
+        own[k] = f"x{k}"
+        texts.append(" ".join(own))
+    got = ngram_join.near_duplicate_classes(frame(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 150
+    assert left[0][0] >= 150 and left[0][1] == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=14))
 def test_a_cell_connects_what_all_its_links_connect(sets):
