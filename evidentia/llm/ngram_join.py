@@ -231,7 +231,8 @@ def _contract(cells: DataFrame, docs: DataFrame, size: int, part: Fraction) -> t
 
     A round takes a pivot in each such cell, one that no pivot reached so far if there is any, measures all distances to it and unites what is in
     reach. A document stays only if one that it is not united with lies within the radius of its distance to the pivot, told in whole steps. So a group
-    of near copies costs one row per copy and round, however large it is.
+    of near copies costs one row per copy and round, however large it is. Documents that are alike but out of each other's reach stay; rounds end
+    where they remove less than a tenth.
     """
     spark = docs.sparkSession
     large = materialise(cells.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL).select("cell"))
@@ -242,13 +243,17 @@ def _contract(cells: DataFrame, docs: DataFrame, size: int, part: Fraction) -> t
     wanted = spark.sparkContext.broadcast(bitmap(now, "member"))
     sets = map_batches(docs, _sets(size, wanted), "member long, shingles binary")
     sets = materialise(sets.join(now.select("member").distinct(), "member", "left_semi"))
-    window = int(float(1 - part) * STEPS) + 2
+    window, before = int(float(1 - part) * STEPS) + 2, None
     for k in range(CONTRACTIONS):
         # by a hash, so that a round does not take the pivot of one before
         pivots = now.groupBy("cell").agg(F.count("*").alias("m"), F.min(F.struct("seen", F.xxhash64("member", F.lit(k)), "member"))["member"].alias("pivot"))
         pivots = materialise(pivots.filter(F.col("m") > CELL).select("cell", "pivot", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
         if pivots.isEmpty():
             break
+        active = now.join(pivots, "cell", "left_semi").count()
+        if k > 1 and active > 0.9 * before:
+            break
+        before = active
         done.append(now.join(pivots, "cell", "left_anti").select("cell", "member"))
         now = now.join(pivots.select("cell", "blocks"), "cell")
         rows = now.select("cell", F.pmod(F.xxhash64("member"), "blocks").cast("long").alias("block"), F.lit(1).cast("long").alias("first"), "member")
