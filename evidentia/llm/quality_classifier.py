@@ -138,10 +138,10 @@ def fit(grams: list[np.ndarray], labels: np.ndarray, blend: float = BLEND, cost:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Model:
-    """Fit on at most `sample` rows of labels (id_col, label_col of 0 or 1) that docs has a text for. Null labels or ids are no labels."""
+    """Fit on at most `sample` rows of labels (id_col, label_col of 0 or 1) that docs has a text for. Null labels or ids are no labels; of several for a row the largest counts."""
     spark = docs.sparkSession
     tune(spark)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
     half = [known.filter(F.col("label") == side).orderBy(*order).limit(sample // 2) for side in (0, 1)]
     chosen = half[0].unionByName(half[1])
