@@ -1,9 +1,10 @@
 """Personal data: seed entities by rule, further identifiers by bootstrapped contexts.
 
-Rules find emails, IP addresses, card and phone numbers. Each seed, and each other word that has the look of an identifier, stands in a context: the
-two words before it. Contexts and identifiers form a graph that Spark scores iteratively: a pattern is as reliable as the share of its occurrences
-that are trusted identifiers, an identifier as trusted as the patterns that it occurs in. Unseen identifiers in reliable patterns are reported, with
-the kind that the pattern's seeds mostly have.
+Rules find emails, IP addresses, card and phone numbers. Each seed, and each other word that has the look of an identifier, stands in patterns: the
+word before it, the two before it, the one after it, and those on both sides. Patterns and identifiers form a graph that Spark scores iteratively: a
+pattern is as reliable as the share of its occurrences that are trusted identifiers, an identifier as trusted as the best reliable pattern that it
+occurs in, so that discovered identifiers induce patterns of their own in the next round. Unseen identifiers in reliable patterns are reported, with
+the kind that the pattern's trusted identifiers mostly have.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialise, tune
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; a pattern's least score and distinct seeds to be believed.
+#: Rounds of scoring; a pattern's least score and distinct trusted identifiers to be believed.
 ROUNDS, RELIABLE, SEEDS = 3, 0.8, 5
 #: Discovered spans that are broadcast at most; more are joined by row.
 BROADCAST = 50_000
+#: Trust and scores are whole millionths, so that sums do not depend on the order of rows.
+WHOLE = 1_000_000
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 _DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -68,9 +71,15 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def _context(text: bytes, start: int) -> bytes:
-    words = text[max(0, start - 80) : start].split()
-    return b" ".join(w.strip(b".,;:!?()[]<>\"'").lower() for w in words[-2:])
+def _words(part: bytes) -> list[bytes]:
+    return [w for x in part.split() if (w := x.strip(b".,;:!?()[]<>\"'").lower())]
+
+
+def _patterns(text: bytes, start: int, end: int) -> list[str]:
+    """Patterns of the span: one and two words to the left, one to the right, one on each side."""
+    left, right = _words(text[max(0, start - 80) : start])[-2:], _words(text[end : end + 80])[:1]
+    sides = [(left[-1:], []), (left if len(left) == 2 else [], []), ([], right), (left[-1:] if right else [], right if left else [])]
+    return [(b" ".join(a) + b" _ " + b" ".join(b)).decode("utf-8", "replace") for a, b in sides if a or b]
 
 
 def _extract(batches):
@@ -90,27 +99,32 @@ def _extract(batches):
                     if len(_DIGIT.findall(m[0])) >= 4 and all(m.end() <= a or m.start() >= b for _, a, b in found):
                         other.append((None, *m.span(), place(m.start()), place(m.end())))
             spans.append([{"kind": k, "start": a, "end": b} for k, _, _, a, b in rows])
-            contexts.append([{"pattern": p.decode("utf-8", "replace"), "instance": text[a:b].decode("utf-8", "replace"), "kind": k, "start": s, "end": e} for k, a, b, s, e in rows + other if (p := _context(text, a))])
+            contexts.append([{"pattern": p, "instance": text[a:b].decode("utf-8", "replace"), "kind": k, "start": s, "end": e} for k, a, b, s, e in rows + other for p in _patterns(text, a, b)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), pa.array(contexts, context)], ["key", "spans", "contexts"])
 
 
-def score_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score, seeds, kind) from the pattern-instance graph (pattern, instance, kind, n); kind is null for unseen identifiers.
+def score_patterns(graph: DataFrame, rounds: int = ROUNDS, reliable: float = RELIABLE, seeds: int = SEEDS) -> DataFrame:
+    """(pattern, score, kind) of reliable patterns of the pattern-instance graph (pattern, instance, kind, n); kind is null for unseen identifiers.
 
-    Seeds keep trust 1. A pattern's score is the trusted share of its occurrences, with one distrusted added; an identifier's trust is the highest
-    score among its patterns. Patterns without a seed are left out.
+    Seeds keep trust 1 and their kind. A pattern's score is the trusted share of its occurrences, with one distrusted added; it is reliable from
+    `reliable` on, given `seeds` distinct trusted identifiers. Another identifier has the trust and kind of its best reliable pattern. Patterns without
+    a seed stay in the graph: identifiers that a round trusts can make them reliable in the next.
     """
-    seeds = graph.groupBy("pattern").agg(F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("instance"))).alias("seeds"))
-    kinds = graph.filter("kind is not null").groupBy("pattern", "kind").agg(F.sum("n").alias("k")).groupBy("pattern").agg(F.max_by("kind", F.struct("k", "kind")).alias("kind"))
-    kept = graph.join(kinds.select("pattern"), "pattern", "left_semi")
-    edges = materialise(kept.select("pattern", "instance", "n", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("seed")))
-    trust = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("trust"))
+    graph = materialise(graph)
+    edges = materialise(graph.groupBy("pattern", "instance").agg(F.sum("n").alias("n")))
+    ruled = graph.filter("kind is not null").groupBy("instance", "kind").agg(F.sum("n").alias("k"))
+    ruled = materialise(ruled.groupBy("instance").agg(F.max_by("kind", F.struct("k", "kind")).alias("kind")).withColumn("trust", F.lit(WHOLE).cast("long")))
+    trusted = ruled
     for k in range(rounds):
-        scores = trust.groupBy("pattern").agg((F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + 1)).alias("score"))
+        known = edges.join(trusted, "instance", "left").groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("n") * F.col("trust")), F.lit(0)).alias("t"), F.count("trust").alias("ids"))
+        kind = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("t", "kind"))).alias("kind")
+        scores = known.groupBy("pattern").agg(F.expr("sum(t) div (sum(n) + 1)").alias("score"), F.sum("ids").alias("ids"), kind)
+        good = scores.filter((F.col("score") >= round(reliable * WHOLE)) & (F.col("ids") >= seeds))
         if k + 1 < rounds:
-            best = edges.join(scores, "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-            trust = edges.join(best, "instance").withColumn("trust", F.greatest("seed", "best"))
-    return scores.join(kinds, "pattern").join(seeds, "pattern")
+            best = edges.join(good, "pattern").groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
+            found = best.join(ruled, "instance", "left_anti").select("instance", "b.kind", F.col("b.score").alias("trust"))
+            trusted = ruled.unionByName(found)
+    return good.select("pattern", (F.col("score") / WHOLE).alias("score"), "kind")
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", reliable: float = RELIABLE, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
@@ -126,9 +140,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", reliable: float
     found = materialise(map_batches(keyed, _extract, f"key {kind}, spans {SPANS}, contexts array<struct<pattern:string,instance:string,kind:string,start:long,end:long>>").withColumn("id", F.monotonically_increasing_id()))
     seen = found.select("id", F.explode("contexts").alias("c")).select("id", "c.*")
     graph = seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
-    good = score_patterns(graph, rounds).filter((F.col("score") >= reliable) & (F.col("seeds") >= seeds)).select("pattern", F.col("kind").alias("of"))
-    more = seen.filter("kind is null").join(good, "pattern").groupBy("id")
-    more = more.agg(F.array_sort(F.collect_set(F.struct("start", "end", "of"))).alias("more")).select("id", F.expr("transform(more, m -> struct(m.of as kind, m.start as start, m.end as end))").alias("more"))
+    good = score_patterns(graph, rounds, reliable, seeds).select("pattern", "score", F.col("kind").alias("of"))
+    more = seen.filter("kind is null").join(good, "pattern").groupBy("id", "start", "end").agg(F.max(F.struct("score", "of"))["of"].alias("of"))
+    more = more.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "of"))).alias("more")).select("id", F.expr("transform(more, m -> struct(m.of as kind, m.start as start, m.end as end))").alias("more"))
     more = materialise(more)
     few = (more.agg(F.sum(F.size("more"))).first()[0] or 0) <= BROADCAST
     out = found.select("id", "key", "spans").join(F.broadcast(more) if few else more, "id", "left")

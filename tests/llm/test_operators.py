@@ -382,6 +382,19 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert find_personal_data(docs.limit(0)).count() == 0 and redact(frame(spark, texts)).columns == docs.columns[:5]
 
 
+def test_discovered_identifiers_induce_patterns(spark):
+    from evidentia.llm.pii import find_personal_data
+
+    prose = [f"w{k} call my phone +1 555 {1000 + k} x{k}" for k in range(200)]
+    both = [f"v{k} phone 0555-{1000 + k} y{k} and then u{k} desk 0555-{1000 + k} z{k}" for k in range(20)]
+    texts = [*prose, *both, "a desk 0777-1234 b", "some 0888-1234 thing"]
+    more = {r.doc_id: [(m.kind, texts[r.doc_id][m.start : m.end]) for m in r.more] for r in find_personal_data(frame(spark, texts)).collect()}
+    # one word to the left is enough, and `desk`, which no seed has, is induced by what `phone` discovers
+    assert more[200] == [("phone", "0555-1000")] * 2 and more[220] == [("phone", "0777-1234")] and more[221] == []
+    right = [f"r{k} +1 555 {2000 + k} calls" for k in range(20)] + ["s 0999-1234 calls"]
+    assert [(m.kind, right[20][m.start : m.end]) for r in find_personal_data(frame(spark, right)).collect() if r.doc_id == 20 for m in r.more] == [("phone", "0999-1234")]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------------------------
 
 
