@@ -116,22 +116,27 @@ def cores_and_fringe(edges: pd.DataFrame, core: float, attach: float, least: int
     return out
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): smallest node that can be reached, by spreading minima and halving paths."""
-    both = held(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    label = both.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    total = None
-    for _ in range(rounds):
-        spread = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("m"))
-        label = label.join(spread, label["node"] == spread["u"]).select("node", F.least("component", "m").alias("component"))
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        label = label.join(jump, "component").select("node", F.least("component", "up").alias("component"))
-        label = held(label)
-        now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest node that can be reached, by alternating large and small stars until nothing changes.
+
+    Each round contracts every neighbourhood onto its smallest node, so the rounds grow with the logarithm of the longest chain, not with its length.
+    """
+    edges = held(edges.select("a", "b"))
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).filter("node is not null").distinct()
+    stars = held(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+        stars = held(small.select("e.u", "e.v").filter("u != v").distinct())
+        after = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if after == before:
             break
-        total = now
-    return label
+        before = after
+    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def clusters(edges: DataFrame, core: float = 0.82, attach: float = 0.76, least: int = 3) -> DataFrame:

@@ -67,6 +67,15 @@ def test_clusters_and_metrics_over_a_graph(spark):
     assert m[1].density == 1.0 and m[1].cohesion == 0.9 and m[1].boundary == 0.95 and m[1].separation == 0.0
 
 
+def test_components_of_long_chains_are_whole(spark):
+    import random
+
+    names = random.Random(7).sample(range(5000), 1000)
+    chain = [*zip(names, names[1:], strict=False), (9001, 9000), (9002, 9002)]
+    got = {r.node: r.component for r in G.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(names, min(names)), 9000: 9000, 9001: 9000, 9002: 9002}
+
+
 def test_walk_keeps_the_nearest_depth(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "a int, b int")
     got = {r.node: r.depth for r in G.walk(spark.createDataFrame([(1,)], "seed int"), edges, 2).collect()}
