@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,13 +109,22 @@ def trim(items: DataFrame, budget: int) -> DataFrame:
     return per.select("owner", F.posexplode(F.aggregate("x", start, step, lambda s: s["kept"])).alias("place", "k")).select("owner", "k.id", "k.cost", F.col("place").cast("int").alias("place"))
 
 
+def densest(text: str, terms: list[str], size: int = 700, lead: int = 100) -> int:
+    """Start of the window with most words that begin with a term, the earliest of equal ones; windows start `lead` characters before such a word."""
+    heads = tuple(terms)
+    places = [m.start() for m in re.finditer(r"[A-Za-z0-9_-]+", text) if m[0].lower().startswith(heads)]
+    starts = {max(0, p - lead) for p in places} or {0}
+    return max(starts, key=lambda s: (bisect_left(places, s + size) - bisect_left(places, s), -s))
+
+
 def passage(text: Column, terms: Column, size: int = 700) -> Column:
-    """Struct (start, passage): the window of `size` characters with most occurrences of the terms, the earliest of equal ones."""
-    low = F.lower(text)
-    starts = F.when(F.length(text) <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - size), F.lit(max(1, size // 4))))
-    scored = F.transform(starts, lambda s: F.struct((-F.size(F.filter(terms, lambda t: F.substring(low, s + 1, F.lit(size)).contains(t)))).alias("n"), s.alias("start")))
-    best = F.array_min(scored)
-    return F.struct(best["start"].alias("start"), F.substring(text, best["start"] + 1, F.lit(size)).alias("passage"))
+    """Struct (start, passage): the window of `size` characters with most occurrences of the terms anywhere in the text, the earliest of equal ones."""
+
+    def run(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        starts = [None if t is None else densest(t, [] if w is None else list(w), size) for t, w in zip(texts, wanted, strict=True)]
+        return pd.DataFrame({"start": pd.array(starts, dtype="Int32"), "passage": [None if t is None else t[s : s + size] for t, s in zip(texts, starts, strict=True)]})
+
+    return F.pandas_udf(run, "start int, passage string")(text, terms)
 
 
 def widen(hits: DataFrame, least: int) -> DataFrame:

@@ -129,6 +129,14 @@ def test_recall_skips_what_is_too_like_a_better_one(spark):
     assert sorted((r.place, r.id) for r in got) == [(1, 1), (2, 3), (3, 4)]
 
 
+def test_passages_start_at_hits_and_count_each(spark):
+    texts = ["x " * 500 + "term", "term " + "y " * 430 + "other term term", "z " * 500, None, "Terms, é term " + "w " * 20, "a " * 60 + "term"]
+    df = spark.createDataFrame([(k, t, ["term", "none"]) for k, t in enumerate(texts)], "k int, text string, terms array<string>")
+    got = {r.k: (r.p.start, r.p.passage) for r in df.select("k", R.passage(F.col("text"), F.col("terms")).alias("p")).collect()}
+    starts = {0: 900, 1: 771, 2: 0, 3: None, 4: 0, 5: 20}
+    assert got == {k: (s, None if s is None else texts[k][s : s + 700]) for k, s in starts.items()}
+
+
 def test_matrix_verdicts(spark):
     votes = spark.createDataFrame([("k", "a", "x", 5.0), ("k", "a", "y", 4.0), ("k", "a", "z", 1.0), ("k", "b", "x", 1.0), ("l", "a", "x", 5.0), ("l", "b", "y", 4.0)], "key string, candidate string, axis string, value double")
     proposals = spark.createDataFrame([("k", "a", False), ("l", "a", False)], "key string, proposal string, protected boolean")
