@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.causal import decide_location, decide_scalar
@@ -35,20 +36,29 @@ def causal(writes: DataFrame, location: bool = False) -> DataFrame:
     return writes.groupBy("key").applyInPandasWithState(run, DECISIONS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def debounce(marks: DataFrame, quiet_ms: int = 30_000, most_ms: int = 300_000) -> DataFrame:
-    """Scopes of a stream of marks (scope string, at long in ms) that are due: quiet for `quiet_ms`, or marked for `most_ms`. Event time drives it."""
+def debounce(marks: DataFrame, quiet_ms: int = 30_000, most_ms: int = 300_000, late: str = "1 minute") -> DataFrame:
+    """Scopes of a stream of marks (scope string, at long in ms) that are due: quiet for `quiet_ms`, or marked for `most_ms`.
+
+    Event time drives it: a scope without a further mark comes out once the watermark, `late` behind the newest mark of any scope, has passed its time.
+    Marks that are older than the watermark, or from before 1970, are dropped.
+    """
 
     def run(key, batches, state: GroupState):
-        times = sorted(int(x) for rows in batches for x in rows["at"])
         first, last = state.get if state.exists else (None, None)
         due = []
-        for at in times:
-            if first is not None and (at - last >= quiet_ms or at - first >= most_ms):
-                due.append((key[0], first, last))
-                first = None
-            first, last = (at if first is None else first), at
-        if first is not None:
+        if state.hasTimedOut:
+            due.append((key[0], first, last))
+            state.remove()
+        else:
+            for at in sorted(int(x) for rows in batches for x in rows["at"]):
+                if first is not None and (at - last >= quiet_ms or at - first >= most_ms):
+                    due.append((key[0], first, last))
+                    first = None
+                first, last = (at if first is None else first), at if first is None else max(last, at)
             state.update((first, last))
+            state.setTimeoutTimestamp(max(min(last + quiet_ms, first + most_ms), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(due, columns=["scope", "first", "last"])
 
-    return marks.groupBy("scope").applyInPandasWithState(run, "scope string, first long, last long", "first long, last long", "append", GroupStateTimeout.NoTimeout)
+    # a millisecond on, since the first watermark is 0 and what is not after the watermark is dropped
+    timed = marks.withColumn("time", F.timestamp_millis(F.col("at") + 1)).withWatermark("time", late)
+    return timed.groupBy("scope").applyInPandasWithState(run, "scope string, first long, last long", "first long, last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -188,6 +188,18 @@ def test_streams(spark, tmp_path):
     assert [(r.scope, r.first, r.last) for r in spark.table("due").collect()] == [("s", 0, 1000)]
 
 
+def test_quiet_scopes_come_out_without_another_mark(spark, tmp_path):
+    from evidentia.streaming import ingest, state
+
+    marks = str(tmp_path / "marks")
+    rows = [("s", 0), ("s", 1000), ("t", 0), *[("long", k * 20000) for k in range(16)], ("new", 380000)]
+    spark.createDataFrame(rows, "scope string, at long").coalesce(1).write.json(marks)
+    q = state.debounce(ingest.read(spark, marks, "scope string, at long")).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.scope, r.first, r.last) for r in spark.table("quiet").collect()) == [("long", 0, 280000), ("s", 0, 1000), ("t", 0, 0)]
+
+
 def test_rewritten_tables(spark):
     from evidentia.sources import tables as X
 
