@@ -9,7 +9,7 @@ from ..functions import values as V
 from ..operators import evidence as O
 from ..sources import documents as D
 from ..sources import html as H
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def _list(words) -> str:
@@ -44,6 +44,12 @@ def url_admission(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.url_admission(made).alias("reason"))
 
 
+@query(ORACLES["url_admission"].replace(_ADMIT_URLS, "pages"))
+def url_admission_pages(spark, sf):
+    """Reason to reject a URL, for the real URL of every page."""
+    return table(spark, sf, "pages").select("page_id", T.url_admission(F.col("url")).alias("reason"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 50 = 1 OR (length(t) < 1500 AND contains(lower(t), 'verify you are human')) THEN 'challenge_page' WHEN t = '' THEN 'empty_content' WHEN length(t) < 120 THEN 'low_content' END AS reason
 FROM (SELECT doc_id, trim(CASE WHEN doc_id % 50 = 2 THEN '  ' WHEN doc_id % 50 = 3 THEN 'Verify you are human ' || text ELSE text END) AS t FROM documents)""")
 def page_admission(spark, sf):
@@ -53,6 +59,19 @@ def page_admission(spark, sf):
     return d.select("doc_id", T.page_admission(F.when(k == 1, "Just a Moment...").otherwise("A title"), text).alias("reason"))
 
 
+@query(f"""SELECT doc_id, CASE WHEN length(t) < 1500 AND ({" OR ".join(f"contains(lower(t), '{m}')" for m in V.CHALLENGE_MARKERS)}) THEN 'challenge_page' WHEN t = '' THEN 'empty_content' WHEN length(t) < 120 THEN 'low_content' END AS reason
+FROM (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents)""")
+def page_admission_documents(spark, sf):
+    """Reason to reject a text, for the real text of every document; documents have no titles."""
+    return table(spark, sf, "documents").select("doc_id", T.page_admission(F.lit(None).cast("string"), F.col("text")).alias("reason"))
+
+
+@query()
+def page_admission_pages(spark, sf):
+    """Reason to reject a page, by the real title and text of every page: parsing, not SQL."""
+    return H.extract(table(spark, sf, "pages")).select("page_id", T.page_admission(F.col("title"), F.col("text")).alias("reason"))
+
+
 @query(r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents),
 s AS (SELECT doc_id, x, 0 AS k, '' AS held, CAST(NULL AS VARCHAR) AS done FROM l
 UNION ALL SELECT doc_id, x, k + 1, CASE WHEN ends THEN '' ELSE h END, CASE WHEN ends OR k + 1 = len(x) THEN h END FROM (
@@ -145,6 +164,12 @@ def message_units(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.message_unit(said).alias("u")).select("id", "u.kind", "u.subject")
 
 
+@query()
+def message_units_turns(spark, sf):
+    """Cognitive units of every real turn; the patterns are not for SQL, small tests hold them."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.message_unit(F.col("text")).alias("u")).select("conv_id", "turn", "u.kind", "u.subject")
+
+
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'SPATIAL' WHEN 1 THEN 'SOCIAL' WHEN 2 THEN 'DESCRIPTIVE' ELSE 'RULE' END AS family, CASE o_orderkey % 4 WHEN 0 THEN 'STATE' WHEN 1 THEN 'RELATIONSHIP' WHEN 2 THEN 'STATE' ELSE 'RULE' END AS kind FROM orders""")
 def predicate_families(spark, sf):
     """Family and kind of predicates: the first list that has one decides, then words of the text."""

@@ -102,6 +102,18 @@ def test_urls(spark):
         assert col(spark, url, T.url_admission) == reason
 
 
+def test_admission_judges_real_rows(spark, tmp_path):
+    from evidentia.plans.registry import QUERIES
+
+    spark.createDataFrame([(k, f"https://x.org/login/{k}", "<title>Just a moment...</title><p>x") for k in range(7)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(k, "word " * 400 if k else "few") for k in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, "I remember the old bridge.")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    reasons = lambda name: [r.reason for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert reasons("url_admission_pages") == ["administrative_path"] * 7 and reasons("page_admission_pages") == ["challenge_page"] * 7
+    assert sorted(map(str, reasons("page_admission_documents"))) == ["None"] * 3 + ["low_content"]
+    assert [r.kind for r in QUERIES["message_units_turns"](spark, str(tmp_path)).collect()] == ["MEMORY"]
+
+
 def test_paragraphs_and_windows(spark):
     a, b = "A first paragraph of more than forty characters.", "Another paragraph of more than forty characters."
     assert col(spark, f"{a}\n\nshort\n\n{b}\n \n{a}", T.paragraphs) == [a, b]
