@@ -114,6 +114,21 @@ def doc_metadata(spark, sf):
     return found.select("doc_id", "field", "value", "confidence")
 
 
+@query(r"WITH " + _LINE_SQL + r""", v AS (
+ SELECT doc_id, 'publication_year' AS field, regexp_extract(line, '(?i)(?:copyright|©|published)[^0-9]{0,20}((?:18|19|20)[0-9]{2})', 1) AS value, 0.7 AS confidence FROM l
+ UNION ALL SELECT doc_id, 'isbn', regexp_extract(line, '(?i)\bISBN(?:-1[03])?\s*:?\s*([0-9Xx\- ]{10,25})\b', 1), 0.9 FROM l
+ UNION ALL SELECT doc_id, 'author', regexp_extract(line, '(?i)^(?:by|author[:\s]+)\s*(.{2,120})$', 1), 0.75 FROM l
+ UNION ALL SELECT doc_id, 'doi', regexp_extract(line, '(?i)\b(10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)\b', 1), 0.9 FROM l
+ UNION ALL SELECT doc_id, 'publisher', regexp_extract(line, '(?i)^(?:publisher[:\s]+|published by\s+)(.{2,160})$', 1), 0.7 FROM l
+ UNION ALL SELECT doc_id, 'edition', regexp_extract(line, '(?i)\b([0-9]+(?:st|nd|rd|th)\s+edition|revised edition|second edition|third edition)\b', 1), 0.7 FROM l
+ UNION ALL SELECT doc_id, 'title', CASE WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) BETWEEN 2 AND 20 AND length(x) <= 180 THEN x ELSE '' END, 0.65 FROM (SELECT doc_id, min_by(line, k) AS x FROM l WHERE line <> '' GROUP BY doc_id))
+SELECT doc_id, field, min(trim(value)) AS value, max(confidence)::DOUBLE AS confidence FROM v WHERE trim(value) <> '' GROUP BY doc_id, field, lower(trim(value))""")
+def doc_metadata_whole(spark, sf):
+    """All fields by pattern, and the title by the first line, one row per distinct value."""
+    docs = table(spark, sf, "documents")
+    return D.metadata(docs).select("doc_id", "field", "value", "confidence").unionByName(D.first_line_title(docs))
+
+
 @query("""SELECT source, sha256(text) AS digest, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY ALL""")
 def doc_exact_dedup(spark, sf):
     """Equal texts of a source are one document."""

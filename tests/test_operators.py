@@ -114,6 +114,16 @@ def test_admission_judges_real_rows(spark, tmp_path):
     assert [r.kind for r in QUERIES["message_units_turns"](spark, str(tmp_path)).collect()] == ["MEMORY"]
 
 
+def test_all_metadata_fields_and_the_title(spark, tmp_path):
+    from evidentia.plans.registry import QUERIES
+
+    text = "\n  A Short Title \nPublisher: Press\nSecond Edition\ndoi 10.1234/ab.c\nBy A. Writer\nISBN 0-123-45678-9\nCopyright 1999"
+    spark.createDataFrame([(1, text), (2, "Word"), (3, "w " * 21), (4, "é" * 90 + " " + "x" * 90)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.field): r.value for r in QUERIES["doc_metadata_whole"](spark, str(tmp_path)).collect()}
+    want = {"title": "A Short Title", "publisher": "Press", "edition": "Second Edition", "doi": "10.1234/ab.c", "author": "A. Writer", "isbn": "0-123-45678-9", "publication_year": "1999"}
+    assert got == {(1, f): v for f, v in want.items()}
+
+
 def test_paragraphs_and_windows(spark):
     a, b = "A first paragraph of more than forty characters.", "Another paragraph of more than forty characters."
     assert col(spark, f"{a}\n\nshort\n\n{b}\n \n{a}", T.paragraphs) == [a, b]
