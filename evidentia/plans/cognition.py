@@ -144,7 +144,7 @@ def cluster_metadata(spark, sf):
 
 
 @query("""WITH m AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS used FROM m) SELECT conv_id, turn, used::BIGINT AS used FROM r WHERE used <= 1500""")
-def notebook_recall(spark, sf):
+def latest_turns(spark, sf):
     """Latest turns within a budget of characters."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("used")).filter("used <= 1500")
