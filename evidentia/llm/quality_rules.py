@@ -10,6 +10,7 @@ Statistics are computed within a row, without a shuffle; they are written once,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Allowed false rejections over all rules, and the probability that one of them is passed.
 ALPHA, DELTA = 0.02, 0.05
-#: Tails of more terms are bounded by Chernoff's inequality, which certifies less, never more.
+#: Tails of more terms are summed downwards from the largest, as far as terms count in double precision.
 TERMS = 10_000
 #: Strata whose cutoffs are broadcast at most.
 STRATA = 10_000
@@ -115,13 +116,23 @@ def values() -> dict[str, Column]:
 
 
 def tail(k: Column, n: Column, rate: float) -> Column:
-    """P(X <= k) for a binomial X of n trials at `rate`, summed exactly up to TERMS terms, beyond by Chernoff's bound; 1 where k >= n * rate."""
+    """P(X <= k) for a binomial X of n trials at `rate`, at most a half, exact to rounding; 1 where k >= n * rate.
+
+    Up to TERMS terms are summed upwards from 0. Beyond, P(X = k) is Stirling's series in Loader's form, and terms are summed downwards from k: the one j
+    places lower is at most exp(-j (j - 1) / (2 k)) of it, so that those more than 10 sqrt(k) places lower are below double precision.
+    """
     odds, none = F.log(F.lit(rate / (1 - rate))), F.log(F.lit(1 - rate))
     step = lambda s, i: F.struct((s["t"] + F.log((n - i + 1) / i) + odds).alias("t"), (s["p"] + F.exp(s["t"] + F.log((n - i + 1) / i) + odds)).alias("p"))
     exact = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.struct((n * none).alias("t"), F.exp(n * none).alias("p")), step, lambda s: s["p"])
-    share = k / n
-    chernoff = F.exp(-n * (share * F.log(share / rate) + (1 - share) * F.log((1 - share) / (1 - rate))))
-    return F.when(k >= n * rate, 1.0).when(k <= TERMS, F.least(F.lit(1.0), exact)).otherwise(chernoff)
+    stirling = lambda x: 1 / (12 * x) - 1 / (360 * x * x * x)
+    # x log(x / mean) + mean - x
+    off = lambda x, mean: x * F.log1p((x - mean) / mean) - (x - mean)
+    a, b, c = k.cast("double"), (n - k).cast("double"), n.cast("double")
+    largest = F.exp(stirling(c) - stirling(a) - stirling(b) - off(a, c * rate) - off(b, c * (1 - rate))) * F.sqrt(c / (2 * math.pi * a * b))
+    down = lambda s, i: F.struct((s["t"] * i / (n - i + 1) * ((1 - rate) / rate)).alias("t"), (s["p"] + s["t"] * i / (n - i + 1) * ((1 - rate) / rate)).alias("p"))
+    places = F.when(k > TERMS, F.sequence(k, k - F.ceil(10 * F.sqrt(a)) - 2, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    share = F.aggregate(places, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("p")), down, lambda s: s["p"])
+    return F.when(k >= n * rate, 1.0).when(k <= TERMS, F.least(F.lit(1.0), exact)).otherwise(F.least(F.lit(1.0), largest * share))
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -342,6 +342,22 @@ def test_statistics_and_certified_cutoffs(spark):
     assert abs(p - sum(comb(2000, i) * 0.005**i * 0.995 ** (2000 - i) for i in range(4))) < 1e-12
 
 
+def test_tails_of_many_terms_are_exact(spark):
+    from math import exp, fsum, lgamma, log
+
+    from evidentia.llm.quality_rules import tail
+
+    n, rate = 3_000_000, 0.005
+    term = lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(rate) + (n - i) * log(1 - rate))
+    places = [10001, 14511, 14560, 14990]
+    got = {r.k: r.p for r in spark.createDataFrame([(k, n) for k in places], "k long, n long").select("k", tail(F.col("k"), F.col("n"), rate).alias("p")).collect()}
+    for k in places:
+        want = fsum(term(i) for i in range(max(0, k - 3000), k + 1))
+        assert abs(got[k] / want - 1) < 1e-6 if want else got[k] == 0
+    # certified at 160 tests, but not by Chernoff's bound
+    assert got[14560] <= 0.05 / 160
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------------------------------
 
 
