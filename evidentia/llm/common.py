@@ -121,7 +121,10 @@ def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings of an Arrow column, null being empty, and where each begins (one entry more than strings)."""
-    column = column.cast(pa.string()).fill_null("")
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -159,3 +162,66 @@ def _words(data: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np
     value = sums[ends] - np.where(starts > 0, sums[starts - 1], U(0))
     hashes = mix(value * down[starts] + (ends - starts).astype(U))
     return hashes, np.searchsorted(starts, at)
+
+
+class Generations:
+    """A cache of bytes by bytes, bounded by its size in bytes: what was used least recently goes, a generation at a time."""
+
+    #: Bytes of an entry beside its key and value.
+    ENTRY = 200
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit // 2, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def fetch(self, keys: list[bytes], make) -> list[bytes]:
+        """The value of each key, in order; make(list of keys) gives those that are not known."""
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        young, old = self.young, self.old
+        missing = [k for k in keys if k not in young]
+        for k in missing:
+            if (v := old.pop(k, None)) is not None:
+                young[k] = v
+        new = [k for k in missing if k not in young]
+        if new:
+            young.update(zip(new, make(new), strict=True))
+        self.size += sum(map(len, missing)) + sum(len(young[k]) for k in missing) + self.ENTRY * len(missing)
+        return list(map(young.__getitem__, keys))
+
+
+def objects(column: pa.Array) -> list:
+    """The strings of a column without nulls; several times as fast as to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def chunks_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of the texts of a binary column without nulls, and the place of each text's first chunk (one entry more than texts).
+
+    A chunk is white space ([\\x20\\x09-\\x0D]) and the word after it; the last one of a text may be white space alone. They share the texts' bytes.
+    """
+    data, at = string_buffers(column)
+    n = len(data)
+    if not n:
+        return pa.array([], pa.binary()), np.zeros(len(at), np.int64)
+    space = _SPACE[data]
+    first = np.empty(n, bool)
+    first[0], first[1:] = True, space[1:] & ~space[:-1]
+    first[at[:-1][at[:-1] < n]] = True
+    starts = np.flatnonzero(first)
+    offsets = np.append(starts, n).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return chunks, np.searchsorted(starts, at)
+
+
+def expand(chunks: pa.Array, of_text: np.ndarray, cache: Generations, make) -> pa.Array:
+    """The values of each text's chunks one after another, as a binary column: only distinct chunks become Python objects."""
+    held = chunks.dictionary_encode()
+    values = pa.array(cache.fetch(objects(held.dictionary), make), pa.binary())
+    whole = values.take(held.indices)
+    if not len(whole):
+        return pa.array([b""] * (len(of_text) - 1), pa.binary())
+    _, offsets, data = whole.buffers()
+    ends = np.frombuffer(offsets, np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(of_text) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[of_text])), data if data is not None else pa.py_buffer(b"")])

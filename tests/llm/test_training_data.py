@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -454,7 +455,33 @@ def test_encoding_any_text(texts):
     from evidentia.llm.bpe import vocabulary
 
     own, library = vocabulary(BYTE), Tokenizer.from_file(BYTE)
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = own.encode_column(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.to_pylist()] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.decode_column(got).to_pylist() == texts
+
+
+def test_words_are_merged_alike_one_by_one_and_side_by_side():
+    from evidentia.llm.bpe import vocabulary
+
+    own, r = vocabulary(BYTE), random.Random(8)
+    words = [" " + "".join(r.choice("aeiounrstlhé&.") for _ in range(r.randrange(1, 30))) for _ in range(3000)] + [" aaaaaaaaaaaaa", "é"]
+    packed = [w.encode() for w in words]
+    ids, word = own.merged_side_by_side(packed)
+    together = [ids[word == k].tolist() for k in range(len(words))]
+    assert together == [own.merged(w) for w in packed]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids_of_words(packed)] == together
+
+
+def test_the_cache_of_two_generations_forgets_but_never_errs():
+    from evidentia.llm.common import Generations
+
+    cache, asked, r = Generations(6000), [], random.Random(2)
+    for _ in range(200):
+        keys = [b"%d" % r.randrange(60) for _ in range(r.randrange(20))]
+        keys = list(dict.fromkeys(keys))
+        assert cache.fetch(keys, lambda new: asked.extend(new) or [b"v" + k for k in new]) == [b"v" + k for k in keys]
+        assert len(cache.young) + len(cache.old) <= 60
+    assert len(asked) > 60
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------------------------------
