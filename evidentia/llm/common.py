@@ -50,27 +50,51 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests), a local one."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset a local one serves a local master; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else "file:///tmp/evidentia-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Tables that materialise() made and release() did not delete, in order.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the shared folder: a lost executor costs no recomputation, and Parquet keeps it small.
 
-    The table goes when the driver ends; results that were not written by then go with it.
+    The table goes with release(), or else when the driver ends; results that were not written by then go with it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/evidentia-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._made = path
+    return made
+
+
+def mark() -> int:
+    """A point in time, for release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables that were made since a mark, but for those given. Nothing that is still to be computed may read them."""
+    held = {df._made for df in kept}
+    for path in _MADE[since:]:
+        if path not in held:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(place, True)
+    _MADE[since:] = [p for p in _MADE[since:] if p in held]
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
