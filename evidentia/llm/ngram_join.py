@@ -1,25 +1,31 @@
 """N-gram Jaccard join: exact near-duplicate classes of whole texts in the Jaccard metric space of their word shingles.
 
 A document is the set of its distinct word 5-grams, A-Z folded; with fewer words, the whole sequence is its one shingle. Two documents link when
-their Jaccard distance is at most 1 - threshold. Only links between different sets are looked for: equal sets are one class from the start.
-
-1. *Pivots.* A distance to a random document is 1 for nearly all texts, so such pivots part nothing. The pivots here are shingles: a singleton set
-   is a point of the same metric space, and a document is near those it contains. One total order of all shingles (rare ones first, then by hash)
-   decides which of them may be a document's pivots: two documents within the distance must share one of the first
-   n - ceil(threshold * n) + 1 shingles of each.
-2. *Voronoi regions.* A pivot's region holds all documents that it is near to; a document on the boundary of several is replicated to each.
-   Regions with one document vanish. In small regions, pairs are counted and dropped unless the shared pivots alone can still lead to a link.
-   Regions that share their smallest document are merged into a cell, to which a set is sent once.
-3. *Recursive exact join.* A cell takes one of its documents as the next pivot, measures all its distances exactly, unites what is in reach, and goes
-   on with the rest. By the triangle inequality, a document at distance d from the pivot links only to those between d - r and d + r; if all in that
-   window are united with it already, it is passed over. Cells of more than CELL documents do the same across tasks, a pivot a round, sending the
-   pivot's set to blocks of the cell; what is left of a cell goes on to one task, or block against block if it is still too large.
-4. Links are contracted to connected components; the smallest doc_id names one.
+their Jaccard distance is at most r = 1 - threshold. Only links between different sets are looked for: equal sets are one class from the start.
+
+1. *Prefix stage.* Distances to document pivots are 1 for nearly all texts, so that windows of the triangle inequality would replicate every document to
+   every region. Documents are therefore first dealt by shingles. One total order of all shingles (rare ones first, then by hash) is fixed. A pair within
+   the distance has its first common shingle among the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller set, its core, and among the first
+   n - ceil(t n) + 1 of the larger, its boundary. So a shingle's region holds the documents with it in core or boundary, and regions without a core vanish.
+   In small regions, pairs are counted and dropped unless what they share there can still lead to a link. Regions that share their smallest document are
+   merged into a cell, to which a set is sent once.
+2. *Voronoi regions.* Cells over a bound of documents or shingles are parted around document pivots, measured exactly and across tasks. What is in reach
+   of a pivot is united with it. A document at distance d from its nearest pivot can link only to those between d - r and d + r from that pivot; if all of
+   them are united with it, it is settled and goes. Every other document belongs to the region of its nearest pivot, at d, and is replicated to those of
+   all pivots within d + 2 r, but for regions whose own documents are all nearer to their pivot by more than r: of two documents in reach of each other,
+   both are then in each one's region. Documents that share nothing with any pivot, at distance 1 from all, have a region of their own, with all that
+   are at least 1 - r from every pivot.
+3. *Recursion.* Regions are cells again, until they are within the bound. Where regions hold nearly all of their cell, as the distances in it leave
+   nothing to part, the cell is joined block against block instead.
+4. *Exact join.* Within a cell every document in turn is the pivot: its distances are measured and what is in reach is united, unless the same window
+   shows that all it could link to are united with it already.
+5. Links are contracted to connected components; the smallest doc_id names one.
 
 Rare-first order needs document frequencies: those of pivot candidates are counted over all documents, and the frequent ones go to all executors as a
 bitmap of fixed size. Two shingles that share a bit are both late in the order, which costs time, not links.
 
-Sets are of 62-bit hashes, classes of 128-bit fingerprints.
+Sets are of 62-bit hashes, classes of 128-bit fingerprints. A class is named by one row of the table of fingerprints, so that ids may repeat with other
+texts.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ import functools
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, bitmap, in_bitmap, map_batches, materialise, mix, tune, word_slices
@@ -39,11 +46,12 @@ from .components import connected_components
 FREQUENT = 32
 #: Documents of a region whose pairs are counted; larger regions become cells at once.
 SMALL = 48
-#: Documents of a cell that one task joins; larger cells are first contracted around pivots, in at most so many rounds.
-CELL, CONTRACTIONS = 2048, 8
-#: Steps in which contraction tells distances apart.
+#: Documents and shingles of a cell that one task joins; larger cells are parted around so many pivots at a time.
+CELL, CELL_SHINGLES, PIVOTS = 1024, 1 << 20, 8
+#: Steps in which a window tells distances apart.
 STEPS = 100
 _MASK = U((1 << 62) - 1)
+_KEY = ["id", "fp1", "fp2"]
 
 
 def shingle_sets(words: np.ndarray, at: np.ndarray, size: int):
@@ -88,41 +96,60 @@ def _candidates(size: int, part: Fraction):
     return run
 
 
+def _core(part: Fraction) -> Fraction:
+    """Of the smaller of two sets within reach, at least this part is common."""
+    return 2 * part / (1 + part)
+
+
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    return (int(np.add.reduce(mix(s ^ U(0xA0761D6478BD642F)))), int(np.add.reduce(mix(s ^ U(0xE7037ED1A0B428DB))))) if len(s) else (0, 0)
+
+
 def _pivots(size: int, part: Fraction, late):
-    """(id, n, fp1, fp2, last, pivots) of each document: its first shingles in the order, and the place of the last of them."""
+    """(id, n, fp1, fp2, core, last, pivots) of each document: its first shingles in the order, and the places of the last of its core and of them."""
+    core = _core(part)
 
     def run(batches):
         for batch in batches:
-            n, fps, last, kept = [], [], [], []
+            n, fps, inner, last, kept = [], [], [], [], []
             for _, s in _documents(batch, size):
                 n.append(len(s))
-                fps.append((int(np.add.reduce(mix(s ^ U(0xA0761D6478BD642F)))), int(np.add.reduce(mix(s ^ U(0xE7037ED1A0B428DB))))) if len(s) else (0, 0))
+                fps.append(_fingerprint(s))
                 if len(s):
                     behind = in_bitmap(late.value, s.view(np.int64))
-                    p = len(s) - _needed(len(s), part) + 1
+                    p, c = len(s) - _needed(len(s), part) + 1, len(s) - _needed(len(s), core) + 1
+                    front = len(s) - int(np.count_nonzero(behind))
                     s = np.concatenate([s[~behind], s[behind]])[:p]
-                    front = int(np.count_nonzero(~behind))
+                    inner.append(int(s[c - 1]) | (int(c > front) << 62))
                     last.append(int(s[-1]) | (int(p > front) << 62))
                 else:
+                    inner.append(0)
                     last.append(0)
                 kept.append(s)
             fps = np.array(fps, U).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U), *kept]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(last, pa.int64()), lists], ["id", "n", "fp1", "fp2", "last", "pivots"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(inner, pa.int64()), pa.array(last, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fp1", "fp2", "core", "last", "pivots"])
 
     return run
 
 
 def _sets(size: int, wanted):
-    """(member, shingles) of the documents that the bitmap lets through."""
+    """(id, fp1, fp2, shingles) of the documents that the bitmap of ids lets through, once a batch."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, ids)))
-            own = [s.tobytes() for _, s in _documents(batch, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["member", "shingles"])
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(0).fill_null(-1).to_numpy())))
+            ids, rows, seen = batch.column(0).to_pylist(), [], set()
+            for k, s in _documents(batch, size):
+                key = (ids[k], *_fingerprint(s))
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((*key, s.tobytes()))
+            fps = np.array([r[1:3] for r in rows], U).reshape(-1, 2).view(np.int64)
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array([r[3] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*_KEY, "shingles"])
 
     return run
 
@@ -192,89 +219,137 @@ def _join_cells(part: Fraction):
 
 
 def _cells(rows: DataFrame, part: Fraction) -> DataFrame:
-    """(cell, member) from the regions (token, rep, n, last, m, low): cells that together hold every pair that may link."""
-    small = rows.filter(F.col("m") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rep", "n", "last"))).alias("x"))
-    pairs = small.selectExpr("inline(flatten(transform(x, (a, i) -> transform(slice(x, i + 2, size(x)), b -> struct(a, b)))))").toDF("a", "b")
-    num, den = part.numerator, part.denominator
-    pairs = pairs.filter(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    # all of the one whose pivots end first are known: beyond them it can share n - p more at most, which is ceil(part * n) - 1
-    first = "if(a.last <= b.last, a.n, b.n)"
-    pairs = pairs.filter(f"shared >= ceil(({num} * (a.n + b.n)) / {num + den}D - 1e-6) - (ceil({num} * {first} / {den}D - 1e-6) - 1)")
-    pairs = materialise(pairs.selectExpr("a.rep as a", "b.rep as b"))
+    """(cell, member) from the regions (token, row, inner, n, core, last, m, low): cells that together hold every pair that may link.
+
+    inner: the token is in the row's core.
+    """
+    num, den, core = part.numerator, part.denominator, _core(part)
+    small = rows.filter(F.col("m") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "row", "inner", "core", "last"))).alias("x"))
+    made = "struct(struct(a.n as n, a.row as row, a.core as core) as a, struct(b.n as n, b.row as row, b.last as last) as b)"
+    pairs = small.selectExpr(f"inline(flatten(transform(x, (a, i) -> transform(filter(slice(x, i + 2, size(x)), b -> a.inner and {den} * a.n >= {num} * b.n), b -> {made}))))")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # of the one whose first shingles end first, what it shares up to there is known; at most the rest of it is shared beyond
+    rest = f"if(a.core <= b.last, ceil({core.numerator} * a.n / {core.denominator}D - 1e-6), ceil({num} * b.n / {den}D - 1e-6)) - 1"
+    pairs = pairs.filter(f"shared >= ceil(({num} * (a.n + b.n)) / {num + den}D - 1e-6) - ({rest})")
+    pairs = materialise(pairs.selectExpr("least(a.row, b.row) as a", "greatest(a.row, b.row) as b"))
     # a pair is in the cell of a third if that is the smallest partner of both
     lowest = pairs.groupBy("b").agg(F.min("a").alias("low"))
     of_a = lowest.select(F.col("b").alias("a"), F.col("low").alias("low_a"))
     pairs = pairs.join(lowest, "b").join(of_a, "a", "left").filter("a = low or low_a is null or low_a != low")
     cells = pairs.select(F.col("a").alias("cell"), F.explode(F.array("a", "b")).alias("member"))
-    return cells.unionByName(rows.filter(F.col("m") > SMALL).select(F.col("low").alias("cell"), F.col("rep").alias("member"))).distinct()
+    return cells.unionByName(rows.filter(F.col("m") > SMALL).select(F.col("low").alias("cell"), F.col("row").alias("member"))).distinct()
 
 
 def _measure(batches):
-    """(cell, member, pivot, shared, total) of blocks whose first row is the pivot: sizes of intersection and union with its set."""
-    key = pivot = centre = before = None
+    """(cell, member, pivot, shared, total) of blocks whose first rows are the pivots: sizes of intersection and union with each one's set."""
+    key, centres, before = None, {}, None
     for batch in batches:
         out = []
         for cell, block, first, member, shingles in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             own = np.frombuffer(shingles, U)
             if (cell, block) != key:
-                key, pivot, centre, before = (cell, block), member, own, None
-            if first and member != before:
+                key, centres, before = (cell, block), {}, None
+            if not first:
+                centres[member] = own
+            elif member != before:
                 before = member
-                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
-                shared = int(np.count_nonzero(centre[at] == own))
-                out.append((cell, member, pivot, shared, len(centre) + len(own) - shared))
+                for pivot, centre in centres.items():
+                    at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                    shared = int(np.count_nonzero(centre[at] == own))
+                    out.append((cell, member, pivot, shared, len(centre) + len(own) - shared))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["cell", "member", "pivot", "shared", "total"])
 
 
-def _contract(cells: DataFrame, docs: DataFrame, size: int, part: Fraction) -> tuple[DataFrame, DataFrame | None]:
-    """(cells, links): cells of over CELL documents lose those that can link only to documents that they are united with by links.
+def _unite(rows: pd.DataFrame) -> pd.DataFrame:
+    """(cell, node, to): the smallest node that each end of a cell's edges (x, y) is united with."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for x, y in zip(rows["x"].tolist(), rows["y"].tolist(), strict=True):
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    return pd.DataFrame({"cell": rows["cell"].iloc[0], "node": list(root), "to": [find(v) for v in root]})
+
+
+def _over(cells: DataFrame) -> DataFrame:
+    """(cell, m, blocks) of cells over the bound."""
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
+    return sizes.withColumn("blocks", blocks).filter((F.col("blocks") > 1) & (F.col("m") > 2)).select("cell", "m", "blocks")
 
-    A round takes a pivot in each such cell, one that no pivot reached so far if there is any, measures all distances to it and unites what is in
-    reach. A document stays only if one that it is not united with lies within the radius of its distance to the pivot, told in whole steps. So a group
-    of near copies costs one row per copy and round, however large it is. Documents that are alike but out of each other's reach stay; rounds end
-    where they remove less than a tenth.
+
+def _part(cells: DataFrame, docs: DataFrame, size: int, part: Fraction) -> tuple[DataFrame, DataFrame | None]:
+    """(cells, links): cells (cell, member, n, id, fp1, fp2) over the bound are parted into Voronoi regions, again and again; settled documents go.
+
+    A round costs one row per document and pivot. A group of near copies, however large, is settled in the round that takes one of it as a pivot. A cell
+    is left as it is if a round removes less than a tenth of it and its regions would save less than half of its pairs.
     """
-    spark = docs.sparkSession
-    large = materialise(cells.groupBy("cell").agg(F.count("*").alias("m")).filter(F.col("m") > CELL).select("cell"))
+    spark, radius = docs.sparkSession, float(1 - part)
+    large = materialise(_over(cells))
     if large.isEmpty():
         return cells, None
-    now = materialise(cells.join(large, "cell").select("cell", "member", F.col("member").alias("label"), F.lit(False).alias("seen")))
+    keys = ["member", "n", *_KEY]
+    now = materialise(cells.join(large.select("cell"), "cell").withColumn("label", F.col("member")).withColumn("seen", F.lit(False)))
     done, links = [cells.join(large, "cell", "left_anti")], []
-    wanted = spark.sparkContext.broadcast(bitmap(now, "member"))
-    sets = map_batches(docs, _sets(size, wanted), "member long, shingles binary")
-    sets = materialise(sets.join(now.select("member").distinct(), "member", "left_semi"))
-    window, before = int(float(1 - part) * STEPS) + 2, None
-    for k in range(CONTRACTIONS):
-        # by a hash, so that a round does not take the pivot of one before
-        pivots = now.groupBy("cell").agg(F.count("*").alias("m"), F.min(F.struct("seen", F.xxhash64("member", F.lit(k)), "member"))["member"].alias("pivot"))
-        pivots = materialise(pivots.filter(F.col("m") > CELL).select("cell", "pivot", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
-        if pivots.isEmpty():
-            break
-        active = now.join(pivots, "cell", "left_semi").count()
-        if k > 1 and active > 0.9 * before:
+    named = now.select(*keys).distinct()
+    wanted = spark.sparkContext.broadcast(bitmap(now, "id"))
+    sets = map_batches(docs, _sets(size, wanted), "id long, fp1 long, fp2 long, shingles binary")
+    sets = materialise(sets.join(named, _KEY).groupBy("member").agg(F.first("shingles").alias("shingles")))
+    window, k = int(radius * STEPS) + 2, 0
+    while True:
+        large = materialise(_over(now))
+        done.append(now.join(large, "cell", "left_anti").select("cell", *keys))
+        if large.isEmpty():
             break
-        before = active
-        done.append(now.join(pivots, "cell", "left_anti").select("cell", "member"))
-        now = now.join(pivots.select("cell", "blocks"), "cell")
+        now = materialise(now.join(large, "cell"))
+        # by a hash, so that a round does not take the pivots of one before
+        place = F.row_number().over(Window.partitionBy("cell").orderBy("seen", F.xxhash64("member", F.lit(k)), "member"))
+        pivots = materialise(now.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("cell", "blocks", F.col("member").alias("pivot")))
         rows = now.select("cell", F.pmod(F.xxhash64("member"), "blocks").cast("long").alias("block"), F.lit(1).cast("long").alias("first"), "member")
         centres = pivots.select("cell", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.lit(0).cast("long").alias("first"), F.col("pivot").alias("member"))
         keyed = rows.unionByName(centres).join(sets, "member").select("cell", "block", "first", "member", "shingles")
         keyed = keyed.repartition("cell", "block").sortWithinPartitions("cell", "block", "first", "member")
         found = map_batches(keyed, _measure, "cell long, member long, pivot long, shared long, total long")
-        found = found.withColumn("near", F.col("shared") * part.denominator >= F.col("total") * part.numerator)
-        found = materialise(now.join(found, ["cell", "member"]).withColumn("step", F.expr(f"cast((total - shared) * {STEPS} div total as int)")))
+        near = F.col("shared") * part.denominator >= F.col("total") * part.numerator
+        found = materialise(found.select("cell", "member", "pivot", near.alias("near"), (1 - F.col("shared") / F.col("total")).alias("d"), F.expr(f"cast((total - shared) * {STEPS} div total as int)").alias("step")))
         links.append(found.filter("near and member != pivot").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
-        # labels of seen rows: at most one for each round so far
-        united = found.filter("near").groupBy("cell").agg(F.min("label").alias("to"), F.collect_set(F.when(F.col("seen"), F.col("label"))).alias("old"))
-        # written, so that the join's two sides are plain shuffles and a hot cell can be split
-        found = found.join(materialise(united), "cell").withColumn("label", F.expr("if(near or array_contains(old, label), to, label)")).withColumn("seen", F.expr("seen or near"))
-        found = materialise(found.select("cell", "member", "label", "seen", "step"))
-        steps = found.groupBy("cell", "step").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        steps = materialise(steps.groupBy("cell").agg(F.collect_list(F.struct("step", "lo", "hi")).alias("steps")))
-        other = F.exists("steps", lambda s: (F.abs(s["step"] - F.col("step")) <= window) & ((s["lo"] != F.col("label")) | (s["hi"] != F.col("label"))))
-        now = materialise(found.join(steps, "cell").filter(other).select("cell", "member", "label", "seen"))
-    done.append(now.select("cell", "member"))
-    return materialise(functools.reduce(DataFrame.unionByName, done)), functools.reduce(DataFrame.unionByName, links)
+
+        own = found.groupBy("cell", "member").agg(F.min(F.struct("d", "pivot", "step")).alias("home"), F.min(F.when(F.col("near"), F.col("pivot"))).alias("by"), F.collect_set(F.when(F.col("near"), F.col("pivot"))).alias("reached"))
+        own = materialise(now.join(own, ["cell", "member"]))
+        # between pivots and the labels of documents that earlier rounds reached: a bounded number for each cell
+        ends = F.concat("reached", F.when(F.col("seen"), F.array("label")).otherwise(F.array().cast("array<bigint>")))
+        edges = own.filter("by is not null").select("cell", F.col("by").alias("x"), F.explode(ends).alias("y")).distinct()
+        united = materialise(edges.groupBy("cell").applyInPandas(_unite, "cell long, node long, to long"))
+        own = own.withColumn("node", F.coalesce("by", "label")).join(united, ["cell", "node"], "left")
+        own = materialise(own.withColumn("label", F.coalesce("to", "label")).withColumn("seen", F.expr("seen or by is not null")).drop("node", "to", "reached", "by"))
+        steps = found.select("cell", "member", "pivot", "step").join(own.select("cell", "member", "label"), ["cell", "member"])
+        steps = steps.groupBy("cell", "pivot", "step").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        steps = materialise(steps.groupBy("cell", "pivot").agg(F.collect_list(F.struct("step", "lo", "hi")).alias("steps")))
+        other = F.exists("steps", lambda s: (F.abs(s["step"] - F.col("home.step")) <= window) & ((s["lo"] != F.col("label")) | (s["hi"] != F.col("label"))))
+        own = own.withColumn("pivot", F.col("home.pivot")).join(steps, ["cell", "pivot"])
+        own = materialise(own.filter(other).select("cell", "m", *keys, "label", "seen", F.col("home.d").alias("nearest"), F.col("home.pivot").alias("home")))
+
+        reach = own.filter("nearest < 1").groupBy("cell", F.col("home").alias("pivot")).agg(F.max("nearest").alias("reach"))
+        regions = found.select("cell", "member", "pivot", "d").join(own.select("cell", "member", "nearest"), ["cell", "member"]).join(materialise(reach), ["cell", "pivot"])
+        regions = regions.filter(F.col("d") <= F.least(F.col("nearest") + 2 * radius, F.col("reach") + radius) + 1e-9).select("cell", "member", "pivot")
+        # documents without a shingle of any pivot, and those that may link to them
+        far = own.filter("nearest >= 1").select("cell").distinct()
+        rest = own.filter(F.col("nearest") >= 1 - radius - 1e-9).join(far, "cell").select("cell", "member", F.lit(-1).cast("long").alias("pivot"))
+        regions = materialise(regions.unionByName(rest))
+        pairs = regions.groupBy("cell", "pivot").agg(F.count("*").cast("double").alias("c")).groupBy("cell").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        left = own.groupBy("cell").agg(F.count("*").cast("double").alias("c"), F.max("m").alias("m"))
+        fate = F.when(F.col("pairs") <= 0.5 * F.col("c") * F.col("c"), "part").when(F.col("c") <= 0.9 * F.col("m"), "again").otherwise("blocks")
+        fates = materialise(left.join(pairs, "cell").select("cell", fate.alias("fate")))
+        own = own.select("cell", *keys, "label", "seen").join(fates, "cell")
+        done.append(own.filter("fate = 'blocks'").select("cell", *keys))
+        again = own.filter("fate = 'again'").drop("fate")
+        parted = own.filter("fate = 'part'").drop("fate").join(regions, ["cell", "member"]).withColumn("cell", F.xxhash64("cell", "pivot", F.lit(k))).drop("pivot")
+        now, k = materialise(again.unionByName(parted)), k + 1
+    return materialise(functools.reduce(DataFrame.unionByName, [d.select("cell", *keys) for d in done])), functools.reduce(DataFrame.unionByName, links)
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -282,35 +357,70 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     component_id is the smallest doc_id that links lead to, its own included. A null or empty text, or one without words, has no shingles and
     links with nothing. Equal texts always share a class. A row without id gets its n_shingles and no component. Rows that share an id are one
-    node. An empty table gives an empty result; other columns of docs are ignored. No row, partner or candidate is dropped at any size.
+    node with the links of all its texts, whatever their order. An empty table gives an empty result; other columns of docs are ignored. No row, partner
+    or candidate is dropped at any size.
     """
     spark, part = docs.sparkSession, Fraction(str(threshold)).limit_denominator(1000)
     tune(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = map_batches(docs, _candidates(size, part), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     late = spark.sparkContext.broadcast(bitmap(counted.filter(F.col("n") > FREQUENT), "token"))
-    found = materialise(map_batches(docs, _pivots(size, part, late), "id long, n long, fp1 long, fp2 long, last long, pivots array<long>"))
-
-    sets = found.filter("n > 0 and id is not null").select("id", "n", "fp1", "fp2")
-    classes = materialise(sets.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")))
-    shown = found.join(classes.select(F.col("rep").alias("id"), "fp1", "fp2", "n"), ["id", "fp1", "fp2", "n"], "left_semi")
-    regions = shown.select(F.explode("pivots").alias("token"), F.col("id").alias("rep")).repartition("token")
-    shared = regions.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").drop("high")
-    places = found.select(F.col("id").alias("rep"), "n", "last").dropDuplicates(["rep"])
-    cells = materialise(_cells(materialise(regions.join(shared.hint("shuffle_hash"), "token")).join(places, "rep"), part))
-    cells, contracted = _contract(cells, docs, size, part)
-
-    wanted = spark.sparkContext.broadcast(bitmap(cells, "member"))
-    members = map_batches(docs, _sets(size, wanted), "member long, shingles binary")
-    large = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    blocks = cells.join(large, "cell").withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = blocks.select(F.struct("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("key"), "member")
-    keyed = keyed.join(members, "member").select(F.to_json("key").alias("key"), "member", "shingles")
+    found = map_batches(docs, _pivots(size, part, late), "id long, n long, fp1 long, fp2 long, core long, last long, pivots array<long>")
+    # drawn once and kept
+    found = materialise(found.withColumn("row", F.monotonically_increasing_id()))
+
+    sets = found.filter("n > 0 and id is not null").select("id", "n", "fp1", "fp2", "row")
+    classes = materialise(sets.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("id", "row")).alias("f")).select("fp1", "fp2", "n", "f.id", "f.row"))
+    shown = found.join(classes.select("row"), "row", "left_semi")
+    of_core = f"n - ceil({_core(part).numerator} * n / {_core(part).denominator}D - 1e-6) + 1"
+    # a row and whether the token is in its core, in one number
+    regions = shown.select(F.posexplode("pivots").alias("at", "token"), "row", F.expr(of_core).alias("c")).select("token", F.expr("row * 2 + if(at < c, 1, 0)").alias("own")).repartition("token")
+    shared = regions.groupBy("token").agg(F.count("*").alias("m"), F.min("own").alias("low"), F.max(F.expr("own & 1")).alias("inner")).filter("m > 1 and inner = 1").select("token", "m", F.shiftright("low", 1).alias("low"))
+    regions = materialise(regions.join(shared.hint("shuffle_hash"), "token").select("token", F.shiftright("own", 1).alias("row"), F.expr("own & 1 = 1").alias("inner"), "m", "low"))
+    cells = materialise(_cells(regions.join(shown.select("row", "n", "core", "last"), "row"), part))
+    cells = materialise(cells.join(classes.select(F.col("row").alias("member"), "n", *_KEY), "member"))
+    cells, parted = _part(cells, docs, size, part)
+
+    wanted = spark.sparkContext.broadcast(bitmap(cells, "id"))
+    members = map_batches(docs, _sets(size, wanted), "id long, fp1 long, fp2 long, shingles binary")
+    # half as large as a cell, so that a task that joins two of them holds no more than one
+    blocks = cells.join(_over(cells).select("cell", (2 * F.col("blocks")).alias("blocks")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    keyed = blocks.select(F.struct("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("key"), "member", *_KEY)
+    keyed = keyed.join(members, _KEY).select(F.to_json("key").alias("key"), "member", "shingles")
     links = map_batches(keyed.repartition("key").sortWithinPartitions("key", "member"), _join_cells(part), "a long, b long")
-    components = connected_components(links if contracted is None else links.unionByName(contracted))
-
-    reps = classes.join(components, classes["rep"] == components["node"], "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("rep"))
+    links = links if parted is None else links.unionByName(parted)
+    # an id of several texts joins their classes
+    several = materialise(sets.groupBy("id").agg(F.min(F.struct("fp1", "fp2", "n")).alias("lo"), F.max(F.struct("fp1", "fp2", "n")).alias("hi")).filter("lo != hi").select("id", "lo"))
+    if not several.isEmpty():
+        of = classes.select("fp1", "fp2", "n", F.col("row").alias("a"))
+        texts = sets.select("id", "fp1", "fp2", "n").join(several, "id").distinct().join(of, ["fp1", "fp2", "n"])
+        first = several.select("id", "lo.*").join(of, ["fp1", "fp2", "n"]).select("id", F.col("a").alias("b"))
+        links = links.unionByName(texts.join(first, "id").select("a", "b"))
+    components = materialise(connected_components(links))
+
+    named = classes.select(F.col("row").alias("node"), "id").join(components, "node").groupBy("component").agg(F.min("id").alias("least"))
+    named = components.join(named, "component").select(F.col("node").alias("row"), "least")
+    reps = classes.join(named, "row", "left").select("fp1", "fp2", "n", F.coalesce("least", "id").alias("rep"))
     # written, so that the join's two sides are plain shuffles and a text of many copies can be split
     out = found.select("id", "n", "fp1", "fp2").join(materialise(reps), ["fp1", "fp2", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of each class those of its smallest id, each text of it once, and all rows without an id.
+
+    Of rows with equal id and text the least by their columns, in order, stays; these must then be of types with an order. A different text is never taken
+    for a repeat. Columns stay as they are, whatever their names.
+    """
+    classes = near_duplicate_classes(docs, id_col, text_col, size, threshold)
+    gone = materialise(classes.filter("component_id != doc_id").select(F.col("doc_id").alias("id")).distinct())
+    digest = F.coalesce(F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), digest.alias("digest"))
+    # digests alone are shuffled; repeated rows are few, if any
+    twice = materialise(whole.filter("id is not null").groupBy("id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("id", "digest"))
+    kept = whole.join(gone, "id", "left_anti")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(twice, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min("row").alias("row"))
+    return kept.join(twice, ["id", "digest"], "left_anti").select("row").unionByName(once.select("row")).select("row.*")
