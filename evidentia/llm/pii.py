@@ -10,6 +10,7 @@ the kind that the pattern's trusted identifiers mostly have.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,10 @@ _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9]){15,}")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _IDENTIFIER = re.compile(rb"(?<![^\x20\x09-\x0D(\[<\"'])(?=[^\x20\x09-\x0D]{0,32}[0-9])[A-Za-z0-9][A-Za-z0-9@._+/-]{4,30}[A-Za-z0-9](?![^\x20\x09-\x0D.,;:!?)\]>\"'])")
 _DIGIT = re.compile(rb"[0-9]")
+_RUN = re.compile(rb"[^\x20\x09-\x0D]+")
+_MARKS = b".,;:!?()[]<>\"'"
+#: Characters by which a word of a context counts: those nearest to the identifier.
+NEAR = 40
 
 
 def luhn(digits: bytes) -> bool:
@@ -71,15 +76,46 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def _words(part: bytes) -> list[bytes]:
-    return [w for x in part.split() if (w := x.strip(b".,;:!?()[]<>\"'").lower())]
+class _Words:
+    """Words around places of a text, found once for all of them.
 
+    A word is a run without white space, up to the place that is asked for, without marks at its edges, A-Z folded; marks alone are none. It counts by its
+    NEAR characters that are nearest to the place.
+    """
 
-def _patterns(text: bytes, start: int, end: int) -> list[str]:
+    def __init__(self, text: bytes):
+        self.text = text
+        self.spans = [m.span() for m in _RUN.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+
+    def before(self, place: int, n: int) -> list[str]:
+        """The n words that end before the place, or fewer, in order."""
+        found, k = [], bisect_left(self.starts, place) - 1
+        while k >= 0 and len(found) < n:
+            a, b = self.spans[k]
+            b = min(b, place)
+            if word := self.text[max(a, b - 4 * NEAR - 64) : b].strip(_MARKS).lower():
+                found.append(word.decode("utf-8", "ignore")[-NEAR:])
+            k -= 1
+        return found[::-1]
+
+    def after(self, place: int) -> list[str]:
+        """The word that begins after the place, if any."""
+        k = max(0, bisect_right(self.starts, place) - 1)
+        while k < len(self.spans):
+            a, b = self.spans[k]
+            a = max(a, place)
+            if a < b and (word := self.text[a : min(b, a + 4 * NEAR + 64)].strip(_MARKS).lower()):
+                return [word.decode("utf-8", "ignore")[:NEAR]]
+            k += 1
+        return []
+
+
+def _patterns(words: _Words, start: int, end: int) -> list[str]:
     """Patterns of the span: one and two words to the left, one to the right, one on each side."""
-    left, right = _words(text[max(0, start - 80) : start])[-2:], _words(text[end : end + 80])[:1]
+    left, right = words.before(start, 2), words.after(end)
     sides = [(left[-1:], []), (left if len(left) == 2 else [], []), ([], right), (left[-1:] if right else [], right if left else [])]
-    return [(b" ".join(a) + b" _ " + b" ".join(b)).decode("utf-8", "replace") for a, b in sides if a or b]
+    return [" ".join(a) + " _ " + " ".join(b) for a, b in sides if a or b]
 
 
 def _extract(batches):
@@ -99,7 +135,8 @@ def _extract(batches):
                     if len(_DIGIT.findall(m[0])) >= 4 and all(m.end() <= a or m.start() >= b for _, a, b in found):
                         other.append((None, *m.span(), place(m.start()), place(m.end())))
             spans.append([{"kind": k, "start": a, "end": b} for k, _, _, a, b in rows])
-            contexts.append([{"pattern": p, "instance": text[a:b].decode("utf-8", "replace"), "kind": k, "start": s, "end": e} for k, a, b, s, e in rows + other for p in _patterns(text, a, b)])
+            words = _Words(text) if rows or other else None
+            contexts.append([{"pattern": p, "instance": text[a:b].decode("utf-8", "replace"), "kind": k, "start": s, "end": e} for k, a, b, s, e in rows + other for p in _patterns(words, a, b)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), pa.array(contexts, context)], ["key", "spans", "contexts"])
 
 
@@ -150,17 +187,20 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", reliable: float
 
 
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with each span of personal data replaced by its kind in brackets; the columns stay as they are."""
-    found = find_personal_data(docs.withColumn("_own", F.col(text_col)), "_own", **options)
+    """docs with each span of personal data replaced by its kind in brackets; all other columns stay as they are, whatever their names."""
+    names = docs.columns
+    found = find_personal_data(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text")), "text", **options)
+    text = F.col("row")[text_col].cast("string")
     cut = F.array_sort(F.concat("spans", "more"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]).cast("int"))
-    found = found.withColumn("_cut", cut)
-    text = F.col(text_col)
+    found = found.select("row", text.alias("text"), cut.alias("cut"))
+    text = F.col("text")
     built = F.aggregate(
-        "_cut",
+        "cut",
         F.struct(F.lit("").alias("made"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.when(x["start"] < s["at"], F.struct(s["made"].alias("made"), F.greatest(s["at"], x["end"]).alias("at"))).otherwise(
             F.struct(F.concat(s["made"], F.substring(text, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("made"), x["end"].alias("at"))
         ),
         lambda s: F.concat(s["made"], F.substring(text, s["at"].cast("int") + 1, F.length(text))),
     )
-    return found.withColumn(text_col, F.when(F.size("_cut") == 0, text).otherwise(built)).select(docs.columns)
+    made = F.when(F.size("cut") == 0, text).otherwise(built)
+    return found.select(*[made.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
