@@ -158,10 +158,15 @@ WITH cut AS (
 bad AS (
   SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
   FROM cut JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]{1,18})', 1) AS BIGINT) GROUP BY page_id),
+sites AS (SELECT page_id, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS host FROM cut),
+labels_of AS (
+  SELECT *, string_split(host, '.') AS p, regexp_matches(host, '^[0-9.]+$') AS numbers, array_to_string(string_split(host, '.')[-2:], '.') IN
+    ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'ne.jp', 'com.br', 'com.cn', 'co.in', 'co.za') AS two
+  FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM sites LEFT JOIN bad USING (page_id) GROUP BY host)),
 hosts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k,
-    regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, list_extract(string_split(host, '.'), -1) AS suffix
-  FROM cut LEFT JOIN bad USING (page_id) GROUP BY host),
+  SELECT host, n, k, CASE WHEN numbers THEN host WHEN two THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+    CASE WHEN numbers THEN host WHEN two THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
+  FROM labels_of),
 known AS (SELECT * FROM hosts WHERE n > 0),
 total AS (SELECT sum(k) / sum(n)::DOUBLE AS mean FROM known),
 l0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, (SELECT mean FROM total) AS p FROM known GROUP BY suffix),
@@ -176,13 +181,18 @@ mu AS (SELECT coalesce((SELECT mean FROM total), 0.0) AS m, coalesce((SELECT c F
 of_suffix AS (SELECT suffix, (sum(k) + any_value(c0) * any_value(m)) / (sum(n) + any_value(c0)) AS ps FROM hosts, mu GROUP BY suffix),
 of_domain AS (SELECT domain, (sum(k) + any_value(c1) * any_value(ps)) / (sum(n) + any_value(c1)) AS pd FROM hosts JOIN of_suffix USING (suffix), mu GROUP BY domain),
 post AS (SELECT host, k + c2 * pd AS a, n - k + c2 * (1 - pd) AS b FROM hosts JOIN of_domain USING (domain), mu),
-bound AS (SELECT host, a / (a + b) - 1.645 * sqrt((a / (a + b)) * (b / (a + b)) / (a + b + 1)) AS lower FROM post),
+series AS (
+  SELECT host, sum(exp(lgamma(a + b + i) - lgamma(a + b) + lgamma(a + 1) - lgamma(a + 1 + i) + i * ln(0.5))) AS s
+  FROM post, range(0, 20000) AS t(i) WHERE a > 0 AND b > 0 GROUP BY host),
+bound AS (
+  SELECT host, CASE WHEN a <= 0 THEN 1.0 WHEN b <= 0 THEN 0.0 ELSE exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a + b) * ln(0.5)) / a * s END AS below
+  FROM post LEFT JOIN series USING (host)),
 rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 fit AS (
   SELECT host AS fh, path AS fp, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
   FROM (SELECT DISTINCT host, path FROM cut), rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
-SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM cut JOIN bound USING (host) LEFT JOIN fit ON fh = host AND fp = path
+SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN below < 0.05 THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut JOIN (SELECT DISTINCT host AS url_host, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS site FROM cut) ON url_host = host JOIN (SELECT host AS site, below FROM bound) USING (site) LEFT JOIN fit ON fh = host AND fp = path
 """
 
 _RULES_SQL = r"""
