@@ -88,6 +88,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -500, 500)))
 
 
+def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, upper: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, alpha) of the linear hinge-loss problem: least |w|^2 / 2 + bias^2 / 2 + sum of upper times the losses 1 - y (w x + bias), by dual
+    coordinate descent. A row has values at places; a round visits every row once, in an order that is fixed."""
+    norm = np.array([v @ v + 1.0 for v in values])
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(y))
+    shuffled = np.random.default_rng(7)
+    for _ in range(rounds):
+        for i in shuffled.permutation(len(y)):
+            g, v = rows[i], values[i]
+            slope = y[i] * (w[g] @ v + bias) - 1
+            new = min(max(alpha[i] - slope / norm[i], 0.0), upper[i])
+            if new != alpha[i]:
+                step = (new - alpha[i]) * y[i]
+                alpha[i] = new
+                w[g] += step * v
+                bias += step
+    return w, bias, alpha
+
+
 def fit(grams: list[np.ndarray], labels: np.ndarray, blend: float = BLEND, cost: float = COST, rounds: int = ROUNDS) -> Model:
     """A model from indicator lists and labels 0 or 1. With one class only, every score is 1 for label 1, 0 for label 0, and 0.5 without rows."""
     n, size = len(labels), 1 << LOG2
@@ -103,19 +122,7 @@ def fit(grams: list[np.ndarray], labels: np.ndarray, blend: float = BLEND, cost:
     y = np.where(labels == 1, 1.0, -1.0)
     # rare classes cost as much as frequent ones
     upper = cost * n / (2 * np.where(y > 0, labels.sum(), n - labels.sum()))
-    norm = np.array([v @ v + 1.0 for v in values])
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(n)
-    shuffled = np.random.default_rng(7)
-    for _ in range(rounds):
-        for i in shuffled.permutation(n):
-            g, v = rows[i], values[i]
-            slope = y[i] * (w[g] @ v + bias) - 1
-            new = min(max(alpha[i] - slope / norm[i], 0.0), upper[i])
-            if new != alpha[i]:
-                step = (new - alpha[i]) * y[i]
-                alpha[i] = new
-                w[g] += step * v
-                bias += step
+    w, bias, _ = dual_descent(rows, values, y, upper, size, rounds)
     scaled = (1 - blend) * np.abs(w[held]).mean() + blend * w
     weights = scaled * ratio
     model = Model(weights, bias, 1.0, 0.0)
@@ -179,3 +186,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     scored = map_batches(plain, run, f"row {kind}, score double")
     return scored.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are predicted to have label 1; all columns stay as they are, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return score(whole, model, "text").filter("predicted = 1").select("row.*")
