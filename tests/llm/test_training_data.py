@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -75,7 +76,7 @@ def near_copies():
 def test_near_duplicate_classes_are_those_of_all_pairs(spark, monkeypatch, small):
     from evidentia.llm import ngram_join
 
-    if small:  # more regions are cells, and cells are joined in blocks
+    if small:  # more regions are cells, and cells are parted or joined in blocks
         monkeypatch.setattr(ngram_join, "SMALL", small)
         monkeypatch.setattr(ngram_join, "CELL", 16)
         monkeypatch.setattr(ngram_join, "FREQUENT", 4)
@@ -94,18 +95,35 @@ def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got.collect()) == [(-1, -1), (2, 2), (4, 2), (4, 2)]
 
 
-def test_a_large_group_of_near_copies_is_contracted_around_its_pivots(spark, monkeypatch):
-    from evidentia.llm import ngram_join
+def test_an_id_of_several_texts_is_one_node_whatever_the_order(spark):
+    from evidentia.llm.ngram_join import near_duplicate_classes
 
-    monkeypatch.setattr(ngram_join, "CELL", 16)
-    left, contract = [], ngram_join._contract
+    a, b = prose(1, 300, 9999).split(), prose(2, 300, 9999).split()
+    texts = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (9, "other words of no one else at all")]
+    texts += [(5, " ".join(prose(3, 200, 9999).split())), (4, prose(4, 50, 9999)), (5, prose(4, 50, 9999))]
+    for rows in (texts, texts[::-1]):
+        got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (9, 9)]
 
-    def spied(cells, *rest):
-        made = contract(cells, *rest)
-        left.append((cells.count(), made[0].count()))
+
+def spied_parts(monkeypatch, ngram_join):
+    """Sizes (before, after) that _part sees, and the sizes of the cells that it leaves."""
+    seen, part = [], ngram_join._part
+
+    def spy(cells, *rest):
+        made = part(cells, *rest)
+        seen.append((cells.count(), made[0].count(), sorted(r["count"] for r in made[0].groupBy("cell").count().collect())))
         return made
 
-    monkeypatch.setattr(ngram_join, "_contract", spied)
+    monkeypatch.setattr(ngram_join, "_part", spy)
+    return seen
+
+
+def test_a_large_group_of_near_copies_is_settled_around_its_pivots(spark, monkeypatch):
+    from evidentia.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    seen = spied_parts(monkeypatch, ngram_join)
     base = prose(5, 200, 9999).split()
     texts = []
     for k in range(150):
@@ -114,7 +132,27 @@ def test_a_large_group_of_near_copies_is_contracted_around_its_pivots(spark, mon
         texts.append(" ".join(own))
     got = ngram_join.near_duplicate_classes(frame(spark, texts)).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 150
-    assert left[0][0] >= 150 and left[0][1] == 0
+    assert seen[0][0] >= 150 and seen[0][1] == 0
+
+
+def test_a_cell_of_several_groups_is_parted_into_their_regions(spark, monkeypatch):
+    from evidentia.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    seen = spied_parts(monkeypatch, ngram_join)
+    # chains around distant centres: a step is within reach, the ends of a chain are not
+    texts, want = [], {}
+    for group in range(6):
+        own = prose(60 + group, 120, 9999).split()
+        for k in range(40):
+            want[len(texts)] = 40 * group
+            own[(3 * k) % 120] = f"c{group}x{k}"
+            texts.append(" ".join(own))
+    cells = spark.createDataFrame([(0, k) for k in range(len(texts))], "cell long, member long")
+    monkeypatch.setattr(ngram_join, "_cells", lambda rows, part: rows.sparkSession.createDataFrame([(0, r.row) for r in rows.select("row").distinct().collect()], "cell long, member long"))
+    got = ngram_join.near_duplicate_classes(frame(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: c for k, (_, c) in classes_by_brute_force(texts).items()}
+    assert max(seen[0][2], default=0) <= 40 < cells.count()
 
 
 @settings(max_examples=40, deadline=None)
@@ -233,13 +271,36 @@ def test_only_unseen_blobs_and_rule_versions_are_scanned(spark):
     assert sorted(len(r.scanned) for r in more) == [len(RULES) - len(BASE)] * 5 + [len(RULES)]
 
 
+def test_a_merged_ledger_tells_what_a_full_scan_tells(spark):
+    from dataclasses import replace
+
+    from evidentia.llm.common import materialise
+    from evidentia.llm.secrets import RULES, findings_by_path, merge, scan_unseen
+
+    docs = frame(spark, SECRET_TEXTS + ["key AKIA" + "B" * 16, "token=abcdefgh"] + SECRET_TEXTS[:3])
+    say = lambda found: {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in found.collect()}
+    ledger = materialise(scan_unseen(docs.filter("doc_id % 2 = 0")))
+    ledger = materialise(merge(ledger, scan_unseen(docs, ledger)))
+    assert say(findings_by_path(docs, ledger)) == say(findings_by_path(docs, scan_unseen(docs)))
+    # a changed rule: its former findings are not told, its new ones are
+    changed = tuple(replace(r, least=40) if r.kind == "access" else r for r in RULES)
+    ledger = materialise(merge(ledger, scan_unseen(docs, ledger, changed)))
+    assert say(findings_by_path(docs, ledger, changed)) == say(findings_by_path(docs, scan_unseen(docs, None, changed), changed))
+    assert say(findings_by_path(docs, ledger, changed)) != say(findings_by_path(docs, ledger, RULES)) == say(findings_by_path(docs, scan_unseen(docs)))
+    assert {f[0] for own in say(findings_by_path(docs, ledger, RULES[:1])).values() for f in own} == {"assign"}
+    assert ledger.count() == ledger.select("blob").distinct().count()
+    again = merge(ledger, ledger)
+    assert sorted(map(str, again.collect())) == sorted(map(str, merge(ledger, ledger.limit(0)).collect()))
+    assert scan_unseen(docs, ledger, changed).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="pasword tkeni_AKI0f'\":=é+\n", max_size=80))
 def test_secret_scanner_on_any_text(t):
     from evidentia.llm.secrets import BASE, Scanner
 
     t = t.replace("p", "password=").replace("K", "AKIA" + "Z" * 14).replace("f", "f" * 12)
-    assert [f"{k}:{a}:{b}" for k, a, b in Scanner(BASE).scan(t.encode())] == secrets_by_brute_force(t)
+    assert [f"{r.kind}:{a}:{b}" for r, a, b in Scanner(BASE).scan(t.encode())] == secrets_by_brute_force(t)
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------------------------------
@@ -273,6 +334,76 @@ def test_rules_come_before_reputation(spark):
     assert judge(pages, outcomes.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
 
 
+def test_beta_posteriors_are_exact_at_any_size(spark):
+    from math import exp, fsum, lgamma, log
+
+    from evidentia.llm.url_filter import beta_below
+
+    def want(a, b):  # the series of the incomplete beta function at a half, on the side where it ends soon
+        if a < b:
+            return 1 - want(b, a)
+        terms = [exp(lgamma(a + b + i) - lgamma(a + b) + lgamma(a + 1) - lgamma(a + 1 + i) + i * log(0.5)) for i in range(20000)]
+        return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a + b) * log(0.5)) / a * fsum(terms)
+
+    cases = [(0.3, 9.7), (9.7, 0.3), (1.0, 1.0), (5.0, 2.5), (45.0, 5.0), (12.4, 11.1), (800.0, 700.0), (0.01, 0.02), (5050.0, 4950.0), (3.0, 400.0)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", beta_below(0.5, F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        assert abs(r.p - want(r.a, r.b)) < 1e-9, (r, want(r.a, r.b))
+    large = spark.createDataFrame([(5.002e8, 4.998e8), (0.0, 3.0), (3.0, 0.0)], "a double, b double").select(beta_below(0.5, F.col("a"), F.col("b")).alias("p")).collect()
+    # 25 298 pages above half of a thousand million: 12.6 standard deviations
+    assert 0 <= large[0].p < 1e-30 and [r.p for r in large[1:]] == [1.0, 0.0]
+
+
+def dressed_pages(spark, folder):
+    """Pages of hosts that differ in their outcomes, with ports, users, numbers and long suffixes; the method blocks some of them."""
+    hosts = [("bad.org", 0), ("BAD.org:8080", 0), ("u@mixed.net", 1), ("fine.co.uk", 2), ("worse.co.uk", 0), ("sub.bad.org", 3), ("10.0.0.1", 0), ("new.bad.org", 9), ("lone.info", 0)]
+    rows, labels, k = [], [], 0
+    for host, kind in hosts:
+        for j in range(2 if host == "lone.info" else 30):
+            k += 1
+            rows.append((k, f"http://{host}/de/{k}?q", "<p>"))
+            if kind != 9:
+                labels.append((k, int(not (kind == 0 or (kind == 1 and j % 2) or (kind == 3 and j % 3))), 0))
+    rows += [(k + 1, None, None), (k + 2, "no scheme", ""), (k + 3, "http://x.net/es/1", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+
+
+def duck(folder):
+    import duckdb
+
+    c = duckdb.connect()
+    for name in os.listdir(folder):
+        c.sql(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{folder}/{name}/*.parquet'")
+    return c
+
+
+def test_reputation_blocks_as_its_sql_does(spark, tmp_path):
+    from evidentia.llm.queries import ORACLES, op4_url_filter
+
+    dressed_pages(spark, str(tmp_path))
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in op4_url_filter(spark, str(tmp_path)).collect())
+    want = duck(str(tmp_path)).sql(ORACLES["op4_url_filter"]).fetchall()
+    assert got == sorted((i, h, p, r or "", v) for i, h, p, r, v in want)
+    verdicts = {h: v for _, h, _, r, v in got if not r}
+    assert verdicts["bad.org"] == verdicts["bad.org:8080"] == verdicts["worse.co.uk"] == "block"
+    assert verdicts["u@mixed.net"] == verdicts["fine.co.uk"] == verdicts["lone.info"] == "allow"
+
+
+def test_certified_rules_reject_as_their_sql_does(spark, tmp_path):
+    from evidentia.llm.queries import ORACLES, op6_quality_rules
+
+    texts = [prose(k, 60, 99999) for k in range(1700)] + [prose(k, 60, 99999).replace(" ", " *** ") for k in range(80)] + [prose(k, 60, 99999) + "\n" + "\n".join(["same line"] * 9) for k in range(60)] + [None, "", "few"]
+    frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 50 == 7, "fr").otherwise("en")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1840).selectExpr("id as doc_id", "cast(id < 1700 as int) as quality", "0 as toxic").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op6_quality_rules(spark, str(tmp_path)).toPandas()
+    want = duck(str(tmp_path)).sql(ORACLES["op6_quality_rules"]).df()
+    key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(int).itertuples(index=False)))
+    assert key(rows) == key(want)
+    own = rows.set_index("doc_id")
+    assert (~own.loc[1700:1779, "kept"] & ~own.loc[1700:1779, "base_failed"]).sum() > 70 and own.loc[:1699, "kept"].all()
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +423,37 @@ def test_classifier_ranks_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_dual_descent_solves_the_hinge_problem():
+    from evidentia.llm.quality_classifier import dual_descent
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 7)) * (r.random((60, 7)) < 0.6)
+    y = np.where(x @ r.normal(size=7) + r.normal(size=60) > 0, 1.0, -1.0)
+    upper = np.where(y > 0, 0.7, 1.3)
+    rows = [np.flatnonzero(v) for v in x]
+    w, bias, alpha = dual_descent(rows, [v[k] for v, k in zip(x, rows, strict=True)], y, upper, 7, 3000)
+    # weights are those of the dual, every condition of the optimum holds, and no gap is left
+    assert np.allclose(w, (alpha * y) @ x) and np.isclose(bias, alpha @ y)
+    margin = y * (x @ w + bias)
+    assert (margin[alpha <= 1e-9] >= 1 - 1e-6).all() and (margin[alpha >= upper - 1e-9] <= 1 + 1e-6).all()
+    free = (alpha > 1e-9) & (alpha < upper - 1e-9)
+    assert np.allclose(margin[free], 1, atol=1e-6) and free.any()
+    primal = lambda w, b: (w @ w + b * b) / 2 + upper @ np.maximum(0, 1 - y * (x @ w + b))
+    assert abs(primal(w, bias) - (alpha.sum() - (w @ w + bias * bias) / 2)) < 1e-6
+    # brute force: nothing near is better, in any direction
+    assert all(primal(w + d[:7], bias + d[7]) >= primal(w, bias) - 1e-9 for d in r.normal(size=(2000, 8)) * r.choice([1e-3, 1e-1, 1], (2000, 1)))
+
+
+def test_scaling_is_by_log_count_ratios():
+    from evidentia.llm.quality_classifier import LOG2, fit
+
+    grams = [np.array(g) for g in ([1, 2], [1, 3], [2, 3], [4, 5], [4, 3], [5, 3])]
+    model = fit(grams, np.array([1, 1, 1, 0, 0, 0]), blend=0.0)
+    # without support vectors' share, weights are proportional to the ratios: 1 and 2 alike, 3 in between, 4 and 5 their opposites
+    w = model.weights
+    assert w[1] == w[2] > w[3] > w[4] == w[5] and np.isclose(w[1], -w[4]) and np.count_nonzero(w) == 5 - (w[3] == 0) and len(w) == 1 << LOG2
+
+
 def test_classifier_without_labels_texts_or_rows(spark):
     from evidentia.llm.quality_classifier import fit_on, score
 
@@ -412,6 +574,24 @@ def test_discovered_identifiers_induce_patterns(spark):
     assert [(m.kind, right[20][m.start : m.end]) for r in find_personal_data(frame(spark, right)).collect() if r.doc_id == 20 for m in r.more] == [("phone", "0999-1234")]
 
 
+def test_contexts_are_whole_words_at_any_length(spark):
+    from evidentia.llm.pii import NEAR, _Words, find_personal_data, redact
+
+    long = "é" * 300 + "x"
+    w = _Words(f"one {long} two-words, ({long}) 1234-5678 ... {long} end".encode())
+    at = w.text.index(b"1234-")
+    assert w.before(at, 2) == ["two-words", long[-NEAR:]] and w.after(at + 9) == [long[:NEAR]]
+    assert w.before(0, 2) == [] and w.before(len(w.text), 1) == ["end"] and _Words(b"").after(0) == [] and _Words(b" a").before(1, 2) == []
+    # words of any length induce patterns, and a column of any name stays as it is
+    texts = [f"w{k} {long} phone{long} +1 555 {1000 + k} x{k}" for k in range(12)] + [f"a {long} phone{long} 0999-1234 b"]
+    docs = frame(spark, texts)
+    assert [(m.kind, texts[12][m.start : m.end]) for r in find_personal_data(docs).collect() if r.doc_id == 12 for m in r.more] == [("phone", "0999-1234")]
+    odd = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in ("spans", "more", "_cut", "_own", "row", "cut", "key")])
+    rows = {r.doc_id: r for r in redact(odd).collect()}
+    assert redact(odd).columns == odd.columns and rows[12].text == f"a {long} phone{long} [PHONE] b"
+    assert all(rows[0][c] == f"own {c}" for c in odd.columns[5:])
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -531,6 +711,34 @@ def test_each_stage_keeps_the_columns_and_drops_only_what_it_rejects(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_stages_keep_other_columns_and_other_texts_of_an_id(spark, sf):
+    import corpus_pipeline
+
+    same, other = prose(1, 90, 9999), prose(2, 90, 9999)
+    rows = [(1, same), (1, other), (2, same), (3, other + " end"), (4, prose(3, 90, 9999)), (4, prose(3, 90, 9999))]
+    names = ("score", "predicted", "_text", "spans", "more", "row", "stratum", "kept", "id", "digest", "held_out")
+    for own in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in own], SCHEMA).select("*", *[F.lit(c.upper()).alias(c) for c in names])
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns
+            assert all(r[c] == c.upper() for r in out.collect() for c in names)
+            if name == "n-gram Jaccard join":
+                assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted({(i, t) for i, t in rows if i in (1, 4)})
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 6
+
+
+def test_tables_are_released_but_for_those_kept(spark):
+    from evidentia.llm.common import mark, materialise, release
+
+    since = mark()
+    a, b = materialise(spark.range(3)), materialise(spark.range(4))
+    release(spark, since, b)
+    assert b.count() == 4 and mark() == since + 1
+    with pytest.raises(Exception):  # noqa: B017
+        a.count()
+
+
 def test_stages_take_nulls_repeats_and_long_texts(spark, sf):
     import corpus_pipeline
 
