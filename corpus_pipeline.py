@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, quality classifier, near duplicates, personal data, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Every stage works on all that its predecessor kept.
+one's docs. All but the last return the columns of documents. Every stage works on all that its predecessor kept. Null and empty texts fail the quality
+rules; rows without id, and rows that repeat an id with another text, stay rows of their own; repeated rows go as copies; an empty table gives an empty
+result; columns beside those of documents, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import ngram_join, packing, pii, quality_classifier, quality_rules
-from evidentia.llm.common import materialise
+from evidentia.llm.common import mark, materialise, release
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,16 +28,12 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Drop documents that are predicted to be of low quality, by a model of the labels of two thirds of them."""
     held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1
     model = quality_classifier.fit_on(docs, _labels(spark, sf_dir).filter(~held_out))
-    scored = quality_classifier.score(docs.withColumn("_text", F.col("text")), model, "_text")
-    return scored.filter("predicted = 1").select(docs.columns)
+    return quality_classifier.keep(docs, model)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class, once; all documents without an id."""
-    classes = ngram_join.near_duplicate_classes(docs)
-    gone = classes.filter("component_id != doc_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Keep the document with the smallest id of each class, each of its texts once; all documents without an id."""
+    return ngram_join.keep_one(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
+        since = mark() if before is None else before
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs)
+            release(spark, since, docs)  # what the stage made and read
+            before = mark() - 1
     return docs
