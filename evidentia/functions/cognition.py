@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import values as V
 from .evidence import clamp
+from .text import any_of, matches_any, research_terms
 
 
-def age_label(seconds: Column) -> Column:
-    """How long ago, in words."""
-    n = lambda d: F.floor(seconds / d).cast("string")
-    return (
-        F.when(seconds < 60, "just now").when(seconds < 3600, F.concat(n(60), F.lit(" min ago"))).when(seconds < 86400, F.concat(n(3600), F.lit(" h ago")))
-        .when(seconds < 604800, F.concat(n(86400), F.lit(" d ago"))).otherwise(F.concat(n(604800), F.lit(" wk ago")))
-    )
+def age_label(seconds: Column, label: Column) -> Column:
+    """A label with its age in whole days, hours or minutes; empty for what is unknown or yet to come."""
+    n = lambda size, unit: F.concat(label, F.lit(" "), F.floor(seconds / size).cast("string"), F.lit(f"{unit} ago"))
+    known = F.when(seconds >= 86400, n(86400, "d")).when(seconds >= 3600, n(3600, "h")).when(seconds >= 60, n(60, "m")).otherwise(F.concat(label, F.lit(" <1m ago")))
+    return F.when(seconds.isNull() | (seconds < 0), "").otherwise(known)
 
 
-def time_window(text: Column, now: Column) -> Column:
-    """Struct (start, end) that a text names, from `now` on: "in N minutes/hours/days" up to 366 days, or today/tomorrow with a part of the day."""
-    low = F.lower(text)
-    pattern = r"\bin\s+([0-9]{1,5})\s+(minute|hour|day)s?\b"
-    amount = F.regexp_extract(low, pattern, 1).cast("int")
-    unit = F.regexp_extract(low, pattern, 2)
-    minutes = amount * F.when(unit == "minute", 1).when(unit == "hour", 60).otherwise(1440)
-    due = now + F.make_interval(mins=minutes)
-    day = F.date_trunc("day", now) + F.make_interval(days=F.when(low.contains("tomorrow"), 1).otherwise(0))
-    part = lambda a, b: F.struct((day + F.make_interval(hours=F.lit(a))).alias("start"), (day + F.make_interval(hours=F.lit(b))).alias("end"))
-    named = low.rlike(r"\b(today|tomorrow|tonight)\b")
-    return (
-        F.when(low.rlike(pattern) & (minutes <= 366 * 1440), F.struct(due.alias("start"), due.alias("end")))
-        .when(named & low.contains("morning"), part(6, 12)).when(named & low.contains("afternoon"), part(12, 18)).when(named & (low.contains("evening") | low.contains("tonight")), part(18, 24)).when(named, part(0, 24))
+_SPACE = " \t\n\r\x0b\f"
+
+
+def _stripped(text: Column) -> Column:
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE))
+
+
+def _folded(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
+def time_window(expression: Column, said: Column, said_at: Column, now: Column, zone: Column, delay: Column) -> Column:
+    """Struct (due, until) of an expression of time that was said at a time; null unless it can be resolved and grounded.
+
+    The expression must occur in what was said: "in N minutes, hours, days or weeks"; today or tomorrow, with a part of the day, in a named time zone; or
+    a vague one with one of the delays (seconds) that may be suggested for it. It must be due after now, within 366 days. Times are in UTC; zone is an IANA
+    name or null.
+    """
+    phrase = _folded(expression)
+    span = r"^in ([0-9]{1,4}) (minute|hour|day|week)s?$"
+    unit = F.regexp_extract(phrase, span, 2)
+    size = reduce(lambda found, u: found.when(unit == u, V.TIME_UNITS[u]), V.TIME_UNITS, F.when(F.lit(False), 0))
+    later = lambda seconds: F.timestamp_seconds(F.unix_timestamp(said_at) + seconds)
+    exact = lambda due: F.struct(due.alias("due"), due.alias("until"))
+    day = r"^(today|tomorrow)(?: (morning|afternoon|evening|tonight))?$"
+    midnight = F.date_trunc("day", F.from_utc_timestamp(said_at, zone)) + F.make_interval(days=F.when(F.regexp_extract(phrase, day, 1) == "tomorrow", 1).otherwise(0))
+    part = F.regexp_extract(phrase, day, 2)
+    at = lambda k: F.to_utc_timestamp(midnight + F.make_interval(mins=reduce(lambda found, p: found.when(part == p, V.DAY_PARTS[p][k]), V.DAY_PARTS, F.when(F.lit(False), 0))), zone)
+    found = (
+        F.when(phrase.rlike(span), exact(later(F.regexp_extract(phrase, span, 1).try_cast("int") * size)))
+        .when(any_of(phrase, V.VAGUE_FUTURE) & delay.isin(*V.DEFERRALS), exact(later(delay)))
+        .when(phrase.rlike(day) & zone.isNotNull(), F.struct(at(0).alias("due"), at(1).alias("until")))
     )
+    holds = (phrase != "") & _folded(said).contains(phrase) & (found["due"] > now) & (F.unix_timestamp(found["due"]) <= F.unix_timestamp(now) + 366 * 86400) & (found["until"] >= found["due"])
+    return F.when(holds, found)
 
 
 def learning_score(retrieval: Column, rank: Column, exposures: Column, reinforcement: Column, curiosity: Column, retention: Column, interest: Column, expertise: Column, novelty: Column) -> Column:
@@ -52,12 +74,34 @@ def coverage(needed: Column, held: Column) -> Column:
     return F.when(F.size(needed) == 0, 1.0).otherwise(F.size(F.array_intersect(needed, held)) / F.size(F.array_distinct(needed)))
 
 
-def demand(text: Column) -> Column:
-    """What a message asks for: fact, explanation, recall or none, by its words; the first that fits."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"\b(remember|recall|did i|have i)\b"), "recall").when(low.rlike(r"\b(why|how|explain)\b"), "explanation")
-        .when(low.rlike(r"\b(who|what|when|where|which)\b") | low.rlike(r"\?\s*$"), "fact").otherwise("none")
+def _clause(text: Column) -> Column:
+    """The last question of a text, or else its last sentence, or else the text."""
+    parts = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), _stripped), lambda x: x != "")
+    asked = F.filter(parts, lambda x: F.endswith(x, F.lit("?")))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    return F.coalesce(last(asked), last(parts), _stripped(text))
+
+
+def demand(text: Column, character: Column) -> Column:
+    """Struct (route, reason, kind, topics, temporal, focus): what a message asks for.
+
+    Only what surely asks a character about itself goes to its own memory (`character`); all else is `general`.
+    """
+    clause = _clause(text)
+    own = clause.rlike(f"(?i){V.DEMAND_SECOND_PERSON}") & matches_any(clause, V.DEMAND_SELF_PATTERNS)
+    terms = F.filter(research_terms(clause, 16), lambda t: ~any_of(t, V.DEMAND_NOISE))
+    has = lambda words: F.exists(terms, lambda t: any_of(t, words))
+    kind = F.when(has(V.DEMAND_PREFERENCE_WORDS), "preference").when(has(V.DEMAND_MEMORY_WORDS), "memory").when(has(V.DEMAND_EXPERIENCE_WORDS), "experience").otherwise("history")
+    topics = F.filter(terms, lambda t: ~any_of(t, V.DEMAND_PREFERENCE_WORDS + V.DEMAND_MEMORY_WORDS + V.DEMAND_EXPERIENCE_WORDS))
+    prior = F.when(clause.rlike(f"(?i){V.DEMAND_PRIOR}"), "prior").otherwise("unspecified")
+    said = _stripped(text)
+    focus = F.btrim(F.concat_ws(" ", _stripped(character), F.array_join(terms, " ")))
+    reason = F.when(clause == "", "empty_focus").when(own, "character_self_knowledge").when(matches_any(clause, V.DEMAND_EXTERNAL_PATTERNS), "external_knowledge_question").otherwise("no_high_confidence_self_signal")
+    mine = (clause != "") & own
+    return F.struct(
+        F.when(mine, "character").otherwise("general").alias("route"), reason.alias("reason"), F.when(mine, kind).otherwise("general").alias("kind"),
+        F.when(mine, topics).otherwise(F.array().cast("array<string>")).alias("topics"), F.when(mine, prior).otherwise("unspecified").alias("temporal"),
+        F.when(mine, F.when(focus != "", focus).otherwise(clause)).otherwise(said).alias("focus"),
     )
 
 

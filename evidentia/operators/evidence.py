@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions import values as V
+from .graph import held
 
 
 def collapse(points: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key, polarity sign and correlation key: the largest weight and the latest order. Partial maxima are taken before the shuffle."""
+    """One row per key, polarity sign and correlation key: the largest weight and the latest order. Partial maxima are taken before the shuffle.
+
+    A point without a correlation key, null or empty, is evidence of its own.
+    """
     sign = F.when(F.col("polarity") >= 0, 1).otherwise(-1)
+    own = F.when(F.col("correlation_key") != "", F.col("correlation_key")).otherwise(F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string")))
+    points = points.withColumn("correlation_key", own)
     return points.groupBy(*keys, sign.alias("polarity"), "correlation_key").agg(F.max(E.clamp(F.col("weight"), 0.0, V.MOST_WEIGHT)).alias("weight"), F.max("ord").alias("ord"))
 
 
@@ -38,6 +44,25 @@ def belief(points: DataFrame, keys: list[str], mode: str = "accumulate", accept:
     return made.select(*keys, pos.alias("pos"), neg.alias("neg"), "n", E.stance(pos, neg, accept, margin).alias("stance"), F.round(F.abs(pos - neg), 6).alias("confidence"))
 
 
+def belief_by_family(points: DataFrame, keys: list[str], family: str = "family") -> DataFrame:
+    """belief() with each family's own policy: (keys, family, mode, pos, neg, n, stance, confidence, exclusive) of points that also have a family.
+
+    One pass: sides are aggregated in all modes at once, and the family's is taken.
+    """
+    rows = collapse(points, [*keys, family])
+    up, down = F.col("polarity") > 0, F.col("polarity") < 0
+    first = F.min(F.struct((-F.col("ord")).alias("o"), (-F.col("weight")).alias("w"), "correlation_key", "polarity")).alias("f")
+    most = lambda c: F.coalesce(F.max(F.when(c, F.col("weight"))), F.lit(0.0))
+    made = rows.groupBy(*keys, family).agg(first, most(up).alias("max_up"), most(down).alias("max_down"), E.noisy_or(F.col("weight"), up).alias("sum_up"), E.noisy_or(F.col("weight"), down).alias("sum_down"), F.count("*").alias("n"))
+    mode, accept, margin, exclusive = E.policy(F.col(family))
+    made = made.select("*", mode.alias("mode"), accept.alias("_accept"), margin.alias("_margin"), exclusive.alias("exclusive"))
+    latest = F.col("mode") == "latest"
+    side = lambda sign, top, both: F.round(F.when(latest, F.when(F.col("f.polarity") == sign, -F.col("f.w")).otherwise(0.0)).when(F.col("mode") == "max", F.col(top)).otherwise(F.col(both)), 6)
+    made = made.withColumn("pos", side(1, "max_up", "sum_up")).withColumn("neg", side(-1, "max_down", "sum_down"))
+    stance = E.stance(F.col("pos"), F.col("neg"), F.col("_accept"), F.col("_margin"))
+    return made.select(*keys, family, "mode", "pos", "neg", F.when(latest, 1).otherwise(F.col("n")).cast("long").alias("n"), stance.alias("stance"), F.round(F.abs(F.col("pos") - F.col("neg")), 6).alias("confidence"), "exclusive")
+
+
 def exclusive_slot(beliefs: DataFrame, slot: list[str], newest: Column) -> DataFrame:
     """Of atoms that exclude each other in a slot only the newest stays; the others become unresolved without support."""
     first = F.row_number().over(Window.partitionBy(*slot).orderBy(newest.desc_nulls_last(), F.col("atom"))) == 1
@@ -48,16 +73,18 @@ def exclusive_slot(beliefs: DataFrame, slot: list[str], newest: Column) -> DataF
 
 
 def conflicts(props: DataFrame, id_col: str = "id") -> DataFrame:
-    """(a, b, kind, weight) of propositions (id, topic, predicate, object, polarity) of one topic: opposite polarity 1.0, another exclusive object .85.
+    """(a, b, kind, weight) of propositions (id, topic, predicate, object, polarity) of one topic: opposite polarity 1.0, whatever the objects; of equal
+    polarity, another object of an exclusive predicate .85, where both have one.
 
     Propositions are first reduced to distinct objects and polarities per topic, and conflicts are found between those groups through each group's smallest
     id, so that a topic with many repeats costs no pair of each.
     """
-    groups = props.groupBy("topic", "predicate", "object", "polarity").agg(F.min(id_col).alias("id"))
+    groups = held(props.groupBy("topic", "predicate", "object", "polarity").agg(F.min(id_col).alias("id")))
     a, b = groups.alias("a"), groups.alias("b")
     pairs = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.id") < F.col("b.id")))
-    opposite = (F.col("a.polarity") != F.col("b.polarity")) & F.col("a.object").eqNullSafe(F.col("b.object"))
-    exclusive = F.col("a.predicate").isin(list(V.EXCLUSIVE_PREDICATES)) & (F.col("a.polarity") == F.col("b.polarity")) & ~F.col("a.object").eqNullSafe(F.col("b.object"))
+    opposite = F.col("a.polarity") != F.col("b.polarity")
+    some = (F.col("a.object") != "") & (F.col("b.object") != "") & (F.col("a.object") != F.col("b.object"))
+    exclusive = F.col("a.predicate").isin(list(V.EXCLUSIVE_PREDICATES)) & some
     found = pairs.filter(opposite | exclusive)
     return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.when(opposite, "polarity").otherwise("exclusive").alias("kind"), F.when(opposite, 1.0).otherwise(0.85).alias("weight"))
 
@@ -107,8 +134,9 @@ def exact_admission(claims: DataFrame, scope: list[str], *order: Column) -> Data
 def matrix_verdict(votes: DataFrame, key: str, proposal: DataFrame, least: float = 4, margin: float = 3, stability: float = 0.75) -> DataFrame:
     """(key, winner, score, margin, stability, status) of votes (key, candidate, axis, value) and proposals (key, proposal, protected).
 
-    Stability is the share of axes without which the winner stays the same. Order: score descending, then name. Both rankings are aggregates per key; a key
-    has one row per candidate and axis.
+    Stability is the share of axes without which the winner stays the same. Order: score descending, then name. A protected proposal is verified if it
+    wins, and else stays explicitly; one without votes has insufficient evidence. Both rankings are aggregates per key; a key has one row per candidate
+    and axis.
     """
     sums = votes.groupBy(key, "candidate").agg(F.sum("value").alias("score"))
     ranked = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "candidate"))).alias("r"))
@@ -117,7 +145,11 @@ def matrix_verdict(votes: DataFrame, key: str, proposal: DataFrame, least: float
     without = axes.join(sums, key).join(votes.select(key, "candidate", "axis", "value"), [key, "candidate", "axis"], "left")
     left = without.groupBy(key, "axis").agg(F.min(F.struct((F.coalesce("value", F.lit(0.0)) - F.col("score")).alias("s"), "candidate"))["candidate"].alias("c"))
     stable = left.join(top.select(key, "winner"), key).groupBy(key).agg(F.avg(F.when(F.col("c") == F.col("winner"), 1.0).otherwise(0.0)).alias("stability"))
-    out = top.join(stable, key).join(proposal, key).withColumn("margin", F.col("score") - F.col("second"))
+    out = proposal.join(top, key, "left").join(stable, key, "left").na.fill(0.0, ["score", "second", "stability"]).withColumn("margin", F.col("score") - F.col("second"))
     weak = (F.col("score") < least) | (F.col("margin") < margin) | (F.col("stability") < stability)
-    status = F.when(F.col("protected"), "protected").when(F.col("winner") != F.col("proposal"), "challenged").when(weak, "fragile").otherwise("verified")
+    agrees = F.col("winner") == F.col("proposal")
+    status = (
+        F.when(F.col("winner").isNull(), "insufficient_evidence").when(F.col("protected"), F.when(agrees, "verified").otherwise("protected_explicit"))
+        .when(~agrees, "challenged").when(weak, "fragile").otherwise("verified")
+    )
     return out.select(key, "winner", "score", "margin", F.round("stability", 6).alias("stability"), status.alias("status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from .graph import held
 
 
@@ -14,20 +15,59 @@ def collapse(rows: DataFrame, group: list[str], bonus: float = 0.35) -> DataFram
     return best.select(*group, F.col("b.id").alias("id"), F.round(-F.col("b.s") + F.least(F.lit(bonus), 0.12 * F.log(F.col("n").cast("double"))), 6).alias("score"), "n")
 
 
-def allocate(sections: DataFrame, total: int) -> DataFrame:
-    """(owner, name, granted) of sections (owner, name, priority, need, cap): by priority, then name, each gets what it needs up to its cap and what is left.
-    A running sum suffices: what is granted before a section is the least of the budget and the capped needs before it."""
-    want = F.least("need", "cap")
-    before = F.coalesce(F.sum("want").over(Window.partitionBy("owner").orderBy("priority", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = sections.withColumn("want", want).withColumn("before", before)
-    return out.select("owner", "name", F.greatest(F.lit(0), F.least(F.col("want"), F.lit(total) - F.col("before"))).alias("granted"))
-
-
-def excerpt(text: Column, size: int) -> Column:
-    """A text within a size: its head and its tail around an ellipsis if it is too long."""
-    head = (size - 3) * 2 // 3
-    tail = size - 3 - head
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("..."), F.right(text, F.lit(tail))))
+def excerpt(text: Column, size: Column) -> Column:
+    """A text within a size: its head and its tail around a marker, at ends of sentences where there are any near the cuts."""
+    marker = len(V.EXCERPT_MARKER)
+    head = F.floor((size - marker) / 2).cast("int")
+    tail = size - marker - head
+    first, last = F.substring(text, F.lit(1), head), F.right(text, tail)
+    whole = F.regexp_extract(first, r"(?s)^(.*[.!?]) ", 1)
+    lead = F.regexp_extract(last, r"(?s)^(.*?[.!?] )", 1)
+    first = F.when((F.length(whole) > 0) & (F.length(whole) - 1 >= F.floor(head / 2)), whole).otherwise(first)
+    last = F.when((F.length(lead) > 0) & (F.length(lead) <= F.floor(tail / 2)), F.substring(last, F.length(lead) + 1, F.length(last))).otherwise(last)
+    space = F.lit(" \t\n\r\x0b\f")
+    cut = F.concat(F.rtrim(first, space), F.lit(V.EXCERPT_MARKER), F.ltrim(last, space))
+    small = F.substring(F.lit(V.EXCERPT_TOO_SMALL), F.lit(1), F.greatest(F.lit(0), size))
+    return F.when(F.length(text) <= size, text).when(size <= marker + 2, small).otherwise(cut)
+
+
+def render(sections: DataFrame, tokens: int) -> DataFrame:
+    """(owner, text, omitted) of sections (owner, ord, priority, cap, kind, entries): what fits a budget of tokens of four characters.
+
+    Room goes by priority, then order, up to a section's cap (null: no cap); text comes in order. A section that does not fit is left out if it is
+    `atomic`, shortened to an excerpt after its first entry if it is `excerpts`, and else keeps whole entries up to the first that does not fit. Where
+    anything is missing, a notice says so. State runs over an owner's sections within a row: one array per owner, of the sections that it has.
+    """
+    limit = 4 * max(0, tokens)
+    full = F.array_join("entries", "\n")
+    own = sections.select("owner", F.struct("priority", "ord", "cap", "kind", "entries", full.alias("full")).alias("x")).filter("x.full != ''")
+    per = own.groupBy("owner").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def whole_entries(entries: Column, cap: Column) -> Column:
+        start = F.struct(F.lit("").alias("made"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def add(s: Column, e: Column) -> Column:
+            fits = s["open"] & (F.length(s["made"]) + F.length(e) + F.when(s["n"] > 0, 1).otherwise(0) <= cap)
+            made = F.when(s["n"] > 0, F.concat(s["made"], F.lit("\n"), e)).otherwise(e)
+            return F.struct(F.when(fits, made).otherwise(s["made"]).alias("made"), (s["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+        return F.aggregate(entries, start, add, lambda s: s["made"])
+
+    def step(s: Column, x: Column) -> Column:
+        cap = F.least(s["left"], F.coalesce(x["cap"], s["left"]))
+        head = F.get(x["entries"], F.lit(0))
+        room = cap - F.length(head) - 1
+        rest = F.array_join(F.slice(x["entries"], F.lit(2), F.greatest(F.lit(0), F.size(x["entries"]) - 1)), "\n")
+        shortened = F.when(F.size(x["entries"]) > 1, F.when(room >= 64, F.concat(head, F.lit("\n"), excerpt(rest, room))).otherwise("")).otherwise(F.when(cap >= 64, excerpt(x["full"], cap)).otherwise(""))
+        value = F.when(F.length(x["full"]) <= cap, x["full"]).when(x["kind"] == "atomic", "").when(x["kind"] == "excerpts", shortened).otherwise(whole_entries(x["entries"], cap))
+        left = F.when(value != "", s["left"] - F.length(value) - 1).otherwise(s["left"])
+        done = F.when(value != "", F.concat(s["done"], F.array(F.struct(x["ord"].cast("long").alias("ord"), value.alias("value"))))).otherwise(s["done"])
+        return F.struct(left.cast("int").alias("left"), done.alias("done"), (s["omitted"] | (value != x["full"])).alias("omitted"))
+
+    start = F.struct(F.lit(max(0, limit - len(V.OMISSION) - 2)).alias("left"), F.array().cast("array<struct<ord:bigint,value:string>>").alias("done"), F.lit(False).alias("omitted"))
+    made = per.select("owner", F.aggregate("xs", start, step).alias("s")).select("owner", F.array_join(F.transform(F.array_sort("s.done"), lambda d: d["value"]), "\n").alias("text"), F.col("s.omitted").alias("omitted"))
+    text = F.when(F.col("omitted"), F.concat("text", F.when(F.col("text") != "", "\n").otherwise(""), F.lit(V.OMISSION))).otherwise(F.col("text"))
+    return made.select("owner", F.substring(text, 1, limit).alias("text"), "omitted")
 
 
 def frame(owner: str, **parts: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -41,14 +81,16 @@ def frame(owner: str, **parts: tuple[DataFrame, list[str]]) -> DataFrame:
 
 def memory_scope(lineage: DataFrame, worlds: DataFrame, peers: DataFrame, depth: int = 64, hops: int = 8) -> DataFrame:
     """(instance, source, rank): what an instance may remember: its ancestors by depth, instances reached by continued worlds from 100000 on, peers at 200000;
-    the least rank of each source. lineage (instance, parent), worlds (instance, next), peers (a, b)."""
+    the least rank of each source. lineage (instance, parent), worlds (instance, next), peers (a, b).
+
+    A step keeps each pair once, at its first depth, so that several ways to a source never multiply, and circles end."""
 
     def climb(edges: DataFrame, a: str, b: str, most: int) -> DataFrame:
-        step = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_b is not null")
+        step = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).filter("_b is not null").distinct()
         found = now = step.select(F.col("_a").alias("instance"), F.col("_b").alias("source"), F.lit(1).alias("d"))
         for k in range(2, most + 1):
-            now = now.join(step, now["source"] == step["_a"]).select("instance", F.col("_b").alias("source"), F.lit(k).alias("d"))
-            now = held(now)
+            now = now.join(step, now["source"] == step["_a"]).select("instance", F.col("_b").alias("source")).distinct()
+            now = held(now.join(found, ["instance", "source"], "left_anti").withColumn("d", F.lit(k)))
             if now.isEmpty():
                 break
             found = found.unionByName(now)

@@ -7,34 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions import cognition as C
 from ..functions import text as T
+from ..functions import values as V
 from ..operators import presentation as P
 from .registry import query, table
 
 
-@query("""SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' h ago' WHEN s < 604800 THEN (s // 86400) || ' d ago' ELSE (s // 604800) || ' wk ago' END AS age FROM (SELECT event_id, (epoch(TIMESTAMP '2024-02-01') - epoch(date_trunc('second', ts)))::BIGINT AS s FROM events)""")
+@query("""SELECT event_id, CASE WHEN s < 0 THEN '' WHEN s >= 86400 THEN 'seen ' || (s // 86400) || 'd ago' WHEN s >= 3600 THEN 'seen ' || (s // 3600) || 'h ago' WHEN s >= 60 THEN 'seen ' || (s // 60) || 'm ago' ELSE 'seen <1m ago' END AS age FROM (SELECT event_id, (epoch(TIMESTAMP '2024-01-20') - epoch(date_trunc('second', ts)))::BIGINT AS s FROM events)""")
 def age_labels(spark, sf):
-    """Ages as of a given time."""
-    s = F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_timestamp("ts")
-    return table(spark, sf, "events").select("event_id", C.age_label(s).alias("age"))
+    """Ages as of a given time; what is yet to come has none."""
+    s = F.unix_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp")) - F.unix_timestamp("ts")
+    return table(spark, sf, "events").select("event_id", C.age_label(s, F.lit("seen")).alias("age"))
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN epoch(o_orderdate + to_minutes((o_orderkey % 90 * 60)::INT))::BIGINT WHEN 1 THEN epoch(date_trunc('day', o_orderdate) + INTERVAL 30 HOURS)::BIGINT WHEN 2 THEN epoch(date_trunc('day', o_orderdate) + INTERVAL 18 HOURS)::BIGINT ELSE -1 END AS start FROM orders""")
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 9 AS k, o_orderkey % 400 AS n, epoch(o_orderdate)::BIGINT AS said, epoch(date_trunc('day', o_orderdate))::BIGINT AS noon FROM orders),
+d AS (SELECT id, k, said, CASE k WHEN 0 THEN said + n * 3600 WHEN 1 THEN noon + 86400 + 480 * 60 WHEN 2 THEN noon + 1080 * 60 WHEN 3 THEN said + n * 604800 WHEN 4 THEN said + 3600 WHEN 6 THEN noon + 86400 + 540 * 60 WHEN 7 THEN noon + 1020 * 60 END AS due,
+ CASE k WHEN 0 THEN said + n * 3600 WHEN 1 THEN noon + 86400 + 720 * 60 WHEN 2 THEN noon + 1439 * 60 WHEN 3 THEN said + n * 604800 WHEN 4 THEN said + 3600 WHEN 6 THEN noon + 86400 + 1020 * 60 WHEN 7 THEN noon + 1260 * 60 END AS till FROM t)
+SELECT id, coalesce(CASE WHEN due > said AND due <= said + 366 * 86400 THEN due END, -1) AS due, coalesce(CASE WHEN due > said AND due <= said + 366 * 86400 THEN till END, -1) AS until FROM d""")
 def natural_time_windows(spark, sf):
-    """When a text's words mean, from the order's date on."""
-    k = F.col("o_orderkey") % 4
-    said = F.when(k == 0, F.concat(F.lit("wake me in "), (F.col("o_orderkey") % 90).cast("string"), F.lit(" hours"))).when(k == 1, "tomorrow morning then").when(k == 2, "see you tonight").otherwise("some day")
-    w = C.time_window(said, F.col("o_orderdate").cast("timestamp"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.unix_timestamp(w["start"]), F.lit(-1)).cast("long").alias("start"))
+    """What expressions of time mean, from the order's date on: durations, parts of days, a vague one with a delay, one that was not said, one out of range."""
+    k, n = F.col("o_orderkey") % 9, (F.col("o_orderkey") % 400).cast("string")
+    named = {0: F.concat(F.lit("In "), n, F.lit(" hours")), 1: F.lit("tomorrow  morning"), 2: F.lit("today tonight"), 3: F.concat(F.lit("in "), n, F.lit(" weeks")), 4: F.lit("later"), 5: F.lit("today"), 6: F.lit("tomorrow"), 7: F.lit("today evening")}
+    phrase = F.coalesce(*[F.when(k == j, v) for j, v in named.items()], F.lit("some day"))
+    said = F.when(k == 5, "call me").otherwise(F.concat(F.lit("Call me "), phrase, F.lit(", please")))
+    at = F.col("o_orderdate").cast("timestamp")
+    w = C.time_window(phrase, said, at, at, F.lit("UTC"), F.lit(3600))
+    second = lambda c: F.coalesce(F.unix_timestamp(c), F.lit(-1)).cast("long")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), second(w["due"]).alias("due"), second(w["until"]).alias("until"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS id, p_size / 100.0::DOUBLE AS r, 1 + p_partkey % 5 AS k, p_partkey % 7 AS e, p_partkey % 3 AS f, (p_partkey % 11) / 10.0::DOUBLE AS c FROM part)
-SELECT id, round(0.20 * least(1.0, 4 * r) + 0.10 / k + 0.15 * least(1.0, e / 3) + 0.18 * least(1.0, f / 2) + 0.12 * c + 0.12 * c + 0.06 * r + 0.05 * c + 0.02 * r, 6) AS score, 0.20 * least(1.0, 4 * r) + 0.10 / k + 0.15 * least(1.0, e / 3) + 0.18 * least(1.0, f / 2) + 0.24 * c + 0.08 * r + 0.05 * c >= 0.7199 AS eligible FROM c""")
+SELECT id, round(0.20 * least(1.0, 4 * r) + 0.10 / k + 0.15 * least(1.0, e / 3) + 0.18 * least(1.0, f / 2) + 0.12 * c + 0.12 * c + 0.06 * r + 0.05 * c + 0.02 * r, 6) AS score, round(0.20 * least(1.0, 4 * r) + 0.10 / k + 0.15 * least(1.0, e / 3) + 0.18 * least(1.0, f / 2) + 0.24 * c + 0.08 * r + 0.05 * c, 6) >= 0.72 AS eligible FROM c""")
 def learning_scores(spark, sf):
     """What parts, taken as sections, have earned to be learnt."""
     p = F.col("p_partkey")
     r, c = F.col("p_size") / 100.0, p % 11 / 10.0
     s = C.learning_score(r, 1 + p % 5, p % 7, p % 3, c, c, r, c, r)
-    return table(spark, sf, "part").select(p.alias("id"), F.round(s, 6).alias("score"), (s >= 0.7199).alias("eligible"))
+    return table(spark, sf, "part").select(p.alias("id"), F.round(s, 6).alias("score"), (F.round(s, 6) >= V.LEARNING_THRESHOLD).alias("eligible"))
 
 
 @query("""SELECT c_nationkey AS k, CASE max(CASE c_custkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END) WHEN 4 THEN 'member' WHEN 3 THEN 'compatible' WHEN 2 THEN 'candidate' ELSE 'challenged' END AS status, max(c_acctbal) AS affinity, max(c_custkey % 10) AS confidence FROM customer GROUP BY ALL""")
@@ -75,22 +83,47 @@ def event_collapse(spark, sf):
     return P.collapse(o.select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 1000, 3).alias("score")), ["owner", "kind"])
 
 
-@query("""WITH s AS (SELECT conv_id AS owner, role AS name, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS priority, sum(length(text))::BIGINT AS need, CASE role WHEN 'assistant' THEN 900 ELSE 400 END AS cap FROM conversations GROUP BY ALL),
-w AS (SELECT *, least(need, cap) AS want FROM s), b AS (SELECT *, coalesce(sum(want) OVER (PARTITION BY owner ORDER BY priority, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
-SELECT owner, name, greatest(0, least(want, 1000 - before))::BIGINT AS granted FROM b""")
-def section_budget(spark, sf):
-    """Room for each role's text in a conversation, by priority and cap."""
-    c = table(spark, sf, "conversations")
-    need = c.groupBy(F.col("conv_id").alias("owner"), F.col("role").alias("name")).agg(F.sum(F.length("text")).alias("need"))
-    s = need.select("owner", "name", F.when(F.col("name") == "system", 0).when(F.col("name") == "user", 1).otherwise(2).alias("priority"), "need", F.when(F.col("name") == "assistant", 900).otherwise(400).alias("cap"))
-    return P.allocate(s, 1000).withColumn("granted", F.col("granted").cast("long"))
+_NOTICE = f"'{V.OMISSION}'"
+_MARK = "chr(10) || '[… middle omitted …]' || chr(10)"
+
+
+def _excerpt_sql(text: str, size: str) -> str:
+    """The excerpt of a text longer than a size, which is at least 64."""
+    h, t = f"(({size} - 22) // 2)", f"({size} - 22 - ({size} - 22) // 2)"
+    first, last = f"substr({text}, 1, {h})", f"right({text}, {t})"
+    whole, lead = f"regexp_extract({first}, '(?s)^(.*[.!?]) ', 1)", f"regexp_extract({last}, '(?s)^(.*?[.!?] )', 1)"
+    head = f"CASE WHEN length({whole}) > 0 AND length({whole}) - 1 >= {h} // 2 THEN {whole} ELSE {first} END"
+    tail = f"CASE WHEN length({lead}) > 0 AND length({lead}) <= {t} // 2 THEN substr({last}, length({lead}) + 1) ELSE {last} END"
+    return f"(rtrim({head}, ' ' || chr(9) || chr(10) || chr(13)) || {_MARK} || ltrim({tail}, ' ' || chr(9) || chr(10) || chr(13)))"
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders, count(*) AS n FROM orders GROUP BY ALL)
-SELECT c_custkey AS k, coalesce(orders, '') AS orders, coalesce(n, 0) AS n, CASE WHEN length(c_name) <= 12 THEN c_name ELSE substr(c_name, 1, 6) || '...' || right(c_name, 3) END AS name FROM customer LEFT JOIN o ON k = c_custkey""")
+@query(f"""WITH f AS (SELECT conv_id AS owner, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS a, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS u, coalesce(list(text ORDER BY turn) FILTER (role = 'user'), []) AS ul,
+ coalesce(list(text ORDER BY turn) FILTER (role = 'assistant'), []) AS sl FROM conversations GROUP BY conv_id),
+s AS (SELECT *, array_to_string(sl, chr(10)) AS s, 800 - {len(V.OMISSION)} - 2 AS room FROM f),
+x AS (SELECT *, CASE WHEN length(a) <= least(room, 300) THEN a ELSE '' END AS va FROM s), x2 AS (SELECT *, CASE WHEN va <> '' THEN room - length(va) - 1 ELSE room END AS r1 FROM x),
+y AS (SELECT *, CASE WHEN length(u) <= least(r1, 350) THEN u ELSE array_to_string(list_filter(ul, lambda e, i: length(array_to_string(ul[1:i], chr(10))) <= least(r1, 350)), chr(10)) END AS vu FROM x2), y2 AS (SELECT *, CASE WHEN vu <> '' THEN r1 - length(vu) - 1 ELSE r1 END AS r2 FROM y),
+z AS (SELECT *, CASE WHEN s = '' OR length(s) <= r2 THEN s WHEN len(sl) > 1 THEN CASE WHEN r2 - length(sl[1]) - 1 >= 64 THEN sl[1] || chr(10) || CASE WHEN length(array_to_string(sl[2:], chr(10))) <= r2 - length(sl[1]) - 1 THEN array_to_string(sl[2:], chr(10)) ELSE {_excerpt_sql("array_to_string(sl[2:], chr(10))", "(r2 - length(sl[1]) - 1)")} END ELSE '' END
+ WHEN r2 >= 64 THEN {_excerpt_sql("s", "r2")} ELSE '' END AS vs FROM y2),
+t AS (SELECT owner, array_to_string(list_filter([vs, vu, va], lambda v: v <> ''), chr(10)) AS text, va <> a OR vu <> u OR vs <> s AS omitted FROM z WHERE a <> '' OR u <> '' OR s <> '')
+SELECT owner, sha256(substr(text || CASE WHEN omitted THEN CASE WHEN text <> '' THEN chr(10) ELSE '' END || {_NOTICE} ELSE '' END, 1, 800)) AS digest, omitted FROM t""")
+def section_budget(spark, sf):
+    """A conversation within 200 tokens: system texts whole or not at all first, then whole user turns, then an excerpt of what the assistant said; shown in
+    the opposite order."""
+    c = table(spark, sf, "conversations").filter(F.col("role").isin("system", "user", "assistant"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    pick = lambda a, b, o: F.when(F.col("role") == "system", a).when(F.col("role") == "user", b).otherwise(o)
+    s = c.groupBy(F.col("conv_id").alias("owner"), "role").agg(entries.alias("entries"))
+    s = s.select("owner", pick(3, 2, 1).alias("ord"), pick(0, 1, 2).alias("priority"), pick(300, 350, None).alias("cap"), pick("atomic", "whole", "excerpts").alias("kind"), "entries")
+    return P.render(s, 200).select("owner", F.sha2("text", 256).alias("digest"), "omitted")
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS k, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders, count(*) AS n FROM orders GROUP BY ALL),
+c AS (SELECT c_custkey AS k, c_name || ' says so. ' || c_mktsegment || ' and more of it! ' || c_name || ' ' || c_acctbal::INT AS t FROM customer)
+SELECT c.k, coalesce(orders, '') AS orders, coalesce(n, 0) AS n, CASE WHEN length(t) <= 66 THEN t ELSE {_excerpt_sql("t", "66")} END AS name FROM c LEFT JOIN o ON o.k = c.k""")
 def hud_frames(spark, sf):
     """A nested document per customer, rendered."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), P.excerpt(F.col("c_name"), 12).alias("name"))
+    said = F.concat(F.col("c_name"), F.lit(" says so. "), F.col("c_mktsegment"), F.lit(" and more of it! "), F.col("c_name"), F.lit(" "), F.round("c_acctbal").cast("int").cast("string"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), P.excerpt(said, F.lit(66)).alias("name"))
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderstatus")
     f = c.join(P.frame("k", orders=(o, ["o_orderkey", "o_orderstatus"])), "k", "left")
     text = F.array_join(F.transform("orders", lambda x: F.concat_ws(":", x["o_orderkey"], x["o_orderstatus"])), ",")
@@ -111,10 +144,30 @@ def source_cursors(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("owner")).agg(F.max("event_id").alias("cursor"), F.count("*").alias("events"), F.max(F.unix_timestamp("ts")).alias("seen"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(remember|recall|did i|have i)\\b') THEN 'recall' WHEN regexp_matches(lower(text), '\\b(why|how|explain)\\b') THEN 'explanation' WHEN regexp_matches(lower(text), '\\b(who|what|when|where|which)\\b') OR regexp_matches(text, '\\?\\s*$') THEN 'fact' ELSE 'none' END AS demand FROM documents""")
+_ASKED = {
+    0: "Nice day. What do you like about {p} roads? Tell me.", 1: "Have you ever visited the {p} tower?", 2: "What do you remember of {p}?", 3: "Who is {p}?", 4: "What was your history with {p} before?", 5: "You look {p} today.", 6: "\n", 7: "So, explain {p}!",
+}
+_ROUTES = {
+    0: ("character", "character_self_knowledge", "preference", "about,{l},roads", "unspecified"), 1: ("character", "character_self_knowledge", "experience", "{l},tower", "prior"), 2: ("character", "character_self_knowledge", "history", "{l}", "unspecified"),
+    3: ("general", "external_knowledge_question", "general", "", "unspecified"), 4: ("character", "character_self_knowledge", "history", "history,{l},before", "prior"), 5: ("general", "no_high_confidence_self_signal", "general", "", "unspecified"),
+    6: ("general", "empty_focus", "general", "", "unspecified"), 7: ("general", "external_knowledge_question", "general", "", "unspecified"),
+}
+
+
+def _asked():
+    k, word = F.col("o_orderkey") % 8, F.regexp_replace("o_orderpriority", "[^A-Z]", "")
+    return F.coalesce(*[F.when(k == j, F.replace(F.lit(t), F.lit("{p}"), word)) for j, t in _ASKED.items()])
+
+
+def _case(n: int) -> str:
+    return "CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN replace('{x[n]}', '{{l}}', w)" for k, x in _ROUTES.items()) + " END"
+
+
+@query(f"""SELECT o_orderkey AS id, {_case(0)} AS route, {_case(1)} AS reason, {_case(2)} AS kind, {_case(3)} AS topics, {_case(4)} AS temporal FROM (SELECT o_orderkey, lower(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g')) AS w FROM orders)""")
 def demand_routing(spark, sf):
-    """What each document's text, taken as a message, asks for."""
-    return table(spark, sf, "documents").select("doc_id", C.demand(F.col("text")).alias("demand"))
+    """What messages ask for: orders are put into eight of them, whose answers are known by hand."""
+    d = C.demand(_asked(), F.lit("Ann"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), d.alias("d")).select("id", "d.route", "d.reason", "d.kind", F.array_join("d.topics", ",").alias("topics"), "d.temporal")
 
 
 @query("""WITH n AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS need FROM benchmark), h AS (SELECT list(DISTINCT p_type) AS x FROM part), w AS (SELECT item_id, need, list_filter(need, lambda t: length(t) % 2 = 0) AS held FROM n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import graph as G
 from ..operators import vector as X
+from ..operators.relations import anchored, relate
 from .registry import query, table
 
 CORE, ATTACH, FLOOR = 0.25, 0.22, 0.20
@@ -74,6 +75,103 @@ def cluster_metrics(spark, sf):
     return G.cluster_metrics(G.held(G.clusters(e, CORE, ATTACH)), e)
 
 
+@query()
+def membership_metrics(spark, sf):
+    """Affinity, links and strongest neighbour of each member of a cluster."""
+    e = G.held(edges(spark, sf))
+    return G.membership_metrics(G.held(G.clusters(e, CORE, ATTACH)), e)
+
+
+@query()
+def cluster_outliers(spark, sf):
+    """Nodes of the neighbour graph that are in no cluster."""
+    e = G.held(edges(spark, sf))
+    return G.outliers(G.clusters(e, CORE, ATTACH), e)
+
+
+@query("""WITH RECURSIVE v AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS e, vec_id % 3 = 0 AND label <> 3 AS core FROM embeddings),
+n AS (SELECT id, cluster, core, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v), c AS (SELECT *, NOT bool_or(core) OVER (PARTITION BY cluster) OR core AS inner FROM n),
+m AS (SELECT a.cluster, a.id, round(avg(list_dot_product(a.e, b.e)), 9) AS s FROM c a JOIN c b ON a.cluster = b.cluster AND a.inner AND b.inner GROUP BY ALL), f AS (SELECT cluster, arg_min(id, struct_pack(s := -s, i := id)) AS id FROM m GROUP BY cluster),
+r AS (SELECT cluster, 0 AS place, [id] AS chosen FROM f
+UNION ALL SELECT r.cluster, r.place + 1, list_append(r.chosen, (SELECT arg_min(x.id, struct_pack(l := x.l, i := x.id)) FROM (SELECT a.id, max(round(list_dot_product(a.e, b.e), 9)) AS l FROM n a JOIN n b ON b.cluster = a.cluster AND list_contains(r.chosen, b.id) WHERE a.cluster = r.cluster AND NOT list_contains(r.chosen, a.id) GROUP BY a.id) x)) FROM r WHERE r.place < 3)
+SELECT cluster, place, chosen[place + 1] AS id FROM r""")
+def cluster_representatives(spark, sf):
+    """Four representatives of each label: the core member nearest to all, and then what is least like those chosen."""
+    e = table(spark, sf, "embeddings")
+    points = e.select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), ((F.col("vec_id") % 3 == 0) & (F.col("label") != 3)).alias("core"))
+    return G.representatives(points, 4)
+
+
+_PAIR_SQL = """WITH o AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders),
+s AS (SELECT o_orderkey AS id, nullif('s' || (o_custkey % 3 + o_orderkey % 2), 's0') AS subject, ['located_at', 'like', 'say', 'visit'][o_orderkey % 4 + 1] AS predicate, ['town', 'old town', 's1', 's2', NULL][o_orderkey % 5 + 1] AS object, CASE WHEN o_orderkey % 6 = 0 THEN -1 ELSE 1 END AS polarity,
+ 't' || (o_orderkey % 3) AS topic, CASE WHEN o_orderkey % 8 < 6 THEN 'EVENT' ELSE 'STATE' END AS kind, ['SPATIAL', 'emotional', 'COMMUNICATION', 'ACTION'][o_orderkey % 4 + 1] AS family, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 2 END AS world, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey % 2 END AS timeline,
+ o_custkey % 4 AS node, [NULL, 'World', 'character'][o_orderkey % 3 + 1] AS scope, CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 2 END AS inst, (o_orderkey % 10) / 10.0::DOUBLE AS sure FROM orders),
+p AS (SELECT a.id AS i, b.id AS j, 0.70 + ((a.id + b.id) % 30) / 100.0::DOUBLE AS sim, a, b FROM o JOIN s b ON b.id = o.o_orderkey JOIN s a ON a.id = o.prev),
+f AS (SELECT *, coalesce(a.subject = b.subject, FALSE) AS ss, a.predicate = b.predicate AS sp, coalesce(a.object = b.object, FALSE) AS so, a.polarity = b.polarity AS pol, a.topic = b.topic AS tp, coalesce(a.world = b.world, FALSE) AS sw, coalesce(a.world = b.world, TRUE) AS wc, coalesce(a.timeline = b.timeline, TRUE) AS tc,
+ a.kind = 'EVENT' AND b.kind = 'EVENT' AS ev, a.node = b.node AS nd, upper(a.family) = upper(b.family) AS fam, coalesce(a.subject = b.object AND a.object = b.subject AND a.subject <> b.subject, FALSE) AS rr, coalesce(a.object <> b.object AND (contains(a.object, b.object) OR contains(b.object, a.object)), FALSE) AS inside,
+ CASE WHEN lower(a.scope) = 'world' THEN 'w' WHEN lower(a.scope) = 'character' OR a.inst IS NOT NULL THEN 'c' ELSE 'u' END AS xa, CASE WHEN lower(b.scope) = 'world' THEN 'w' WHEN lower(b.scope) = 'character' OR b.inst IS NOT NULL THEN 'c' ELSE 'u' END AS xb FROM p),
+g AS (SELECT *, ss AND sp AND ((so AND NOT pol) OR (pol AND NOT so AND a.object IS NOT NULL AND b.object IS NOT NULL AND a.predicate = 'located_at')) AS sc, ss AND sp AND pol AND inside AS ref, NOT (fam AND upper(a.family) = 'COMMUNICATION') OR so AS cc,
+ CASE WHEN xa = 'w' AND xb = 'w' THEN CASE WHEN sw THEN 'WORLD_SAME_WORLD' ELSE 'WORLD_CROSS_WORLD' END WHEN xa = 'c' AND xb = 'c' THEN CASE WHEN coalesce(a.inst = b.inst, FALSE) THEN 'CHAR_SAME_VIEWPOINT' ELSE 'CHAR_CROSS_VIEWPOINT' END WHEN xa || xb IN ('cw', 'wc') THEN 'CHAR_WORLD' ELSE 'UNSCOPED' END AS scope_relation FROM f),
+v AS (SELECT i, j, unnest([
+ struct_pack(r := 'EQUIVALENT', x := 'subject', v := CASE WHEN ss THEN 2 ELSE -2 END), struct_pack(r := 'EQUIVALENT', x := 'predicate', v := CASE WHEN sp THEN 2 ELSE -2 END), struct_pack(r := 'EQUIVALENT', x := 'object', v := CASE WHEN so THEN 2 ELSE -1 END), struct_pack(r := 'EQUIVALENT', x := 'polarity', v := CASE WHEN pol THEN 2 ELSE -3 END),
+ struct_pack(r := 'EQUIVALENT', x := 'vector', v := CASE WHEN sim >= 0.90 THEN 2 WHEN sim >= 0.82 THEN 1 ELSE -1 END), struct_pack(r := 'EQUIVALENT', x := 'semantic_conflict', v := CASE WHEN sc THEN -2 ELSE 0 END),
+ struct_pack(r := 'REFINES', x := 'subject', v := CASE WHEN ss THEN 2 ELSE -2 END), struct_pack(r := 'REFINES', x := 'predicate', v := CASE WHEN sp THEN 2 ELSE -1 END), struct_pack(r := 'REFINES', x := 'object', v := CASE WHEN ref THEN 2 WHEN NOT so THEN 1 ELSE 0 END), struct_pack(r := 'REFINES', x := 'polarity', v := CASE WHEN pol THEN 2 ELSE -3 END),
+ struct_pack(r := 'REFINES', x := 'vector', v := CASE WHEN sim >= 0.78 THEN 1 ELSE -1 END), struct_pack(r := 'REFINES', x := 'semantic_conflict', v := CASE WHEN sc THEN -2 ELSE 0 END),
+ struct_pack(r := 'SAME_EVENT', x := 'event', v := CASE WHEN ev THEN 0 ELSE -8 END), struct_pack(r := 'SAME_EVENT', x := 'timeline', v := CASE WHEN tc THEN 0 ELSE -8 END), struct_pack(r := 'SAME_EVENT', x := 'world', v := CASE WHEN wc THEN 0 ELSE -8 END), struct_pack(r := 'SAME_EVENT', x := 'occurrence', v := CASE WHEN nd THEN 4 ELSE -4 END),
+ struct_pack(r := 'SAME_EVENT', x := 'subject', v := CASE WHEN ss THEN 2 ELSE -2 END), struct_pack(r := 'SAME_EVENT', x := 'predicate', v := CASE WHEN sp THEN 2 ELSE -3 END), struct_pack(r := 'SAME_EVENT', x := 'predicate_family', v := CASE WHEN fam THEN 1 ELSE -4 END), struct_pack(r := 'SAME_EVENT', x := 'object', v := CASE WHEN so THEN 2 ELSE -1 END),
+ struct_pack(r := 'SAME_EVENT', x := 'communication_content', v := CASE WHEN cc THEN 0 ELSE -8 END), struct_pack(r := 'SAME_EVENT', x := 'polarity', v := CASE WHEN pol THEN 1 ELSE -4 END), struct_pack(r := 'SAME_EVENT', x := 'vector', v := CASE WHEN sim >= 0.86 THEN 1 WHEN sim >= 0.80 THEN 0 ELSE -1 END),
+ struct_pack(r := 'SAME_EVENT', x := 'role_reversal', v := CASE WHEN rr THEN -8 ELSE 0 END), struct_pack(r := 'SAME_EVENT', x := 'semantic_conflict', v := CASE WHEN sc THEN -8 ELSE 0 END),
+ struct_pack(r := 'SAME_TOPIC', x := 'topic', v := CASE WHEN tp THEN 3 ELSE -2 END), struct_pack(r := 'SAME_TOPIC', x := 'world', v := CASE WHEN sw THEN 1 ELSE 0 END), struct_pack(r := 'SAME_TOPIC', x := 'vector', v := CASE WHEN sim >= 0.82 THEN 2 WHEN sim >= 0.76 THEN 1 ELSE -1 END), struct_pack(r := 'SAME_TOPIC', x := 'semantic_conflict', v := CASE WHEN sc THEN -2 ELSE 0 END),
+ struct_pack(r := 'CONTRADICTS', x := 'subject', v := CASE WHEN ss THEN 2 ELSE -3 END), struct_pack(r := 'CONTRADICTS', x := 'predicate', v := CASE WHEN sp THEN 2 ELSE -3 END), struct_pack(r := 'CONTRADICTS', x := 'target', v := CASE WHEN sc THEN 4 ELSE -3 END), struct_pack(r := 'CONTRADICTS', x := 'scope', v := CASE WHEN scope_relation IN ('WORLD_SAME_WORLD', 'CHAR_SAME_VIEWPOINT') THEN 1 ELSE 0 END),
+ struct_pack(r := 'CONTRADICTS', x := 'legacy_conflict', v := 0),
+ struct_pack(r := 'RELATED', x := 'vector', v := CASE WHEN sim >= 0.86 THEN 3 WHEN sim >= 0.76 THEN 2 ELSE 0 END), struct_pack(r := 'RELATED', x := 'topic', v := CASE WHEN tp THEN 1 ELSE 0 END), struct_pack(r := 'RELATED', x := 'subject', v := CASE WHEN ss THEN 1 ELSE 0 END), struct_pack(r := 'RELATED', x := 'world', v := CASE WHEN sw THEN 1 ELSE 0 END),
+ struct_pack(r := 'RELATED', x := 'semantic_conflict', v := CASE WHEN sc THEN -2 ELSE 0 END)], recursive := TRUE) FROM g),
+t AS (SELECT i, j, r, sum(v) AS s FROM v GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY s DESC, r) AS k FROM t),
+top AS (SELECT x.i, x.j, x.r AS winner, x.s AS score, x.s - y.s AS margin FROM rk x JOIN rk y ON x.i = y.i AND x.j = y.j AND x.k = 1 AND y.k = 2),
+ax AS (SELECT DISTINCT x FROM v), om AS (SELECT t.i, t.j, ax.x, t.r, t.s - coalesce(v.v, 0) AS s FROM t CROSS JOIN ax LEFT JOIN v ON v.i = t.i AND v.j = t.j AND v.r = t.r AND v.x = ax.x),
+omw AS (SELECT i, j, x, arg_min(r, struct_pack(s := -s, r := r)) AS w FROM om GROUP BY ALL), stab AS (SELECT omw.i, omw.j, avg(CASE WHEN w = winner THEN 1.0 ELSE 0.0 END) AS stability FROM omw JOIN top USING (i, j) GROUP BY ALL),
+d AS (SELECT g.i AS a, g.j AS b, scope_relation, sim, ev, winner, score, margin, stability, least(g.a.sure, g.b.sure) AS sure, CASE WHEN sc THEN 'CONTRADICTS' WHEN ss AND sp AND so AND pol THEN 'EQUIVALENT' WHEN ref THEN 'REFINES' WHEN ev AND wc AND tc AND nd AND pol AND ss AND sp AND fam AND cc AND NOT rr AND sim >= 0.80 THEN 'SAME_EVENT' WHEN tp THEN 'SAME_TOPIC' ELSE 'RELATED' END AS proposed
+ FROM g JOIN top USING (i, j) JOIN stab USING (i, j)),
+e AS (SELECT *, CASE WHEN winner <> proposed THEN 'challenged' WHEN score < 4 OR margin < 2 OR stability < 0.6 THEN 'fragile' ELSE 'verified' END AS status FROM d)
+"""
+
+
+@query(_PAIR_SQL + """SELECT a, b, CASE WHEN status = 'verified' THEN winner ELSE 'UNRESOLVED' END AS relation, scope_relation, proposed, score::BIGINT AS score, margin::BIGINT AS margin, round(stability, 6) AS stability, status,
+ round(CASE WHEN status <> 'verified' THEN 0 WHEN winner = 'SAME_EVENT' AND ev THEN least(sure, 0.98, 0.55 * sim + 0.45 * greatest(0.0, least(1.0, (score + 6) / 16.0))) ELSE least(0.98, 0.55 * sim + 0.45 * greatest(0.0, least(1.0, (score + 6) / 16.0))) END, 6)::DOUBLE AS confidence,
+ CASE WHEN status <> 'verified' OR winner <> 'CONTRADICTS' THEN 'consistent_or_related' ELSE CASE scope_relation WHEN 'WORLD_SAME_WORLD' THEN 'objective_world_conflict' WHEN 'WORLD_CROSS_WORLD' THEN 'cross_world_divergence' WHEN 'CHAR_SAME_VIEWPOINT' THEN 'internal_belief_conflict' WHEN 'CHAR_CROSS_VIEWPOINT' THEN 'viewpoint_disagreement'
+ WHEN 'CHAR_WORLD' THEN 'belief_world_discrepancy' ELSE 'semantic_conflict_unscoped' END END AS meaning FROM e""")
+def relation_verdicts(spark, sf):
+    """What consecutive orders of a customer, dressed as statements, are to each other, by votes of independent features."""
+    from pyspark.sql import Window
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda m, *v: F.element_at(F.array(*map(F.lit, v)), (m + 1).cast("int"))
+    subject = F.concat(F.lit("s"), (c % 3 + k % 2).cast("string"))
+    statement = F.struct(
+        F.concat(F.lit("t"), (k % 3).cast("string")).alias("topic_key"), F.when(subject != "s0", subject).alias("subject_norm"), pick(k % 4, "located_at", "like", "say", "visit").alias("predicate_norm"),
+        pick(k % 5, "town", "old town", "s1", "s2", None).alias("object_norm"), F.when(k % 6 == 0, -1).otherwise(1).alias("polarity"), F.when(k % 8 < 6, "EVENT").otherwise("STATE").alias("claim_kind"),
+        pick(k % 4, "SPATIAL", "emotional", "COMMUNICATION", "ACTION").alias("predicate_family"), F.when(k % 7 > 0, k % 2).alias("world_id"), F.when(k % 9 > 0, c % 2).alias("timeline_id"), (c % 4).alias("dag_node_id"),
+        pick(k % 3, None, "World", "character").alias("epistemic_scope"), F.when(k % 5 < 3, k % 2).alias("character_instance_id"), F.lit(None).cast("string").alias("character_id"), F.lit(None).cast("string").alias("viewpoint_id"), (k % 10 / 10.0).alias("semantic_confidence"),
+    )
+    o = table(spark, sf, "orders").select(c, k, statement.alias("b"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pairs = o.select(F.lag("o_orderkey").over(w).alias("i"), F.col("o_orderkey").alias("j"), F.lag("b").over(w).alias("a"), "b").filter("i is not null")
+    found = relate(pairs.withColumn("similarity", 0.70 + (F.col("i") + F.col("j")) % 30 / 100.0))
+    long = lambda n: F.col(n).cast("long").alias(n)
+    return found.select(F.col("i").alias("a"), F.col("j").alias("b"), "relation", "scope_relation", "proposed", long("score"), long("margin"), F.round("stability", 6).alias("stability"), "status", F.round("confidence", 6).alias("confidence"), "meaning")
+
+
+@query(_EDGES + """, w AS (SELECT vec_id, 's' || vec_id % 5 AS s, 's' || vec_id % 7 AS o, 't' || label AS t FROM embeddings) SELECT a, b, similarity FROM g JOIN w x ON x.vec_id = a JOIN w y ON y.vec_id = b WHERE x.s = y.s OR x.o = y.o OR x.t = y.t OR (x.s = y.o AND x.o = y.s)""")
+def anchored_neighbors(spark, sf):
+    """Neighbour pairs that share a subject, object or topic, or have them swapped; numbers stand in for them."""
+    v = F.col("vec_id")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    said = table(spark, sf, "embeddings").select("vec_id", F.struct(name("s", v % 5).alias("subject_norm"), name("s", v % 7).alias("object_norm"), name("t", F.col("label")).alias("topic_key")).alias("x"))
+    g = edges(spark, sf).join(said.select(F.col("vec_id").alias("a"), F.col("x").alias("xa")), "a").join(said.select(F.col("vec_id").alias("b"), F.col("x").alias("xb")), "b")
+    g = g.select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity", F.col("xa").alias("a"), F.col("xb").alias("b")).filter(anchored())
+    return g.select(F.col("i").alias("a"), F.col("j").alias("b"), "similarity")
+
+
 @query(_EDGES + """SELECT x.label AS cluster, count(DISTINCT CASE WHEN y.label = x.label THEN least(a, b) END) AS linked,
  round(avg(similarity) FILTER (x.label = y.label), 6) AS cohesion, round(max(similarity) FILTER (x.label <> y.label), 6) AS boundary
 FROM (SELECT a, b, similarity FROM edges UNION ALL SELECT b, a, similarity FROM edges) JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b GROUP BY x.label""")
@@ -132,7 +230,10 @@ def boundary_labels(spark, sf):
     fold = lambda f: F.aggregate(F.zip_with("mx", "my", f), F.lit(0.0), lambda s, v: s + v)
     p = pairs.withColumn("o", fold(lambda x, y: F.least(x, y)) / fold(lambda x, y: F.greatest(x, y))).withColumn("c", (F.col("x") * 7 + F.col("y") * 3) % 10 / 10.0)
     half, o, c = F.lit(0.5), F.col("o"), F.col("c")
-    features = {"similarity": F.lit(0.6), "topic": o, "subject": o, "predicate": half, "world": half, "timeline": half, "conflict": c, "separation": F.lit(0.0), "state_like": c, "source": half, "overlap": c, "opposite": c, "exclusive": c, "instance": half, "origin": half}
+    features = {
+        "mean_similarity": F.lit(0.6), "topic_overlap": o, "subject_overlap": o, "predicate_overlap": half, "world_overlap": half, "timeline_overlap": half, "conflict_density": c, "temporal_separation": F.lit(0.0),
+        "state_like_ratio": c, "source_overlap": half, "temporal_overlap": c, "opposite_polarity_density": c, "exclusive_conflict_density": c, "character_instance_overlap": half, "origin_character_overlap": half,
+    }
     s = X.boundary_scores(features, V.BOUNDARY_WEIGHTS, V.BOUNDARY_CONFIDENCE, V.BOUNDARY_MARGIN)
     return p.select("x", "y", s.alias("s")).select("x", "y", "s.label", "s.score")
 

@@ -93,7 +93,7 @@ def paragraph_windows(spark, sf):
 _LINE_SQL = r"""l AS (SELECT doc_id, k, trim(x) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents))"""
 
 
-@query(r"WITH " + _LINE_SQL + r""", h AS (SELECT *, CASE WHEN regexp_matches(line, '^(?i:chapter\s+[0-9ivxlcdm]+\b.*|part\s+[0-9ivxlcdm]+\b.*|section\s+[0-9]+\b.*|[0-9]+(\.[0-9]+)*\s+[A-Z].*|[A-Z][A-Z0-9 ,:;\-]{4,80})$') AND length(line) <= 120 THEN 1 ELSE 0 END AS head FROM l),
+@query(r"WITH " + _LINE_SQL + r""", h AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)""" + V.HEADING_PATTERN + r"""') AND length(line) <= 120 THEN 1 ELSE 0 END AS head FROM l),
 s AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM h)
 SELECT doc_id, section::BIGINT AS section, count(*) FILTER (line <> '' AND head = 0) AS lines, sum(CASE WHEN head = 0 THEN length(line) ELSE 0 END)::BIGINT AS chars, max(CASE WHEN head = 1 THEN line END) AS title FROM s GROUP BY ALL""")
 def doc_structure(spark, sf):
@@ -103,26 +103,23 @@ def doc_structure(spark, sf):
     )
 
 
-@query(r"WITH " + _LINE_SQL + r""", v AS (
- SELECT doc_id, 'publication_year' AS field, regexp_extract(line, '(?i)(?:copyright|©|published)[^0-9]{0,20}((?:18|19|20)[0-9]{2})', 1) AS value, 0.7 AS confidence FROM l
- UNION ALL SELECT doc_id, 'isbn', regexp_extract(line, '(?i)\bISBN(?:-1[03])?\s*:?\s*([0-9Xx\- ]{10,25})\b', 1), 0.9 FROM l
- UNION ALL SELECT doc_id, 'author', regexp_extract(line, '(?i)^(?:by|author[:\s]+)\s*(.{2,120})$', 1), 0.75 FROM l)
-SELECT doc_id, field, min(trim(value)) AS value, max(confidence)::DOUBLE AS confidence FROM v WHERE trim(value) <> '' GROUP BY doc_id, field, lower(trim(value))""")
+def _fields(names) -> str:
+    """One SELECT per field, of its first value in each line."""
+    return " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, regexp_extract(line, '(?i){p}', 1) AS value, {c} AS confidence FROM l" for f, p, c in V.METADATA_PATTERNS if f in names)
+
+
+_DISTINCT_FIELDS = "SELECT doc_id, field, min(trim(value)) AS value, max(confidence)::DOUBLE AS confidence FROM v WHERE trim(value) <> '' GROUP BY doc_id, field, lower(trim(value))"
+
+
+@query(f"WITH {_LINE_SQL}, v AS ({_fields(('author', 'isbn', 'publication_year'))}) {_DISTINCT_FIELDS}")
 def doc_metadata(spark, sf):
     """Author, year and ISBN by pattern, one row per distinct value."""
     found = D.metadata(table(spark, sf, "documents"), ("author", "isbn", "publication_year"))
     return found.select("doc_id", "field", "value", "confidence")
 
 
-@query(r"WITH " + _LINE_SQL + r""", v AS (
- SELECT doc_id, 'publication_year' AS field, regexp_extract(line, '(?i)(?:copyright|©|published)[^0-9]{0,20}((?:18|19|20)[0-9]{2})', 1) AS value, 0.7 AS confidence FROM l
- UNION ALL SELECT doc_id, 'isbn', regexp_extract(line, '(?i)\bISBN(?:-1[03])?\s*:?\s*([0-9Xx\- ]{10,25})\b', 1), 0.9 FROM l
- UNION ALL SELECT doc_id, 'author', regexp_extract(line, '(?i)^(?:by|author[:\s]+)\s*(.{2,120})$', 1), 0.75 FROM l
- UNION ALL SELECT doc_id, 'doi', regexp_extract(line, '(?i)\b(10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)\b', 1), 0.9 FROM l
- UNION ALL SELECT doc_id, 'publisher', regexp_extract(line, '(?i)^(?:publisher[:\s]+|published by\s+)(.{2,160})$', 1), 0.7 FROM l
- UNION ALL SELECT doc_id, 'edition', regexp_extract(line, '(?i)\b([0-9]+(?:st|nd|rd|th)\s+edition|revised edition|second edition|third edition)\b', 1), 0.7 FROM l
- UNION ALL SELECT doc_id, 'title', CASE WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) BETWEEN 2 AND 20 AND length(x) <= 180 THEN x ELSE '' END, 0.65 FROM (SELECT doc_id, min_by(line, k) AS x FROM l WHERE line <> '' GROUP BY doc_id))
-SELECT doc_id, field, min(trim(value)) AS value, max(confidence)::DOUBLE AS confidence FROM v WHERE trim(value) <> '' GROUP BY doc_id, field, lower(trim(value))""")
+@query(f"""WITH {_LINE_SQL}, v AS ({_fields([f for f, _, _ in V.METADATA_PATTERNS])}
+ UNION ALL SELECT doc_id, 'title', CASE WHEN len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) BETWEEN 2 AND 20 AND length(x) <= 180 THEN x ELSE '' END, 0.65 FROM (SELECT doc_id, min_by(line, k) AS x FROM l WHERE line <> '' GROUP BY doc_id)) {_DISTINCT_FIELDS}""")
 def doc_metadata_whole(spark, sf):
     """All fields by pattern, and the title by the first line, one row per distinct value."""
     docs = table(spark, sf, "documents")
@@ -199,6 +196,33 @@ def page_links(spark, sf):
     return H.extract(table(spark, sf, "pages")).select("page_id", "lang", F.size("hrefs").cast("long").alias("links"))
 
 
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'ao3' WHEN 1 THEN 'structured-metadata' ELSE 'generic-web' END AS adapter, CASE WHEN page_id % 3 = 0 THEN 'fanwork' END AS namespace,
+ CASE page_id % 3 WHEN 0 THEN 'repository=ao3,source_type=fanfiction,canon_status=fanwork,fandom=f' || page_id || ' & co,character=ann,character=bob,tag=quiet' WHEN 1 THEN 'subject=topic ' || page_id || ',subject=two,subject=named,subject=meta,source_type=article,source_type=thing' ELSE 'repository=www.h.org' END AS facets FROM pages""")
+def page_facets(spark, sf):
+    """What pages are about, by adapters of sources; the supplied pages have no metadata, so theirs are put before them."""
+    n, i = F.col("page_id") % 3, F.col("page_id").cast("string")
+    work = F.concat(F.lit('<dl><dd class="fandom tags"><a class="tag">F'), i, F.lit(' &amp; Co</a></dd><dd class="character tags"><a class="tag">Ann</a><a class="tag">Bob</a><a class="tag">Ann</a><a>no</a></dd><dd class="freeform tags"><a class="tag"> Quiet </a></dd></dl>'))
+    data = F.concat(F.lit('<meta name="dc.subject" content="Meta"><script type="application/ld+json">{"@graph": [{"@type": ["Article", "Thing"], "about": [{"name": "Topic '), i, F.lit('"}, "Two"], "keywords": "Named, Two", "articleBody": {"about": "no"}}]}</script><script type="application/ld+json">{no</script>'))
+    url = F.when(n == 0, F.concat(F.lit("https://archiveofourown.org/works/"), i)).when(n == 1, "https://h.org/x").otherwise("https://WWW.h.org/y")
+    pages = table(spark, sf, "pages").select("page_id", url.alias("url"), F.concat(F.when(n == 0, work).when(n == 1, data).otherwise(""), "html").alias("html"))
+    lists = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    own = F.map_from_entries(F.array(F.struct(F.lit("schema_org"), F.map_from_entries(F.array(lists("subjects", F.col("subjects")), lists("source_type", F.col("source_types")))))))
+    some = F.when((F.size("subjects") > 0) | (F.size("source_types") > 0), own).otherwise(F.create_map().cast("map<string,map<string,array<string>>>"))
+    found = H.extract(pages).join(pages.select("page_id", "url"), "page_id").select("page_id", H.facets(F.regexp_extract("url", "://([^/]*)", 1), F.col("work_tags"), some).alias("f"))
+    return found.select("page_id", "f.adapter", "f.namespace", F.array_join(F.transform("f.facets", lambda x: F.concat_ws("=", x["kind"], x["value"])), ",").alias("facets"))
+
+
+_CLAUSES = {0: "If only it were {p}", 1: "Suppose that {p} wins", 2: "Provided that {p} holds, go", 3: "Is it {p}?”  ", 4: "It is {p}", 5: "I wish for {p}!", 6: "  assuming that {p}", 7: "Let’s say {p}"}
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(("counterfactual", "hypothetical", "conditional", "question", "asserted", "counterfactual", "hypothetical", "hypothetical"))) + " END AS scope, CASE o_orderkey % 8 WHEN 4 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'conditional' ELSE 'asserted' END " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(("counterfactual", "hypothetical", "conditional", "question", "asserted", "counterfactual", "hypothetical", "hypothetical")) if k != 4) + " END AS effective FROM orders")
+def clause_scopes(spark, sf):
+    """Scope of clauses, and within a conditional one; orders are put into eight clauses whose scopes are known."""
+    k = F.col("o_orderkey") % 8
+    said = F.coalesce(*[F.when(k == j, F.replace(F.lit(t), F.lit("{p}"), F.col("o_orderpriority"))) for j, t in _CLAUSES.items()])
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.clause_scope(said).alias("scope"), T.effective_scope(said, F.when(F.col("o_orderkey") % 3 == 0, "conditional")).alias("effective"))
+
+
 @query()
 def page_text(spark, sf):
     """Cleaned text, title and estimate of tokens of each page: parsing, not SQL; tests hold it against small pages."""

@@ -43,14 +43,31 @@ def edge_list(rows):
 TRIANGLES = [(1, 2, 0.9, "SAME_TOPIC"), (1, 3, 0.9, "SAME_TOPIC"), (2, 3, 0.9, "SAME_TOPIC"), (4, 5, 0.9, "SAME_TOPIC"), (4, 6, 0.9, "SAME_TOPIC"), (5, 6, 0.9, "SAME_TOPIC")]
 
 
-def test_a_bridge_joins_nothing_and_fringe_needs_two_links():
-    rows = G.cores_and_fringe(edge_list([*TRIANGLES, (3, 4, 0.95, "SAME_TOPIC"), (7, 1, 0.78, "REFINES"), (7, 2, 0.80, "REFINES"), (8, 1, 0.81, "REFINES")]), 0.82, 0.76)
-    assert {n: (c, role) for n, c, role, _ in rows} == {1: (1, "core"), 2: (1, "core"), 3: (1, "core"), 4: (4, "core"), 5: (4, "core"), 6: (4, "core"), 7: (1, "fringe")}
-    assert G.cores_and_fringe(edge_list([(a, b, s, "RELATED") for a, b, s, _ in TRIANGLES]), 0.82, 0.76) == []
+def grouped(spark, rows, **options):
+    return {r.node: (r.cluster, r.role) for r in G.clusters(spark.createDataFrame(edge_list(rows)), **options).collect()}
+
+
+def test_a_bridge_joins_nothing_and_fringe_needs_two_links(spark):
+    cores = {n: (1 if n < 4 else 4, "core") for n in range(1, 7)}
+    links = [(7, 1, 0.78, "REFINES"), (7, 2, 0.80, "REFINES"), (8, 1, 0.81, "REFINES")]
+    assert grouped(spark, [*TRIANGLES, (3, 4, 0.95, "SAME_TOPIC"), *links]) == {**cores, 7: (1, "fringe")}
+    assert grouped(spark, [(a, b, s, "RELATED") for a, b, s, _ in TRIANGLES]) == {}
     both = [*TRIANGLES, (3, 4, 0.95, "SAME_TOPIC"), (2, 5, 0.94, "SAME_TOPIC")]
-    assert {c for _, c, _, _ in G.cores_and_fringe(edge_list(both), 0.82, 0.76)} == {1}
-    apart = G.cores_and_fringe(edge_list([*both, (1, 6, 0.99, "CONTRADICTS")]), 0.82, 0.76)
-    assert {c for _, c, _, _ in apart} and all({n for n, k, _, _ in apart if k == c} != {1, 6} and not {1, 6} <= {n for n, k, _, _ in apart if k == c} for _, c, _, _ in apart)
+    assert {c for c, _ in grouped(spark, both).values()} == {1}
+    apart = grouped(spark, [*both, (1, 6, 0.99, "CONTRADICTS")])
+    assert apart and not any({1, 6} <= {n for n, (k, _) in apart.items() if k == c} for c, _ in apart.values())
+
+
+def test_fringe_takes_any_relation_but_a_contradiction_and_foes_in_order(spark):
+    # links of mere similarity attach; a contradiction with a member bars; RELATED joins no cores
+    rows = [*TRIANGLES, (9, 1, 0.80, "RELATED"), (9, 2, 0.80, "UNRESOLVED"), (10, 4, 0.8, "RELATED"), (10, 5, 0.8, "RELATED"), (10, 6, 0.9, "CONTRADICTS")]
+    got = grouped(spark, rows)
+    assert got[9] == (1, "fringe") and 10 not in got
+    # 11 and 12 contradict each other: the first joins its best core, the second its next best, or none
+    foes = [(11, 1, 0.8, "RELATED"), (11, 2, 0.8, "RELATED"), (12, 1, 0.81, "RELATED"), (12, 2, 0.81, "RELATED"), (11, 12, 0.9, "CONTRADICTS")]
+    assert {n: c for n, c in grouped(spark, [*TRIANGLES, *foes]).items() if n > 10} == {11: (1, "fringe")}
+    more = [*foes, (12, 4, 0.78, "RELATED"), (12, 5, 0.78, "RELATED")]
+    assert {n: c for n, c in grouped(spark, [*TRIANGLES, *more]).items() if n > 10} == {11: (1, "fringe"), 12: (4, "fringe")}
 
 
 def test_bridges_without_recursion():
@@ -60,11 +77,37 @@ def test_bridges_without_recursion():
 
 
 def test_clusters_and_metrics_over_a_graph(spark):
-    e = spark.createDataFrame(edge_list([*TRIANGLES, (3, 4, 0.95, "SAME_TOPIC"), (2, 6, 0.7, "RELATED")]))
+    e = spark.createDataFrame(edge_list([*TRIANGLES, (3, 4, 0.95, "SAME_TOPIC"), (2, 6, 0.7, "RELATED"), (20, 1, 0.5, "RELATED")]))
     members = G.clusters(e)
     assert {r.node: r.cluster for r in members.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
     m = {r.cluster: r for r in G.cluster_metrics(members, e).collect()}
     assert m[1].density == 1.0 and m[1].cohesion == 0.9 and m[1].boundary == 0.95 and m[1].separation == 0.0
+    assert [r.node for r in G.outliers(members, e).collect()] == [20]
+    # a contradiction inside counts nowhere
+    inside = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, cluster long")
+    e = spark.createDataFrame(edge_list([(1, 2, 0.9, "SAME_TOPIC"), (2, 3, 0.8, "RELATED"), (1, 3, 0.99, "CONTRADICTS")]))
+    r = G.cluster_metrics(inside, e).first()
+    assert (r.internal, r.boundary, r.cohesion, r.separation, r.density) == (2, 0.0, 0.85, 0.85, round(2 / 3, 6))
+
+
+def test_cluster_queries_are_those_of_brute_force(spark, sf):
+    from evidentia.plans import graph
+    from evidentia.plans.registry import QUERIES
+
+    edges = [tuple(r) for r in graph.edges(spark, sf).collect()]
+    of = {r.node: r.cluster for r in QUERIES["cluster_cores"](spark, sf).collect()}
+    inside = [(a, b, s) for a, b, s, r in edges if of.get(a) is not None and of.get(a) == of.get(b) and r != "CONTRADICTS"]
+    near = {n: sorted([(-s, b) for a, b, s in inside if a == n] + [(-s, a) for a, b, s in inside if b == n]) for n in of}
+    got = {r.node: r for r in QUERIES["membership_metrics"](spark, sf).collect()}
+    assert {n: (r.links, r.strongest) for n, r in got.items()} == {n: (len(x), x[0][1] if x else None) for n, x in near.items()}
+    assert all(abs(got[n].affinity - (-sum(s for s, _ in x[:4]) / len(x[:4]) if x else 0.0)) < 2e-6 for n, x in near.items())
+    assert {r.node for r in QUERIES["cluster_outliers"](spark, sf).collect()} == {n for e in edges for n in e[:2]} - set(of)
+    for r in QUERIES["cluster_metrics"](spark, sf).collect():
+        own, n = [s for a, _, s in inside if of[a] == r.cluster], sum(c == r.cluster for c in of.values())
+        out = [s for a, b, s, _ in edges if (of.get(a) == r.cluster) != (of.get(b) == r.cluster)]
+        mean, most = sum(own) / len(own) if own else 0.0, max(out, default=0.0)
+        assert (r.n, r.internal) == (n, len(own)) and abs(r.cohesion - mean) < 2e-6 and abs(r.boundary - most) < 2e-6
+        assert abs(r.separation - max(0.0, mean - most)) < 2e-6 and abs(r.density - min(1.0, len(own) / min(n * (n - 1) / 2, n * max(1, min(12, n - 1)) / 2))) < 2e-6
 
 
 def test_components_of_long_chains_are_whole(spark):
@@ -133,7 +176,7 @@ def test_paragraphs_and_windows(spark):
 
 
 def test_message_units(spark):
-    want = {"I remember the old bridge.": "MEMORY", "She thinks that it rains": "BELIEF", "He wants to go home": "GOAL", "You must stay here": "RULE", "Do you want it?": None, "I won't open that door": "STATE", "You made me want that": None, "They arrived late": "EVENT", "my friend and I": "RELATIONSHIP", "I'll fix the roof": "GOAL"}
+    want = {"I remember the old bridge.": "MEMORY", "She thinks that it rains": "BELIEF", "He wants to go home": "GOAL", "You must stay here": "RULE", "Do you want it?": None, "I won't open that door": "STATE", "You made me want that": None, "They arrived late": "EVENT", "my friend and I": "RELATIONSHIP", "I'll fix the roof": "GOAL", "I'm not going anywhere": "STATE"}
     assert {t: (u.kind if (u := col(spark, t, T.message_unit)) else None) for t in want} == want
 
 
@@ -141,8 +184,68 @@ def test_identity_ignores_case_and_edges_and_knows_polarity(spark):
     assert col(spark, "  The  «Sky», ", T.normal) == "the «sky»"
     assert col(spark, " .,! ", T.normal) is None
     assert [col(spark, t, T.polarity) for t in ("it is not so", "it isn't", "knot", "no longer here", None)] == [-1, -1, 1, -1, 1]
-    same = spark.range(1).select(*[T.proposition_hash(F.lit("s"), F.lit("p"), F.lit("o"), F.lit(k)) for k in (1, -1)], *[T.atom_key(F.lit("s"), F.lit("p"), F.lit("o"), F.lit("t"))] * 2).first()
+    lit = lambda *v: [F.lit(x).cast("string") for x in v]
+    same = spark.range(1).select(*[T.proposition_hash(*lit("s", "p", "o"), F.lit(k), F.lit("t")) for k in (1, -1)], *[T.atom_key(*lit("s", "p", "o"), F.lit("t"))] * 2).first()
     assert same[0] != same[1] and same[2] == same[3] == "s\x1fp\x1fo"
+    said = spark.range(1).select(*[T.canonical(*lit(*c), F.lit(k), F.lit(" It  rains. ")) for c, k in ((("s", None, "o"), 1), ((None, "p", None), -1), ((None, None, None), -1))]).first()
+    assert list(said) == ["s | _ | o", "NOT _ | p | _", "it rains"]
+    keys = spark.range(1).select(*[T.topic_key(*lit(None, None, o), F.lit(1), F.lit("x")) for o in ("a", "b", None)]).first()
+    assert len(set(keys)) == 3
+
+
+def test_conflicts_need_no_equal_object(spark):
+    rows = [(1, "t", "likes", "tea", 1), (2, "t", "likes", "coffee", -1), (3, "u", "status", "on", 1), (4, "u", "status", "off", 1), (5, "u", "status", None, 1), (6, "v", "likes", "a", 1), (7, "v", "likes", "b", 1), (8, "u", "status", "on", 1)]
+    got = E.conflicts(spark.createDataFrame(rows, "id int, topic string, predicate string, object string, polarity int")).collect()
+    assert sorted((r.a, r.b, r.kind, r.weight) for r in got) == [(1, 2, "polarity", 1.0), (3, 4, "exclusive", 0.85)]
+
+
+def test_families_have_their_own_policies(spark):
+    rows = [(f, 1, w, o, k) for f in ("IDENTITY", "spatial", "RULE", None) for w, o, k in ((0.5, 1, "x"), (0.5, 2, "y"), (0.6, 3, ""), (0.2, 4, None))]
+    p = spark.createDataFrame(rows, "family string, polarity int, weight double, ord long, correlation_key string").withColumn("atom", F.lit("a"))
+    got = {r.family: (r.mode, r.pos, r.n, r.stance, r.exclusive) for r in E.belief_by_family(p, ["atom"]).collect()}
+    assert got == {"IDENTITY": ("accumulate", 0.92, 4, "positive", False), "spatial": ("latest", 0.2, 1, "unresolved", True), "RULE": ("max", 0.6, 4, "unresolved", False), None: ("accumulate", 0.92, 4, "positive", False)}
+
+
+def statement(**own):
+    from evidentia.operators.relations import ATTRIBUTES
+
+    base = {"subject_norm": "ann", "predicate_norm": "like", "object_norm": "tea", "polarity": 1, "topic_key": "t"}
+    return tuple({**dict.fromkeys(ATTRIBUTES), **base, **own}[n] for n in ATTRIBUTES)
+
+
+def test_relations_are_verified_by_votes(spark):
+    from evidentia.operators.relations import ATTRIBUTES, anchored, relate
+
+    kinds = {"polarity": "int", "semantic_confidence": "double"}
+    kind = "struct<" + ",".join(f"{n}:{kinds.get(n, 'string')}" for n in ATTRIBUTES) + ">"
+    event = {"claim_kind": "EVENT", "predicate_family": "ACTION", "dag_node_id": "n", "predicate_norm": "move"}
+    cases = {
+        "same": (statement(), statement(), 0.95, "EQUIVALENT"),
+        "denied": (statement(), statement(polarity=-1), 0.9, "CONTRADICTS"),
+        "denied of another object": (statement(), statement(polarity=-1, object_norm="coffee"), 0.7, "UNRESOLVED"),
+        "slot": (statement(predicate_norm="located_at"), statement(predicate_norm="located_at", object_norm="town"), 0.8, "CONTRADICTS"),
+        "no slot": (statement(predicate_norm="be"), statement(predicate_norm="be", object_norm="town"), 0.8, "UNRESOLVED"),
+        "finer": (statement(), statement(object_norm="green tea"), 0.8, "REFINES"),
+        "event": (statement(**event, semantic_confidence=0.66, object_norm="a"), statement(**event, semantic_confidence=0.9, object_norm="b"), 0.9, "SAME_EVENT"),
+        "swapped": (statement(**event, object_norm="bob"), statement(**event, subject_norm="bob", object_norm="ann"), 0.95, "UNRESOLVED"),
+        "other": (statement(), statement(subject_norm="x", predicate_norm="y", object_norm="z", topic_key="u"), 0.7, "UNRESOLVED"),
+    }
+    rows = [(name, a, b, s) for name, (a, b, s, _) in cases.items()]
+    df = spark.createDataFrame(rows, f"name string, a {kind}, b {kind}, similarity double")
+    got = {r.name: r for r in relate(df).collect()}
+    assert {n: r.relation for n, r in got.items()} == {n: c[3] for n, c in cases.items()}
+    assert got["event"].confidence == 0.66 and got["same"].status == "verified" and got["other"].confidence == 0.0
+    assert {r.name for r in df.filter(~anchored()).collect()} == {"other"}
+    worlds = [(statement(epistemic_scope="world", world_id=w), statement(polarity=-1, epistemic_scope=s, world_id="1", character_instance_id=i), 0.9) for w, s, i in (("1", "World ", None), ("2", "world", None), ("1", None, "c"), ("1", None, None))]
+    chars = [(statement(character_instance_id="c"), statement(polarity=-1, character_instance_id=i), 0.9) for i in ("c", "d")]
+    got = relate(spark.createDataFrame([(k, *r) for k, r in enumerate(worlds + chars)], f"k int, a {kind}, b {kind}, similarity double")).orderBy("k").collect()
+    assert [r.meaning for r in got] == ["objective_world_conflict", "cross_world_divergence", "belief_world_discrepancy", "semantic_conflict_unscoped", "internal_belief_conflict", "viewpoint_disagreement"]
+
+
+def test_representatives_are_far_from_each_other(spark):
+    rows = [(1, k, [1.0, 0.01 * k], True) for k in range(5)] + [(1, 9, [0.0, 2.0], False), (1, 8, [-1.0, 0.0], False), (1, 7, [0.0, 0.0], True), (2, 1, [3.0, 4.0], False)]
+    got = G.representatives(spark.createDataFrame(rows, "cluster int, id int, vector array<double>, core boolean"), 3).collect()
+    assert sorted((r.cluster, r.place, r.id) for r in got) == [(1, 0, 2), (1, 1, 8), (1, 2, 9), (2, 0, 1)]
 
 
 def test_recall_skips_what_is_too_like_a_better_one(spark):
@@ -151,6 +254,99 @@ def test_recall_skips_what_is_too_like_a_better_one(spark):
     assert sorted((r.place, r.id) for r in got) == [(1, 1), (2, 3), (3, 4)]
 
 
+def test_recall_query_is_that_of_brute_force(spark, sf):
+    from evidentia.plans import retrieval
+    from evidentia.plans.registry import QUERIES
+
+    rows = [r.asDict() for r in R.compete(retrieval._memories(spark, sf), F.array(*map(F.lit, retrieval._FOCUS))).withColumn("score", F.round("score", 6)).collect()]
+    want = set()
+    for owner in {r["owner"] for r in rows}:
+        chosen = []
+        for mature, limit in ((True, 0.86), (False, 0.72)):
+            for r in sorted((r for r in rows if r["owner"] == owner and r["established"] == mature and r["score"] >= 1.35), key=lambda r: (-r["score"], r["id"])):
+                a = set(r["words"])
+                like = [c for c in chosen if c["polarity"] == r["polarity"] and not (("statement" in c and (c["statement"] or r["statement"])) and c["text"] != r["text"]) and a and len(a & set(c["words"])) / (len(a) * len(set(c["words"]))) ** 0.5 >= limit]
+                if len(chosen) < 12 and not like:
+                    chosen.append(r)
+        want |= {(owner, r["id"], k + 1) for k, r in enumerate(chosen)}
+    assert {(r.owner, r.id, r.place) for r in QUERIES["recall_select"](spark, sf).collect()} == want
+
+
+def test_passages_of_the_query_are_those_of_brute_force(spark, sf):
+    import hashlib
+    import re
+
+    from evidentia.plans.registry import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    terms = {r.item_id: r.t for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", T.research_terms(F.col("text")).alias("t")).collect()}
+    rows = QUERIES["query_passages"](spark, sf).collect()
+    for r in rows:
+        text, places = texts[r.id], []
+        for m in re.finditer(r"[A-Za-z0-9_-]+", text):
+            if any(m[0].lower().startswith(t) for t in terms[r.q]):
+                places.append(m.start())
+        count = lambda s, places=places: sum(s <= p < s + 700 for p in places)
+        best = min({max(0, p - 100) for p in places} or {0}, key=lambda s: (-count(s), s))
+        assert r.start == best and r.digest == hashlib.sha256(text[best : best + 700].encode()).hexdigest()
+    assert rows
+
+
+def test_trimming_excerpts_what_is_too_long_at_first(spark):
+    rows = [(1, 1, 1, "x" * 50), (1, 2, 2, "y"), (2, 1, 1, ""), (2, 2, 2, "x" * 37), (2, 3, 3, "x" * 36), (2, 4, 4, "x"), (3, 5, 1, "abcd"), (3, 4, 1, "abcde")]
+    df = spark.createDataFrame(rows, "owner int, id int, ord int, text string")
+    got = sorted(tuple(r) for r in R.trim(df, 10).collect())
+    assert got == [(1, 1, 13, 0, True), (2, 1, 1, 0, False), (2, 3, 9, 1, False), (3, 4, 2, 0, False), (3, 5, 1, 1, False)]
+    assert R.trim(df, 0).count() == 0 and R.trim(df.limit(0), 5).count() == 0
+
+
+def test_excerpts_keep_head_and_tail_at_sentences(spark):
+    from evidentia.functions import values as V
+    from evidentia.operators import presentation as P
+
+    cut = lambda text, size: spark.createDataFrame([(text,)], "t string").select(P.excerpt(F.col("t"), F.lit(size)).alias("x")).first().x
+    assert cut("short", 5) == "short" and cut("longer text", 7) == "[omitte" and cut("x" * 30, 24) == "[omitted]"
+    text = "A first sentence here. Then " + "m" * 200 + " so. The last of all the questions asked?"
+    assert cut(text, 100) == "A first sentence here." + V.EXCERPT_MARKER + "The last of all the questions asked?"
+    assert cut("m" * 200 + " and so. The last ask?", 100) == "m" * 39 + V.EXCERPT_MARKER + "m" * 17 + " and so. The last ask?"
+    assert cut("a" * 200, 62) == "a" * 20 + V.EXCERPT_MARKER + "a" * 20
+
+
+def test_sections_are_rendered_by_importance(spark):
+    from evidentia.functions import values as V
+    from evidentia.operators import presentation as P
+
+    rows = [(1, 0, 5, None, "whole", ["head", "one", "x" * 100, "two"]), (1, 1, 1, None, "atomic", ['{"a": 1}']), (1, 2, 2, None, "atomic", ["y" * 200]), (2, 0, 1, None, "whole", ["all of it"]), (3, 0, 1, 4, "whole", ["four", "more"]), (4, 0, 0, None, "whole", [])]
+    df = spark.createDataFrame(rows, "owner int, ord int, priority int, cap int, kind string, entries array<string>")
+    got = {r.owner: (r.text, r.omitted) for r in P.render(df, 30).collect()}
+    assert got == {1: ('head\none\n{"a": 1}\n' + V.OMISSION, True), 2: ("all of it", False), 3: ("four\n" + V.OMISSION, True)}
+
+
+def test_times_are_resolved_only_if_said_and_in_range(spark):
+    from evidentia.functions import cognition as C
+
+    def window(phrase, said=None, zone="America/New_York", delay=None, now="2024-03-09 15:00:00"):
+        row = spark.createDataFrame([(phrase, said or f"so, {phrase} then", zone, delay)], "p string, s string, z string, d int")
+        at = F.lit("2024-03-09 15:00:00").cast("timestamp")
+        w = row.select(C.time_window(F.col("p"), F.col("s"), at, F.lit(now).cast("timestamp"), F.col("z"), F.col("d")).alias("w")).first().w
+        return w and (str(w.due), str(w.until))
+
+    # across a change of clocks: ten in the morning in New York is 15:00 before it and 14:00 after
+    assert window("Tomorrow  morning") == ("2024-03-10 12:00:00", "2024-03-10 16:00:00") and window("today") is None
+    assert window("today evening") == ("2024-03-09 22:00:00", "2024-03-10 02:00:00") and window("tomorrow", zone=None) is None
+    assert window("in 2 weeks", zone=None) == ("2024-03-23 15:00:00",) * 2 and window("in 60 weeks") is None and window("in 0 hours") is None
+    assert window("in 3 days", "call me in 4 days") is None and window("soon") is None and window("soon", delay=900) == ("2024-03-09 15:15:00",) * 2 and window("soon", delay=901) is None
+    assert window("in 1 hour", now="2024-03-09 17:00:00") is None
+
+
+def test_focus_keeps_names_anchors_and_the_tail(spark):
+    long = " ".join(f"word{k}" for k in range(100))
+    row = spark.createDataFrame([("who is ann_lee", "tell of the river bank", long)], "a string, b string, c string")
+    terms = row.select(R.focus_terms(F.col("a"), F.col("b"), F.col("c")).alias("t")).first().t
+    assert len(terms) == 12 and terms[:6] == ["ann_lee", "who", "tell", "the", "river", "bank"] and terms[6] == "word0" and terms[-1] == "word83"
+    assert row.select(R.focus_terms(F.col("a"), F.col("a"), F.lit(None).cast("string")).alias("t")).first().t == ["who", "ann_lee"]
+
+
 def test_passages_start_at_hits_and_count_each(spark):
     texts = ["x " * 500 + "term", "term " + "y " * 430 + "other term term", "z " * 500, None, "Terms, é term " + "w " * 20, "a " * 60 + "term"]
     df = spark.createDataFrame([(k, t, ["term", "none"]) for k, t in enumerate(texts)], "k int, text string, terms array<string>")
@@ -161,18 +357,33 @@ def test_passages_start_at_hits_and_count_each(spark):
 
 def test_matrix_verdicts(spark):
     votes = spark.createDataFrame([("k", "a", "x", 5.0), ("k", "a", "y", 4.0), ("k", "a", "z", 1.0), ("k", "b", "x", 1.0), ("l", "a", "x", 5.0), ("l", "b", "y", 4.0)], "key string, candidate string, axis string, value double")
-    proposals = spark.createDataFrame([("k", "a", False), ("l", "a", False)], "key string, proposal string, protected boolean")
+    votes = votes.unionByName(votes.filter("key = 'l'").withColumn("key", F.lit("m"))).unionByName(votes.filter("key = 'l'").withColumn("key", F.lit("n")))
+    proposals = spark.createDataFrame([("k", "a", False), ("l", "a", False), ("m", "a", True), ("n", "b", True), ("o", "a", True)], "key string, proposal string, protected boolean")
     got = {r.key: (r.winner, r.margin, r.stability, r.status) for r in E.matrix_verdict(votes, "key", proposals).collect()}
-    assert got == {"k": ("a", 9.0, 1.0, "verified"), "l": ("a", 1.0, 0.5, "fragile")}
+    assert got == {"k": ("a", 9.0, 1.0, "verified"), "l": ("a", 1.0, 0.5, "fragile"), "m": ("a", 1.0, 0.5, "verified"), "n": ("a", 1.0, 0.5, "protected_explicit"), "o": (None, 0.0, 0.0, "insufficient_evidence")}
 
 
 def test_pages_are_parsed(spark):
     from evidentia.sources.html import parse
 
-    html = '<html lang="en"><head><title>T</title><meta property="og:title" content="OG"><meta name="author" content="A"></head><body><nav><a href="/n">n</a>menu</nav><article><h1>H</h1><p>One <b>two</b></p><p>three<script>x</script></p><a href="a#f">l</a><a href="a">m</a></article><footer>f</footer></body></html>'
-    lang, title, author, _, _, _, hrefs, links, text = parse(html, "http://x.org/d/")
-    assert (lang, title, author, hrefs, links, text) == ("en", "OG", "A", ["/n", "a#f", "a"], ["http://x.org/n", "http://x.org/d/a"], "H\nOne two\nthree\nlm")
-    assert parse(None)[-1] == "" and parse("<p>open <div>x")[-1] == "open\nx"
+    html = """<html lang="en"><head><title>T</title><meta property="og:title" content="OG"><meta name="author" content="A"><meta name="dateModified" content=" 2020 "><link rel="x canonical" href="../c"></head>
+      <body><nav><a href="/n">n</a>menu</nav><article><header>Head</header><h1>H</h1><p>One <b>two</b></p><p>three<script>x</script></p><svg><text>drawn</text></svg><a href="a#f">l</a><a href="a">m</a></article><footer>f</footer><section>s</section><a href="mailto:x">y</a></body></html>"""
+    page = parse(html, "http://x.org/d/e/")
+    assert [page[k] for k in ("lang", "title", "author", "updated", "canonical")] == ["en", "OG", "A", "2020", "http://x.org/d/c"]
+    assert page["hrefs"] == ["/n", "a#f", "a", "mailto:x"] and page["links"] == ["http://x.org/n", "http://x.org/d/e/a"]
+    assert page["text"] == "Head\nH\nOne\ntwo\nthree\ndrawn\nl\nm"
+    assert parse(None)["text"] == "" and parse("<title>t</title><p>open <div>x<aside>no</div>y")["text"] == "t\nopen\nx\ny"
+    assert parse("<main>a</main><article>longer</article><section>longer</section>")["text"] == "longer"
+
+
+def test_declared_metadata_of_pages():
+    from evidentia.sources.html import declared, parse
+
+    graph = ['{"@type": "A", "keywords": "x, y,", "body": {"about": "no"}, "@graph": [{"@type": ["B", ""], "about": {"name": "z"}}]}', "{broken", "[1, null]"]
+    assert declared(graph, ["x", "w"]) == (["x", "y", "z", "w"], ["A", "B"])
+    work = '<dd class="tags fandom"><a class="tag">F &amp; G</a><a>no</a></dd><dd class="fandom"><a class="tag">no</a></dd>'
+    assert parse(work, "https://archiveofourown.org/works/1")["work_tags"] == {"fandoms": ["F & G"], "characters": [], "relationships": [], "tags": []}
+    assert parse(work, "https://x.org/")["work_tags"] == {}
 
 
 def test_record_sources(spark, tmp_path):
