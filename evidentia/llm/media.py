@@ -210,9 +210,12 @@ def interleave(pages: DataFrame, media: DataFrame, html_col: str = "html") -> Da
     # written, so that the join's two sides are plain shuffles and a digest with many references can be split
     facts = materialise(describe(media))
     names = [f.name for f in facts.schema if f.name != "digest"]
-    item = keyed.select("_key", F.explode("items").alias("i")).select("_key", "i.*")
-    # what has no digest must not meet under one key
-    known = item.filter("digest is not null").join(facts, "digest", "left")
-    plain = item.filter("digest is null").select("*", *[F.lit(None).cast(facts.schema[n].dataType).alias(n) for n in names])
-    whole = known.unionByName(plain).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", *names))).alias("items"))
-    return keyed.drop("items").join(whole, "_key", "left").drop("_key")
+    # references without their texts; what has no digest must not meet under one key
+    known = keyed.select("_key", F.explode(F.filter("items", lambda i: i["digest"].isNotNull())).alias("i")).select("_key", "i.position", "i.digest").join(facts, "digest")
+    known = known.groupBy("_key").agg(F.collect_list(F.struct("position", *names)).alias("_known"))
+
+    def whole(item: F.Column) -> F.Column:
+        fact = F.get(F.filter("_known", lambda k: k["position"] == item["position"]), F.lit(0))
+        return F.struct(*[item[n].alias(n) for n in ("position", "kind", "text", "digest", "caption")], *[fact[n].alias(n) for n in names])
+
+    return keyed.join(known, "_key", "left").withColumn("items", F.transform("items", whole)).drop("_key", "_known")

@@ -122,15 +122,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a medium: stored once per digest, referred to by a page of its own, resolved through the page's sequence."""
+    """Every document as a medium: stored once per digest, referred to twice before the page of its number, where there is one, and resolved through that
+    page's sequence of texts and media; with the number of the page's items and the medium's caption there."""
     from .common import materialise
     from .media import interleave, store
 
     stored = materialise(store(_table(spark, sf_dir, "documents"), ["doc_id"]))
-    html = F.concat(F.lit('<article><p>Document</p><figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>Its text as a picture</figcaption></figure></article>'))
-    whole = interleave(stored.select("doc_id", "n_bytes", html.alias("html")), stored.select("digest", "media"))
-    medium = F.get(F.filter("items", lambda i: i["kind"] == "media"), F.lit(0))
-    return whole.select("doc_id", "n_bytes", medium.alias("m")).select("doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature")
+    page = _table(spark, sf_dir, "pages").groupBy(F.col("page_id").alias("doc_id")).agg(F.min("html").alias("page"))
+    shown = F.concat(F.lit('<article><p>Document</p><figure><img alt="A text" src="sha256:'), F.col("digest"), F.lit('"><figcaption>Its text as a picture</figcaption></figure><p>and again <img alt="a text" src="sha256:'), F.col("digest"), F.lit('"></article>'))
+    rows = stored.select("doc_id", "n_bytes", "digest").join(page, "doc_id", "left").select("doc_id", "n_bytes", "digest", F.concat(shown, F.coalesce("page", F.lit(""))).alias("html"))
+    whole = interleave(rows, stored.select("digest", "media"))
+    medium = F.get(F.filter("items", lambda i: i["digest"] == F.col("digest")), F.lit(0))
+    found = whole.select("doc_id", "n_bytes", medium.alias("m"), F.size("items").alias("n_items"))
+    return found.select("doc_id", "n_bytes", "m.payload_bytes", "m.payload_sha256", "m.tail_crc32", "m.media_bytes", "m.media_sha256", "m.feature", "n_items", "m.caption")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -387,7 +387,7 @@ def test_reputation_blocks_as_its_sql_does(spark, tmp_path):
     assert got == sorted((i, h, p, r or "", v) for i, h, p, r, v in want)
     verdicts = {h: v for _, h, _, r, v in got if not r}
     assert verdicts["bad.org"] == verdicts["bad.org:8080"] == verdicts["worse.co.uk"] == "block"
-    assert verdicts["u@mixed.net"] == verdicts["fine.co.uk"] == verdicts["lone.info"] == "allow"
+    assert verdicts["u@mixed.net"] == verdicts["fine.co.uk"] == "allow"
 
 
 def test_certified_rules_reject_as_their_sql_does(spark, tmp_path):
@@ -690,6 +690,74 @@ def test_items_keep_order_captions_and_payloads(spark):
     assert interleave(pages.limit(0), stored).count() == 0
 
 
+def test_media_query_reads_back_every_document_beside_its_page(spark, sf):
+    from evidentia.llm.media import features, parse_html, to_png
+    from evidentia.llm.queries import op10_media_columns
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = op10_media_columns(spark, sf).collect()
+    assert len(rows) == len(docs) and set(docs) & set(pages)
+    for r in rows:
+        payload = docs[r.doc_id] + b" " * (-len(docs[r.doc_id]) % 192 if docs[r.doc_id] else 192)
+        media = to_png(payload)
+        want = (len(docs[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
+        # two texts and two media come first, and then the page's own items
+        assert r.n_items == 4 + len(parse_html(pages.get(r.doc_id, ""))) and r.caption == "Its text as a picture"
+
+
+def test_queries_give_the_contracts_columns(spark, sf):
+    """Digests and counts of op3, op7 and op9 over all rows of the smallest tables, from their definitions."""
+    from evidentia.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+    library = Tokenizer.from_file(BYTE)
+    for r in QUERIES["op3_secret_scan"](spark, sf).collect():
+        base = secrets_by_brute_force(docs[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in base) for k in ("assign:", "access:", "hex:"))
+        assert r.base_sha256 == sha(",".join(base)) and [x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == base
+    for r in QUERIES["op7_pii"](spark, sf).collect():
+        base = personal_by_brute_force(docs[r.doc_id])
+        assert [getattr(r, f"n_{k}") for k in ("email", "ip", "card", "phone")] == [sum(x.startswith(f"{k}:") for x in base) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == sha(",".join(base)) and [x for x in r.spans.split(",") if x and "_context" not in x] == base
+    for r in QUERIES["op9_bpe"](spark, sf).collect():
+        ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_packing_query_against_brute_force(spark, sf):
+    from evidentia.llm.packing import best_fit, pack
+    from evidentia.llm.queries import QUERIES
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op2_best_fit_packing"](spark, sf).collect()
+    by_doc = defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+    for k, text in docs.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        want = [(j, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for j, a in enumerate(range(0, len(ids), 2048))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[k]) == want
+    # best fit decreasing over all pieces at once, item by item, needs no fewer sequences
+    bins = []
+    for size in sorted((r.length for r in rows), reverse=True):
+        fits = [b for b in bins if b[0] >= size]
+        if fits:
+            min(fits)[0] -= size
+        else:
+            bins.append([2048 - size])
+    assert len({r.sequence_id for r in rows}) <= len(bins)
+    sizes = np.array(sorted((r.length for r in rows), reverse=True))
+    assert len(set(best_fit(sizes, 2048)[0].tolist())) == len(bins)
+    # a tree of levels never ends early: items of which none fit together, and ones that all do
+    for own, least, most in (([1100] * 900, 900, 900), ([3] * 900, 2, 2), ([1100, 900] * 400, 400, 440)):
+        items = spark.createDataFrame([(k, 0, s) for k, s in enumerate(own)], "key long, piece int, length long")
+        assert least <= pack(items, 2048, group=50, fan=2).select("sequence_id").distinct().count() <= most
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------------------------------
 
 
