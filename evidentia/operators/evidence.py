@@ -153,3 +153,19 @@ def matrix_verdict(votes: DataFrame, key: str, proposal: DataFrame, least: float
         .when(~agrees, "challenged").when(weak, "fragile").otherwise("verified")
     )
     return out.select(key, "winner", "score", "margin", F.round("stability", 6).alias("stability"), status.alias("status"))
+
+
+def global_rank(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """rows with their rank from 1 on in the order of all of them. Ranges are dealt to tasks, sorted there and counted, so that no task sees all rows; the
+    driver holds a count per range. Rows of equal order must be told apart by it."""
+    dealt = held(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # the upper bits are the task, the lower ones the place in it
+    task = F.shiftright("_at", 33)
+    sizes = sorted((r["t"], r["n"]) for r in dealt.groupBy(task.alias("t")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for t, n in sizes:
+        before.append((t, total))
+        total += n
+    offsets = dealt.sparkSession.createDataFrame(before, "_t long, _before long")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return dealt.join(F.broadcast(offsets), task == F.col("_t")).withColumn(name, F.col("_before") + place).drop("_at", "_t", "_before")

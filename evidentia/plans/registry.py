@@ -44,4 +44,4 @@ def relation(name: str, text: str, twin: str | None = None) -> None:
     ORACLES[name] = plain
 
 
-from . import cognition, evidence, graph, relational, retrieval, text  # noqa: E402, F401
+from . import cognition, evidence, graph, memory, relational, retrieval, text  # noqa: E402, F401

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import retrieval as R
 from ..operators import vector as X
+from ..operators.graph import held
 from .registry import query, table
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + ")"
@@ -33,7 +34,7 @@ def _fused(spark, sf):
     from pyspark.sql import Window
 
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang", "source")
-    lex = _lexical(spark, sf)
+    lex = held(_lexical(spark, sf))
     near = lex.join(d, "id")
     size = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n_chars"), "id"))).filter("rank <= 25")
     boosts = near.filter("lang = 'en'").select("q", "id", F.lit(0.10).alias("boost"))

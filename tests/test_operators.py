@@ -451,3 +451,35 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'belief_accumulate' in q and not any(n.startswith('op') or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True)
+
+
+def test_global_ranks_are_dealt(spark):
+    rows = spark.range(5000).select("id", (F.col("id") * 7919 % 5003).alias("score")).repartition(7)
+    got = E.global_rank(rows, F.desc("score"), F.col("id")).collect()
+    want = {r.id: k + 1 for k, r in enumerate(sorted(got, key=lambda r: (-r.score, r.id)))}
+    assert {r.id: r.rank for r in got} == want and len(got) == 5000
+    assert E.global_rank(rows.limit(0), F.col("id")).count() == 0
+
+
+def test_ancestries_end_and_rules_come_in_order(spark):
+    from evidentia.operators import memory as M
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8)], "child int, parent int")
+    got = {(r.q, r.node) for r in M.ancestors(spark.createDataFrame([(1, 1), (7, 7)], "q int, node int"), edges).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (7, 7)}
+    text = "before it all. The anchor is here, and the end " + "x " * 200
+    row = spark.createDataFrame([(text, "anchor", 18, 24), (text, "Anchor", 0, 3), (text, "x", None, None), (text, "", 4, 10), (None, "a", 0, 1), ("é" * 500, "", None, None)], "t string, a string, lo int, hi int")
+    p = [r.p for r in row.select(M.anchored_passage(F.col("t"), F.col("a"), F.col("lo"), F.col("hi"), F.lit(None).cast("string"), 100).alias("p")).collect()]
+    assert [x.method for x in p] == ["unique_exact_text", "unique_exact_text", "ambiguous_anchor", "verified_span", "anchor_not_found", "unanchored_prefix"]
+    assert all(x.start <= 19 < 25 <= x.end <= x.start + 100 for x in p[:2]) and (p[3].start, p[5].end) == (0, 100)
+
+
+def test_acquisitions_keep_the_first_and_the_latest_that_is_known(spark):
+    from evidentia.operators import memory as M
+
+    rows = [("i", "p", 1, None, 10, "held", 0.5, "read", "a"), ("i", "p", 2, "n2", 20, "believed", None, "taught", None), ("i", "p", 3, None, 30, "gone", 0.9, "read", "b")]
+    df = spark.createDataFrame(rows, "instance string, proposition string, ord int, node string, at int, status string, confidence double, mode string, source string")
+    r = M.acquire(df).first()
+    assert (r.first_node, r.last_node, r.first_at, r.updated_at, r.status, r.confidence, r.mode, r.source, r.n) == (None, "n2", 10, 30, "gone", 0.9, "read", "b", 3)
+    r = M.acquire(df, df.filter("ord = 3").select("instance", "proposition", "ord")).first()
+    assert (r.status, r.confidence, r.mode, r.source, r.n) == ("believed", 0.5, "taught", "a", 2)
