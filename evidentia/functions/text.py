@@ -19,8 +19,13 @@ def matches_any(column: Column, patterns) -> Column:
     return reduce(Column.__or__, [column.rlike(f"(?i){p}") for p in patterns])
 
 
+def stripped(x: Column) -> Column:
+    """Without white space at the edges. It has one parameter, as functions for transform() must: those with a second one are given the index there."""
+    return F.btrim(x, F.lit(" \t\n\r\x0b\f"))
+
+
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), stripped), lambda x: x != "")
 
 
 # URLs
@@ -85,7 +90,7 @@ def page_admission(title: Column, text: Column) -> Column:
 def paragraphs(text: Column, least: int = 40, most: int = 1200) -> Column:
     """Paragraphs of a text: distinct blocks between blank lines of at least `least` characters, or else lines joined until a sentence ends."""
     text = F.trim(F.regexp_replace(text, r"\r\n?", "\n"))
-    blocks = F.array_distinct(F.filter(F.transform(F.split(text, r"\n\s*\n+"), F.trim), lambda x: F.length(x) >= least))
+    blocks = F.array_distinct(F.filter(F.transform(F.split(text, r"\n\s*\n+"), stripped), lambda x: F.length(x) >= least))
 
     def step(s: Column, line: Column) -> Column:
         held = F.when(s["held"] == "", line).otherwise(F.concat(s["held"], F.lit(" "), line))
@@ -99,7 +104,7 @@ def paragraphs(text: Column, least: int = 40, most: int = 1200) -> Column:
 
 def windows(text: Column, size: int = 1200, lone: int = 1500) -> Column:
     """Parts between blank lines; one lone part of more than `lone` characters is cut into windows of `size`."""
-    parts = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "\n\n"), stripped), lambda x: x != "")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")), lambda k: F.substring(text, k * size + 1, F.lit(size)))
     return F.when((F.size(parts) == 1) & (F.length(text) > lone), cut).otherwise(parts)
 
@@ -201,7 +206,7 @@ def message_unit(sentence: Column) -> Column:
     text = F.replace(sentence, F.lit("’"), F.lit("'"))
     has = lambda pattern: text.rlike(f"(?i){pattern}")
     part = lambda pattern, k: F.regexp_extract(text, f"(?i){pattern}", k)
-    none = F.lit(None).cast("string")
+    who = lambda pattern: F.when(has(pattern), part(pattern, 1))
 
     def made(kind: str, rule: str, confidence: float, s: Column, p: Column, o: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), s.alias("subject"), p.alias("predicate"), o.alias("object"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"))
@@ -214,10 +219,10 @@ def message_unit(sentence: Column) -> Column:
         fits = has(pattern) & ~has(V.MESSAGE_CAUSED_DESIRE) if kind == "GOAL" else has(pattern)
         unit = unit.when(fits, made(kind, rule, confidence, *(part(pattern, k) for k in (1, 2, 3))))
     unit = unit.when(commits, made("GOAL", "explicit_self_commitment", 0.86, F.lit("I"), F.lit("commit"), part(V.MESSAGE_COMMITMENT, 1)))
-    unit = unit.when(has(V.MESSAGE_RELATIONSHIP), made("RELATIONSHIP", "relationship_predicate", 0.82, none, F.lit("relates"), text))
+    unit = unit.when(has(V.MESSAGE_RELATIONSHIP), made("RELATIONSHIP", "relationship_predicate", 0.82, who(V.MESSAGE_RELATIONSHIP_SUBJECT), F.lit("relates"), text))
     states = has(V.MESSAGE_STATE) & part(V.MESSAGE_STATE, 3).rlike(f"(?i){V.MESSAGE_STATE_TERMS}")
     unit = unit.when(states, made("STATE", "bounded_state_predicate", 0.86, *(part(V.MESSAGE_STATE, k) for k in (1, 2, 3))))
-    return unit.when(has(V.MESSAGE_EVENT), made("EVENT", "event_predicate", 0.70, none, F.lit("event"), text))
+    return unit.when(has(V.MESSAGE_EVENT), made("EVENT", "event_predicate", 0.70, who(V.MESSAGE_EVENT_ACTOR), F.lit("event"), text))
 
 
 def clause_scope(clause: Column) -> Column:
@@ -237,4 +242,4 @@ def effective_scope(clause: Column, inherited: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences by end marks and line ends."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), stripped), lambda x: x != "")

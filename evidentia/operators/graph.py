@@ -17,12 +17,13 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
-def walk(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth): nodes within so many steps of each seed, at their nearest depth. edges (a, b) go both ways.
+def walk(seeds: DataFrame, edges: DataFrame, depth: int, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(seed, node, depth): nodes within so many steps of each seed, at their nearest depth. edges (a, b) go both ways; with types, only those (a, b, type).
 
     Every step joins the frontier with the edges and drops what was visited, so that paths never multiply; steps are cut off from their lineage in the
     checkpoint folder where one is set.
     """
+    edges = edges if types is None else edges.filter(F.col("type").isin(*types))
     both = held(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("depth", F.lit(0))
     visited = frontier

@@ -301,14 +301,31 @@ def widen(hits: DataFrame, least: int) -> DataFrame:
     return first.join(open_, ["q", "stage"], "left_semi")
 
 
-def inherited(tree: DataFrame, depth: int) -> DataFrame:
-    """(node, source, depth, rank) of a tree (node, parent, priority, local): scopes within so many levels up, at the least rank and depth. A level adds
-    100000 and its priority; nothing is inherited through a local scope; parent 0 is none."""
-    step = tree.select(F.col("node").alias("source"), "parent", "priority")
-    locals_ = tree.select(F.col("node").alias("parent"), F.col("local").alias("shut"))
-    found = now = tree.select("node", F.col("node").alias("source"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), "local")
-    for _ in range(depth):
-        up = now.filter("not coalesce(local, false)").join(step, "source").filter("parent != 0").join(locals_, "parent", "left")
-        now = up.select("node", F.col("parent").alias("source"), (F.col("depth") + 1).alias("depth"), (F.col("rank") + 100000 + F.col("priority")).alias("rank"), F.col("shut").alias("local"))
+def world_scopes(relations: DataFrame, shut: DataFrame, depth: int = 4) -> DataFrame:
+    """(world, domain, source, rank, depth): for each domain, the worlds that a world inherits from by relations (world, source, priority, domains, enabled), at
+    the least rank and depth; a step adds 100000 and its priority. Nothing is inherited by, or through, a world that keeps the domain to itself (shut: world,
+    domain). A way never returns to a world that it has passed; a way is held as long as it can still be continued, `depth` steps at most."""
+    named = relations.filter("enabled").select("world", "source", "priority", F.explode("domains").alias("d")).select("world", "source", "priority", F.lower(F.trim("d")).alias("domain"))
+    edges = named.filter(F.col("domain").rlike("^[a-z][a-z0-9_]{0,31}$")).distinct().join(shut, ["world", "domain"], "left_anti")
+    now = edges.select("world", "domain", "source", (100000 + F.col("priority")).alias("rank"), F.lit(1).alias("depth"), F.array("world", "source").alias("path"))
+    found = now
+    step = edges.select(F.col("world").alias("source"), "domain", F.col("source").alias("_next"), F.col("priority").alias("_priority"))
+    for _ in range(1, depth):
+        now = now.join(step, ["source", "domain"]).filter(~F.array_contains("path", F.col("_next")))
+        now = now.select("world", "domain", F.col("_next").alias("source"), (F.col("rank") + 100000 + F.col("_priority")).alias("rank"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("_next")).alias("path"))
         found = found.unionByName(now)
-    return found.groupBy("node", "source").agg(F.min("depth").alias("depth"), F.min("rank").alias("rank"))
+    return found.groupBy("world", "domain", "source").agg(F.min("rank").alias("rank"), F.min("depth").alias("depth"))
+
+
+def fair_share(rows: DataFrame, limit: int, share: float = 0.75) -> DataFrame:
+    """(id, band) of rows (id, at, foreground), `limit` at most: what is in the foreground, oldest first (band 0); of the room that is left the oldest others
+    (1) for `share` of it, and the newest for the rest (2), none twice. Each band keeps few candidates per task; two counts reach the driver."""
+    from .graph import held
+
+    front = held(rows.filter("foreground").orderBy("at", "id").limit(limit).select("id", "at", F.lit(0).alias("band")))
+    room = max(0, limit - front.count())
+    old = int(room * share)
+    others = rows.filter(~F.col("foreground"))
+    backlog = held(others.orderBy("at", "id").limit(old).select("id", "at", F.lit(1).alias("band")))
+    fresh = others.join(backlog.select("id"), "id", "left_anti").orderBy(F.desc("at"), "id").limit(room - old).select("id", "at", F.lit(2).alias("band"))
+    return front.unionByName(backlog).unionByName(fresh).select("id", "band")

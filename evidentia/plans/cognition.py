@@ -178,24 +178,6 @@ def demand_coverage(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.round(C.coverage(need, F.filter(need, lambda t: F.length(t) % 2 == 0)), 6).alias("share"))
 
 
-@query("""WITH f AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), s AS (SELECT label, k % 3 AS m, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT label, max(n) AS top, sum(n) AS total FROM s GROUP BY ALL)
-SELECT label, CASE WHEN top / total < 0.55 THEN 'mixed' ELSE 'dominant' END AS region, round(top / total, 6) AS share FROM t""")
-def region_labels(spark, sf):
-    """Whether one kind dominates a region."""
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    s = table(spark, sf, "embeddings").select("label", (k % 3).alias("m")).groupBy("label", "m").agg(F.count("*").alias("n"))
-    t = s.groupBy("label").agg((F.max("n") / F.sum("n")).alias("share"))
-    return t.select("label", F.when(F.col("share") < 0.55, "mixed").otherwise("dominant").alias("region"), F.round("share", 6).alias("share"))
-
-
-@query("""WITH c AS (SELECT label, vec_id % 6 AS dim, count(*) AS n FROM embeddings GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, dim) AS k FROM c) SELECT label, string_agg(dim || '=' || n, ',' ORDER BY k) AS top FROM r WHERE k <= 12 GROUP BY label""")
-def cluster_metadata(spark, sf):
-    """Most frequent values per cluster, twelve at most."""
-    c = table(spark, sf, "embeddings").groupBy("label", (F.col("vec_id") % 6).alias("dim")).agg(F.count("*").alias("n"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("s"), "dim"))), 1, 12)
-    return c.groupBy("label").agg(top.alias("t")).select("label", F.array_join(F.transform("t", lambda x: F.concat(x["dim"].cast("string"), F.lit("="), (-x["s"]).cast("string"))), ",").alias("top"))
-
-
 @query("""WITH m AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS used FROM m) SELECT conv_id, turn, used::BIGINT AS used FROM r WHERE used <= 1500""")
 def latest_turns(spark, sf):
     """Latest turns within a budget of characters."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import values as V
 from ..operators import graph as G
+from ..operators import regions as P
 from ..operators import vector as X
 from ..operators.relations import anchored, relate
 from .registry import query, table
@@ -196,46 +196,105 @@ def bfs_walk(spark, sf):
     return G.walk(spark.range(1, 6).select(F.col("id").cast("int").alias("seed")), e, 3)
 
 
-_TREE = "SELECT 1000 + r_regionkey AS node, 0 AS parent, CAST(10 AS INT) AS priority, FALSE AS local FROM region UNION ALL SELECT n_nationkey, 1000 + n_regionkey, n_nationkey % 3, FALSE FROM nation UNION ALL SELECT 100000 + c_custkey, c_nationkey, c_custkey % 5, c_custkey % 11 = 0 FROM customer"
+_WORLDS = """WITH RECURSIVE r AS (SELECT c_custkey % 60 AS w, (c_custkey * 7 + 3) % 60 AS src, c_custkey % 5 AS prio, CASE c_custkey % 4 WHEN 0 THEN ['lore'] WHEN 1 THEN [' Lore ', 'rules', '9bad'] WHEN 2 THEN ['rules'] ELSE ['lore', 'LORE', 'people'] END AS d, c_custkey % 9 > 0 AS en FROM customer WHERE c_custkey <= 90),
+e AS (SELECT DISTINCT w, src, prio, lower(trim(x)) AS domain FROM (SELECT w, src, prio, unnest(d) AS x FROM r WHERE en) WHERE regexp_matches(lower(trim(x)), '^[a-z][a-z0-9_]{0,31}$')), shut(w, domain) AS (SELECT x, 'lore' FROM (VALUES (3), (11), (24)) AS t(x) UNION ALL SELECT 6, 'rules'),
+walk AS (SELECT w AS root, domain, src, 1 AS depth, 100000 + prio AS rank, [w, src] AS path FROM e WHERE (w, domain) NOT IN (SELECT w, domain FROM shut)
+UNION ALL SELECT k.root, k.domain, e.src, k.depth + 1, k.rank + 100000 + e.prio, list_append(k.path, e.src) FROM walk k JOIN e ON e.w = k.src AND e.domain = k.domain WHERE k.depth < 4 AND NOT list_contains(k.path, e.src) AND (k.src, k.domain) NOT IN (SELECT w, domain FROM shut))
+"""
 
 
-@query(f"""WITH RECURSIVE t AS ({_TREE}), w AS (SELECT node, node AS source, 0 AS depth, 0 AS rank, local FROM t UNION ALL SELECT w.node, t.parent, depth + 1, rank + 100000 + t.priority, p.local FROM w JOIN t ON t.node = w.source LEFT JOIN t p ON p.node = t.parent WHERE depth < 4 AND t.parent <> 0 AND NOT coalesce(w.local, FALSE))
-SELECT node, source, min(depth) AS depth, min(rank) AS rank FROM w GROUP BY ALL""")
+@query(_WORLDS + "SELECT root AS world, domain, src AS source, min(rank) AS rank, min(depth) AS depth FROM walk GROUP BY ALL")
 def scope_resolution(spark, sf):
-    """Scopes that a node inherits from, up to four levels, not through local ones; the least rank and depth of each."""
-    t = (
-        table(spark, sf, "region").select((1000 + F.col("r_regionkey")).cast("long").alias("node"), F.lit(0).cast("long").alias("parent"), F.lit(10).alias("priority"), F.lit(False).alias("local"))
-        .unionByName(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (1000 + F.col("n_regionkey")).cast("long").alias("parent"), (F.col("n_nationkey") % 3).alias("priority"), F.lit(False).alias("local")))
-        .unionByName(table(spark, sf, "customer").select((100000 + F.col("c_custkey")).alias("node"), F.col("c_nationkey").cast("long").alias("parent"), (F.col("c_custkey") % 5).cast("int").alias("priority"), (F.col("c_custkey") % 11 == 0).alias("local")))
-    )
-    from ..operators.retrieval import inherited
-
-    return inherited(t, 4)
-
-
-@query("""WITH f AS (SELECT label, vec_id % 2 AS half, count(*)::DOUBLE AS n FROM embeddings GROUP BY ALL), p AS (SELECT a.label AS x, b.label AS y FROM (SELECT DISTINCT label FROM f) a JOIN (SELECT DISTINCT label FROM f) b ON a.label < b.label),
-m AS (SELECT x, y, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))) AS o FROM p, (VALUES (0), (1)) h(half) LEFT JOIN f a ON a.label = x AND a.half = h.half LEFT JOIN f b ON b.label = y AND b.half = h.half GROUP BY ALL),
-sc AS (SELECT x, y, o, (x * 7 + y * 3) % 10 / 10.0::DOUBLE AS c FROM m),
-l AS (SELECT x, y, unnest([struct_pack(k := 0, label := 'SAME_REGION', s := 0.34 * 0.6 + 0.18 * o + 0.18 * o + 0.12 * 0.5 + 0.10 * 0.5 + 0.08 * 0.5 - 0.20 * c), struct_pack(k := 1, label := 'TOPIC_SPLIT', s := 0.35 * 0.4 + 0.30 * (1 - o) + 0.20 * (1 - o) + 0.15 * 0.5),
- struct_pack(k := 2, label := 'TEMPORAL_TRANSITION', s := 0.24 * o + 0.20 * 0.5 + 0.14 * 0.5 + 0.12 * 0.5), struct_pack(k := 3, label := 'STATE_TRANSITION', s := 0.18 * o + 0.16 * 0.5 + 0.14 * 0.5 + 0.10 * 0.5 + 0.22 * c),
- struct_pack(k := 4, label := 'NARRATIVE_SPLIT', s := 0.24 * o + 0.18 * o + 0.20 * 0.5 + 0.16 * c + 0.12 * c + 0.10 * 0.4), struct_pack(k := 5, label := 'CONTRADICTION_CLUSTER', s := 0.30 * c + 0.18 * c + 0.14 * c + 0.14 * c + 0.12 * 0.5 + 0.12 * 0.5),
- struct_pack(k := 6, label := 'EXPERIENTIAL_BRANCH_CANDIDATE', s := 0.22 * o + 0.18 * o + 0.18 * 0.5 + 0.16 * 0.5 + 0.12 * 0.5 + 0.08 * c + 0.06 * c), struct_pack(k := 7, label := 'WORLD_BRANCH_CANDIDATE', s := 0.24 * o + 0.18 * o + 0.18 * 0.5 + 0.16 * c + 0.12 * c + 0.12 * 0.4)]) AS t FROM sc),
-r AS (SELECT x, y, t.label AS label, round(greatest(0, least(1, t.s)), 6) AS s, row_number() OVER (PARTITION BY x, y ORDER BY round(greatest(0, least(1, t.s)), 6) DESC, t.k) AS k FROM l)
-SELECT a.x, a.y, CASE WHEN a.s < 0.48 OR round(a.s - b.s, 6) < 0.04 THEN 'UNRESOLVED' ELSE a.label END AS label, a.s AS score FROM r a JOIN r b ON a.x = b.x AND a.y = b.y AND a.k = 1 AND b.k = 2""")
-def boundary_labels(spark, sf):
-    """Label of the boundary between each two labels' regions; what the data don't tell is neutral."""
-    e = table(spark, sf, "embeddings")
-    maps = e.groupBy("label").agg(F.array(F.sum(F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.0)), F.sum(F.when(F.col("vec_id") % 2 == 1, 1.0).otherwise(0.0))).alias("m"))
-    pairs = maps.select(F.col("label").alias("x"), F.col("m").alias("mx")).join(maps.select(F.col("label").alias("y"), F.col("m").alias("my")), F.col("x") < F.col("y"))
-    fold = lambda f: F.aggregate(F.zip_with("mx", "my", f), F.lit(0.0), lambda s, v: s + v)
-    p = pairs.withColumn("o", fold(lambda x, y: F.least(x, y)) / fold(lambda x, y: F.greatest(x, y))).withColumn("c", (F.col("x") * 7 + F.col("y") * 3) % 10 / 10.0)
-    half, o, c = F.lit(0.5), F.col("o"), F.col("c")
-    features = {
-        "mean_similarity": F.lit(0.6), "topic_overlap": o, "subject_overlap": o, "predicate_overlap": half, "world_overlap": half, "timeline_overlap": half, "conflict_density": c, "temporal_separation": F.lit(0.0),
-        "state_like_ratio": c, "source_overlap": half, "temporal_overlap": c, "opposite_polarity_density": c, "exclusive_conflict_density": c, "character_instance_overlap": half, "origin_character_overlap": half,
+    """Worlds that a world inherits from in each domain, up to four steps, not through worlds that keep a domain to themselves."""
+    from ..operators.retrieval import world_scopes
+
+    c, k = table(spark, sf, "customer").filter("c_custkey <= 90"), F.col("c_custkey")
+    words = lambda *v: F.array(*map(F.lit, v))
+    domains = F.when(k % 4 == 0, words("lore")).when(k % 4 == 1, words(" Lore ", "rules", "9bad")).when(k % 4 == 2, words("rules")).otherwise(words("lore", "LORE", "people"))
+    relations = c.select((k % 60).alias("world"), ((k * 7 + 3) % 60).alias("source"), (k % 5).cast("int").alias("priority"), domains.alias("domains"), (k % 9 > 0).alias("enabled"))
+    shut = spark.createDataFrame([(3, "lore"), (11, "lore"), (24, "lore"), (6, "rules")], "world long, domain string")
+    return world_scopes(relations, shut)
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT o_custkey % 3000 AS a, (o_orderkey * 7) % 3000 AS b, ['SUPPORTS', 'MENTIONS', 'CAUSES'][o_orderkey % 3 + 1] AS type FROM orders WHERE o_custkey % 3000 <> (o_orderkey * 7) % 3000), e AS (SELECT a, b FROM n WHERE type <> 'MENTIONS' UNION SELECT b, a FROM n WHERE type <> 'MENTIONS'),
+w AS (SELECT s AS seed, s AS node, 0 AS depth FROM (VALUES (1), (2), (3)) AS t(s) UNION SELECT seed, b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 2) SELECT seed, node, min(depth) AS depth FROM w GROUP BY ALL""")
+def typed_walk(spark, sf):
+    """Nodes within two steps of three seeds over edges of some types, at their nearest depth."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    e = o.select((F.col("o_custkey") % 3000).cast("int").alias("a"), (k * 7 % 3000).cast("int").alias("b"), F.element_at(F.array(*map(F.lit, ("SUPPORTS", "MENTIONS", "CAUSES"))), (k % 3 + 1).cast("int")).alias("type")).filter("a != b")
+    return G.walk(spark.range(1, 4).select(F.col("id").cast("int").alias("seed")), e, 2, ("SUPPORTS", "CAUSES"))
+
+
+_DIMENSIONS = {
+    "dominant_topics": "'t' || (vec_id % 17)", "dominant_subjects": "CASE WHEN label <> 2 THEN 's' || (vec_id * label % 5) END", "dominant_predicates": "'p' || (vec_id % (label + 2))", "source_domains": "CASE WHEN label % 3 > 0 THEN 'd' || vec_id % 2 END",
+    "world_distribution": "'w' || (label % 2)", "timeline_distribution": "CASE WHEN label < 5 THEN 'l' ELSE 'm' || vec_id % 2 END", "character_instances": "CASE WHEN label % 4 = 0 THEN 'i' || label END", "origin_characters": "CASE WHEN label % 2 = 0 THEN 'o' END",
+    "claim_kinds": "['EVENT', 'BELIEF', 'STATE', 'TRAIT'][CASE label % 4 WHEN 0 THEN 1 WHEN 1 THEN vec_id % 2 * 3 + 1 WHEN 2 THEN vec_id % 4 + 1 ELSE 2 + vec_id % 2 END]", "predicate_families": "CASE WHEN label % 3 = 0 THEN 'SPATIAL' WHEN vec_id % 3 = 0 THEN 'Emotional' ELSE 'ACTION' END",
+}
+_REGIONS = "WITH a AS (" + " UNION ALL ".join(f"SELECT label, vec_id, '{d}' AS dim, {x} AS val FROM embeddings" for d, x in _DIMENSIONS.items()) + """),
+c0 AS (SELECT label, dim, val, count(DISTINCT vec_id)::DOUBLE AS n FROM a WHERE val IS NOT NULL GROUP BY ALL), c AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY label, dim ORDER BY n DESC, val) <= 12),
+t AS (SELECT label, min(vec_id + label * 100) AS t0, max(vec_id + label * 100) AS t1 FROM embeddings WHERE vec_id % 10 < 2 + label % 3 AND label <> 9 AND vec_id < 200 GROUP BY label)
+"""
+
+
+def _regions(spark, sf):
+    """Labels as regions, with attributes made of numbers."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    v, l = F.col("vec_id"), F.col("label")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    kind = F.when(l % 4 == 0, 1).when(l % 4 == 1, v % 2 * 3 + 1).when(l % 4 == 2, v % 4 + 1).otherwise(2 + v % 2).cast("int")
+    attributes = {
+        "dominant_topics": name("t", v % 17), "dominant_subjects": F.when(l != 2, name("s", v * l % 5)), "dominant_predicates": name("p", v % (l + 2)), "source_domains": F.when(l % 3 > 0, name("d", v % 2)),
+        "world_distribution": name("w", l % 2), "timeline_distribution": F.when(l < 5, "l").otherwise(name("m", v % 2)), "character_instances": F.when(l % 4 == 0, name("i", l)), "origin_characters": F.when(l % 2 == 0, "o"),
+        "claim_kinds": F.element_at(F.array(*map(F.lit, ("EVENT", "BELIEF", "STATE", "TRAIT"))), kind), "predicate_families": F.when(l % 3 == 0, "SPATIAL").when(v % 3 == 0, "Emotional").otherwise("ACTION"),
     }
-    s = X.boundary_scores(features, V.BOUNDARY_WEIGHTS, V.BOUNDARY_CONFIDENCE, V.BOUNDARY_MARGIN)
-    return p.select("x", "y", s.alias("s")).select("x", "y", "s.label", "s.score")
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), x.alias("value")) for d, x in attributes.items()])
+    values = e.select(l.alias("cluster"), v.alias("node"), F.explode(pairs).alias("x")).select("cluster", "node", "x.*")
+    times = e.filter((v % 10 < 2 + l % 3) & (l != 9) & (v < 200)).select(l.alias("cluster"), (v + l * 100).alias("at"))
+    return P.describe(values, times)
+
+
+@query(_REGIONS + """, d AS (SELECT label, dim, string_agg(val || '=' || n::INT, ',' ORDER BY n DESC, val) AS top FROM c GROUP BY ALL) SELECT d.label, dim, top, t0, t1 FROM d LEFT JOIN t USING (label)""")
+def cluster_metadata(spark, sf):
+    """Twelve most frequent values of each dimension of a region, and its span of time."""
+    r = _regions(spark, sf).select(F.col("cluster").alias("label"), F.explode("counts").alias("dim", "m"), F.col("time_start").alias("t0"), F.col("time_end").alias("t1"))
+    top = F.array_sort(F.transform(F.map_entries("m"), lambda x: F.struct((-x["value"]).alias("s"), x["key"].alias("k"))))
+    return r.select("label", "dim", F.array_join(F.transform(top, lambda x: F.concat_ws("=", x["k"], (-x["s"]).cast("int"))), ",").alias("top"), "t0", "t1")
+
+
+@query(_REGIONS + """, k AS (SELECT label, sum(n) AS n, sum(n) FILTER (val = 'EVENT') AS e, sum(n) FILTER (val IN ('BELIEF', 'TRAIT')) AS b, sum(n) FILTER (val IN ('STATE', 'TRAIT')) AS s FROM c WHERE dim = 'claim_kinds' GROUP BY label),
+f AS (SELECT label, coalesce(sum(n) FILTER (lower(val) IN ('spatial', 'emotional')), 0) / sum(n) AS s FROM c WHERE dim = 'predicate_families' GROUP BY label), o AS (SELECT label, max(n) / sum(n) AS s FROM c WHERE dim = 'dominant_topics' GROUP BY label),
+z AS (SELECT label, unnest([struct_pack(c := coalesce(e, 0) / n, k := 0, l := 'EVENT_REGION'), struct_pack(c := coalesce(b, 0) / n, k := 2, l := 'BELIEF_REGION'), struct_pack(c := greatest(f.s, coalesce(k.s, 0) / n), k := 5, l := 'STATE_SERIES'), struct_pack(c := o.s, k := 6, l := 'TOPIC_REGION')], recursive := TRUE) FROM k JOIN f USING (label) JOIN o USING (label)),
+b AS (SELECT label, arg_max(l, struct_pack(c := c, k := -k)) AS l, max(c) AS c FROM z GROUP BY label) SELECT label, CASE WHEN c < 0.55 THEN 'MIXED_REGION' ELSE l END AS region, round(CASE WHEN c < 0.55 THEN greatest(c, 0.5) ELSE c END, 6) AS confidence FROM b""")
+def region_labels(spark, sf):
+    """What a region is, by the largest share of its kinds, families and topics."""
+    r = P.region_label(F.col("counts"))
+    return _regions(spark, sf).select(F.col("cluster").alias("label"), r.alias("r")).select("label", F.col("r.label").alias("region"), F.round("r.confidence", 6).alias("confidence"))
+
+
+_BOUNDARY_SQL = _REGIONS + """, p AS (SELECT a.label AS x, b.label AS y, ((a.label * 7 + b.label * 3) % 10) / 10.0::DOUBLE AS c, 0.3 + ((a.label + b.label) % 7) / 10.0::DOUBLE AS sim FROM (SELECT DISTINCT label FROM embeddings) a JOIN (SELECT DISTINCT label FROM embeddings) b ON a.label < b.label),
+dims AS (SELECT DISTINCT dim FROM a), u AS (SELECT p.x, p.y, c.dim, c.val, max(CASE WHEN c.label = p.x THEN n ELSE 0 END) AS nx, max(CASE WHEN c.label = p.y THEN n ELSE 0 END) AS ny FROM p JOIN c ON c.label = p.x OR c.label = p.y GROUP BY ALL),
+o AS (SELECT p.x, p.y, dims.dim, coalesce(sum(least(nx, ny)) / sum(greatest(nx, ny)), 0.5) AS v FROM p CROSS JOIN dims LEFT JOIN u ON u.x = p.x AND u.y = p.y AND u.dim = dims.dim GROUP BY ALL),
+w AS (SELECT p.*, (SELECT sum(n) FILTER (lower(val) IN ('spatial', 'emotional')) / sum(n) FROM c WHERE dim = 'predicate_families' AND c.label IN (p.x, p.y)) AS st, CASE WHEN a.t0 IS NULL OR b.t0 IS NULL THEN 0 ELSE greatest(0, least(a.t1, b.t1) - greatest(a.t0, b.t0)) / greatest(1.0, greatest(a.t1, b.t1) - least(a.t0, b.t0)) END AS tov,
+ CASE WHEN a.t0 IS NULL OR b.t0 IS NULL THEN 0 ELSE greatest(0, greatest(a.t0, b.t0) - least(a.t1, b.t1)) / greatest(1.0, greatest(a.t1, b.t1) - least(a.t0, b.t0)) END AS sep FROM p LEFT JOIN t a ON a.label = p.x LEFT JOIN t b ON b.label = p.y),
+f AS (SELECT w.*, tp.v AS tp, sb.v AS sb, pr.v AS pr, so.v AS so, wo.v AS wo, tl.v AS tl, ci.v AS ci, oc.v AS oc FROM w JOIN o tp ON tp.x = w.x AND tp.y = w.y AND tp.dim = 'dominant_topics' JOIN o sb ON sb.x = w.x AND sb.y = w.y AND sb.dim = 'dominant_subjects' JOIN o pr ON pr.x = w.x AND pr.y = w.y AND pr.dim = 'dominant_predicates'
+ JOIN o so ON so.x = w.x AND so.y = w.y AND so.dim = 'source_domains' JOIN o wo ON wo.x = w.x AND wo.y = w.y AND wo.dim = 'world_distribution' JOIN o tl ON tl.x = w.x AND tl.y = w.y AND tl.dim = 'timeline_distribution' JOIN o ci ON ci.x = w.x AND ci.y = w.y AND ci.dim = 'character_instances' JOIN o oc ON oc.x = w.x AND oc.y = w.y AND oc.dim = 'origin_characters'),
+l AS (SELECT x, y, unnest([struct_pack(k := 0, label := 'SAME_REGION', s := 0.34 * sim + 0.18 * tp + 0.18 * sb + 0.12 * pr + 0.10 * wo + 0.08 * tl - 0.20 * c), struct_pack(k := 1, label := 'TOPIC_SPLIT', s := 0.35 * (1 - sim) + 0.30 * (1 - tp) + 0.20 * (1 - sb) + 0.15 * (1 - pr)),
+ struct_pack(k := 2, label := 'TEMPORAL_TRANSITION', s := 0.30 * sep + 0.24 * sb + 0.20 * pr + 0.14 * tl + 0.12 * wo), struct_pack(k := 3, label := 'STATE_TRANSITION', s := 0.20 * sep + 0.18 * sb + 0.16 * pr + 0.14 * tl + 0.10 * wo + 0.22 * st),
+ struct_pack(k := 4, label := 'NARRATIVE_SPLIT', s := 0.24 * tp + 0.18 * sb + 0.20 * (1 - so) + 0.16 * c + 0.12 * tov + 0.10 * (1 - sim)), struct_pack(k := 5, label := 'CONTRADICTION_CLUSTER', s := 0.30 * c + 0.18 * c / 2 + 0.14 * c / 4 + 0.14 * tov + 0.12 * wo + 0.12 * tl),
+ struct_pack(k := 6, label := 'EXPERIENTIAL_BRANCH_CANDIDATE', s := 0.22 * tp + 0.18 * sb + 0.18 * wo + 0.16 * (1 - ci) + 0.12 * oc + 0.08 * c + 0.06 * tov), struct_pack(k := 7, label := 'WORLD_BRANCH_CANDIDATE', s := 0.24 * tp + 0.18 * sb + 0.18 * (1 - wo) + 0.16 * c + 0.12 * tov + 0.12 * (1 - sim))], recursive := TRUE) FROM f),
+r AS (SELECT x, y, label, round(greatest(0, least(1, s)), 6) AS s, row_number() OVER (PARTITION BY x, y ORDER BY round(greatest(0, least(1, s)), 6) DESC, k) AS k FROM l)
+"""
+
+
+@query(_BOUNDARY_SQL + "SELECT a.x, a.y, CASE WHEN a.s < 0.48 OR round(a.s - b.s, 6) < 0.04 THEN 'UNRESOLVED' ELSE a.label END AS label, a.s AS score FROM r a JOIN r b ON a.x = b.x AND a.y = b.y AND a.k = 1 AND b.k = 2")
+def boundary_labels(spark, sf):
+    """Label of the boundary between each two labels' regions, by overlaps of what they are made of, their times and their conflicts."""
+    held_regions = G.held(_regions(spark, sf))
+    side = lambda n, c: held_regions.select(F.col("cluster").alias(c), F.struct("counts", "time_start", "time_end").alias(n))
+    pairs = side("a", "x").join(side("b", "y"), F.col("x") < F.col("y"))
+    c = (F.col("x") * 7 + F.col("y") * 3) % 10 / 10.0
+    pairs = pairs.select("x", "y", "a", "b", (0.3 + (F.col("x") + F.col("y")) % 7 / 10.0).alias("similarity"), c.alias("conflict_density"), (c / 4).alias("exclusive_conflict_density"), (c / 2).alias("opposite_polarity_density"))
+    return P.boundaries(pairs).select("x", "y", "label", "score")
 
 
 @query(_SIMS.format(floor=-1) + """SELECT label, arg_min(vec_id, struct_pack(s := -m, i := vec_id)) AS medoid FROM (SELECT x.label, x.vec_id, round(avg(list_dot_product(x.e, y.e)), 6) AS m FROM v x JOIN v y ON x.label = y.label GROUP BY ALL) GROUP BY label""")

@@ -233,3 +233,45 @@ def inquiry_passages(spark, sf):
     none = F.lit(None).cast("int")
     p = M.anchored_passage(F.col("text"), anchor, none, none, F.when(F.col("doc_id") % 3 == 0, "unresolved_reference").otherwise("other"), 200)
     return table(spark, sf, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.start", "p.end", "p.method")
+
+
+@query("""WITH h AS (SELECT user_id, event_type, arg_max(event_id, epoch(date_trunc('second', ts))::BIGINT * 1000000 + event_id % 1000000) AS e, max(epoch(date_trunc('second', ts))::BIGINT * 1000000 + event_id % 1000000) AS o FROM events WHERE event_id % 3 > 0 GROUP BY ALL)
+SELECT b.event_id, CASE WHEN h.o IS NULL THEN 'new' WHEN epoch(date_trunc('second', b.ts))::BIGINT * 1000000 + b.event_id % 1000000 = h.o THEN 'replayed' WHEN epoch(date_trunc('second', b.ts))::BIGINT * 1000000 + b.event_id % 1000000 < h.o THEN 'late' ELSE 'superseded' END AS receipt FROM events b LEFT JOIN h USING (user_id, event_type) WHERE b.event_id % 2 = 0""")
+def replay_receipts(spark, sf):
+    """What every second event does to the latest event of its user and type among two thirds of all."""
+    from ..streaming.ingest import current, replace_superseded
+
+    o = F.unix_timestamp("ts") * 1000000 + F.col("event_id") % 1000000
+    e = table(spark, sf, "events").select("user_id", "event_type", o.alias("o"), "event_id")
+    held = current(e.filter("event_id % 3 > 0"), ["user_id", "event_type"], "o").select("user_id", "event_type", "o", "event_id")
+    _, receipts = replace_superseded(e.filter("event_id % 2 = 0"), held, ["user_id", "event_type"], "o")
+    return receipts.join(e.select("o", "user_id", "event_type", "event_id"), ["user_id", "event_type", "o"]).select("event_id", "receipt")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' WHEN role = 'system' THEN 'system' ELSE 'assistant' END AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE conv_id % 5 > 0)
+SELECT 'log' || conv_id AS file, 'ann' || conv_id AS character_name, k::INT AS k, role, sha256(text) AS digest FROM m""")
+def chat_log_messages(spark, sf):
+    """Conversations as chat logs, read back: a header line, then a line for each turn; every fifth log has no name and is left out."""
+    from ..sources.records import chat_messages
+
+    line = F.to_json(F.struct(F.lit("n").alias("name"), (F.col("role") == "user").alias("is_user"), (F.col("role") == "system").alias("is_system"), F.col("text").alias("mes")))
+    logs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("x"))
+    n = F.col("conv_id").cast("string")
+    head = F.to_json(F.struct(F.lit("u").alias("user_name"), F.when(F.col("conv_id") % 5 > 0, F.concat(F.lit("ann"), n)).otherwise(" ").alias("character_name")))
+    files = logs.select(F.concat(F.lit("log"), n).alias("file"), F.concat(head, F.lit("\r\n"), F.array_join(F.transform("x", lambda r: r["l"]), "\n"), F.lit("\n")).alias("value"))
+    return chat_messages(files).select("file", "character_name", "k", "role", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH p AS (SELECT page_id, 'https://h.org/' || page_id % 40 AS url, repeat('A sentence of page ' || page_id % 40 || '. ', 12) AS text FROM pages), t AS (SELECT DISTINCT url, text FROM p WHERE length(trim(text)) >= 120)
+SELECT url, sha256(text) AS digest, 0 AS k, sha256(trim(text)) AS paragraph FROM t""")
+def crawl_paragraphs(spark, sf):
+    """Crawl records as JSON lines, parsed, admitted, once per URL and text, in paragraphs."""
+    from ..sources import records
+
+    n = (F.col("page_id") % 40).cast("string")
+    none = F.lit(None).cast("string")
+    pages = table(spark, sf, "pages").select(
+        F.concat(F.lit("https://h.org/"), n, F.lit("?utm_source=x#f")).alias("url"), none.alias("canonical_url"), F.lit("T").alias("title"), F.expr("repeat(concat('A sentence of page ', page_id % 40, '. '), 12)").alias("text"), none.alias("fetched_at"), F.lit("web").alias("source_type"),
+    )
+    read = records.crawl_lines(pages).select(F.from_json("value", records.CRAWL).alias("r")).select("r.*")
+    return records.crawl_paragraphs(read).select("url", "digest", "k", F.sha2("paragraph", 256).alias("paragraph"))

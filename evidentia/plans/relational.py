@@ -84,13 +84,24 @@ def rel_prefix_hierarchy(spark, sf):
     return d.join(F.broadcast(spark.createDataFrame([("en",), ("fr.src1",), ("de.src2.1",)], "path string")), "path").select("doc_id", "path")
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS old, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS new FROM orders),
-a AS (SELECT o_orderkey, o_custkey, 'oldest' AS band FROM r WHERE old <= 3) SELECT * FROM a UNION ALL SELECT o_orderkey, o_custkey, 'newest' FROM r WHERE new <= 1 AND o_orderkey NOT IN (SELECT o_orderkey FROM a)""")
+@query("""WITH f AS (SELECT o_orderkey AS id, 0 AS band FROM orders WHERE o_orderkey % 50 = 3 ORDER BY o_orderdate, o_orderkey LIMIT 200), q AS (SELECT 200 - count(*) AS room FROM f),
+b AS (SELECT id, 1 AS band FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderkey % 50 <> 3), q WHERE k <= floor(room * 0.75)),
+n AS (SELECT id, 2 AS band FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders WHERE o_orderkey % 50 <> 3 AND o_orderkey NOT IN (SELECT id FROM b)), q WHERE k <= room - floor(room * 0.75)) SELECT * FROM f UNION ALL SELECT * FROM b UNION ALL SELECT * FROM n""")
 def rel_fair_quota(spark, sf):
-    """Of each customer's orders three oldest and one newest, none twice."""
-    w = Window.partitionBy("o_custkey")
-    r = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("old"), F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).alias("new"))
-    return r.filter("old <= 3 or new <= 1").select("o_orderkey", "o_custkey", F.when(F.col("old") <= 3, "oldest").otherwise("newest").alias("band"))
+    """Two hundred orders: those in the foreground first, then three quarters of the room for the oldest and a quarter for the newest."""
+    from ..operators.retrieval import fair_share
+
+    return fair_share(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 50 == 3).alias("foreground")), 200)
+
+
+@query("""SELECT event_id, json_extract(props, '$.k') IS NOT NULL AS has_k, json_extract(props, '$.z') IS NOT NULL AS has_z, CAST(json_extract(props, '$.k') AS INT) = 3 AS holds, json_merge_patch(props, '{"m":1}')::VARCHAR AS patched, 'a' || (event_id % 3) LIKE 'a1%' OR event_type LIKE '%gn%' AS liked FROM events""")
+def rel_json_like_any(spark, sf):
+    """Keys of JSON, containment and a set key; LIKE ANY."""
+    from ..functions import documents as J
+
+    e = table(spark, sf, "events")
+    liked = F.expr("concat('a', event_id % 3) like any ('a1%') or event_type like any ('%gn%', 'zz%')")
+    return e.select("event_id", J.has_key(F.col("props"), "k").alias("has_k"), J.has_key(F.col("props"), "z").alias("has_z"), J.contains(F.col("props"), {"k": 3}).alias("holds"), F.replace(J.with_key(F.col("props"), "m", F.lit(1)), F.lit(" "), F.lit("")).alias("patched"), liked.alias("liked"))
 
 
 @query("""WITH old AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT c_custkey AS k, 'new' AS v FROM customer WHERE c_custkey % 2 = 0) SELECT k, v FROM new UNION ALL SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM new)""")

@@ -230,12 +230,18 @@ def page_text(spark, sf):
     return found.select("page_id", "title", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"), (F.length("text") / 4).cast("int").alias("tokens"), F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 80)).alias("paragraphs"))
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('src1', NULL, 10, 'one'), ('src2', NULL, 5, 'two'), (NULL, 'en', 20, 'english'), (NULL, NULL, 0, 'inbox')) AS t(source, lang, priority, profile)),
-m AS (SELECT doc_id, profile, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN p.source IS NOT NULL THEN 2 WHEN p.lang IS NOT NULL THEN 1 ELSE 0 END DESC, priority DESC, profile) AS k FROM documents d JOIN p ON (p.source IS NULL OR p.source = d.source) AND (p.lang IS NULL OR p.lang = d.lang))
-SELECT doc_id, profile FROM m WHERE k = 1""")
+@query("""WITH d AS (SELECT page_id AS doc_id, 's' || (page_id % 5) AS source, CASE page_id % 6 WHEN 0 THEN 'https://www.Wiki.org/en/' || page_id WHEN 1 THEN 'wiki.org/' || page_id WHEN 2 THEN 'https://a.wiki.org/en' WHEN 3 THEN 'http://u@news.net:80/x?q=/en/' WHEN 4 THEN NULL ELSE 'http://other.net/english' END AS uri FROM pages),
+h AS (SELECT *, lower(regexp_extract(CASE WHEN contains(uri, '://') THEN uri ELSE 'https://' || uri END, '^[^:]*://(?:[^/?#]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(CASE WHEN contains(uri, '://') THEN uri ELSE 'https://' || uri END, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path FROM d),
+p(profile, source, pattern, start, priority) AS (VALUES ('english', NULL, '.wiki.org', '/en', 5), ('wiki', 's1', 'wiki.org', NULL, 5), ('news', NULL, 'news.net', NULL, 1), ('three', 's3', NULL, NULL, 1), ('top', 's4', NULL, '/en', 9)),
+m AS (SELECT doc_id, profile, matched, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, spec DESC) AS k FROM (SELECT doc_id, profile, priority, CASE WHEN p.source = h.source THEN 2 ELSE 1 END AS spec, CASE WHEN p.source = h.source THEN 'source_id' ELSE 'domain' END AS matched FROM h JOIN p ON (p.source = h.source OR CASE WHEN starts_with(pattern, '.') THEN ends_with(host, pattern) AND host <> substr(pattern, 2) ELSE host = pattern END) AND (start IS NULL OR path = start OR starts_with(path, start || '/'))))
+SELECT d.doc_id, coalesce(profile, 'inbox') AS profile, coalesce(matched, 'fallback') AS matched FROM d LEFT JOIN m ON m.doc_id = d.doc_id AND k = 1""")
 def source_routing(spark, sf):
-    """Profile of a document: a source match before a language match, then priority, else the inbox."""
-    return D.route(table(spark, sf, "documents"), [("src1", None, 10, "one"), ("src2", None, 5, "two"), (None, "en", 20, "english"), (None, None, 0, "inbox")])
+    """Profile of a page by its source, host and path: priority first, then what is more specific, else the inbox."""
+    k = F.col("page_id")
+    n = k.cast("string")
+    uri = F.when(k % 6 == 0, F.concat(F.lit("https://www.Wiki.org/en/"), n)).when(k % 6 == 1, F.concat(F.lit("wiki.org/"), n)).when(k % 6 == 2, "https://a.wiki.org/en").when(k % 6 == 3, "http://u@news.net:80/x?q=/en/").when(k % 6 == 5, "http://other.net/english")
+    pages = table(spark, sf, "pages").select(k.alias("doc_id"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("source"), uri.alias("uri"))
+    return D.route(pages, [D.Profile("english", hosts="*.wiki.org", path="en", priority=5), D.Profile("wiki", "s1", "wiki.org.", priority=5), D.Profile("news", hosts="News.net", priority=1), D.Profile("three", "s3", priority=1), D.Profile("top", "s4", path="/en", priority=9)])
 
 
 @query(f"""WITH f AS (SELECT DISTINCT doc_id, 's' || (doc_id % 3) AS ns, source FROM documents), m AS (SELECT doc_id, ns FROM f WHERE source IN ('src1', 'src2', 'src3') UNION ALL SELECT doc_id, 'extra' FROM f WHERE source = 'src3')
@@ -255,12 +261,28 @@ def cross_source_copies(spark, sf):
     return found.filter("n > 1")
 
 
-@query("""WITH t AS (SELECT source AS domain, lang AS section, doc_id AS document, 't' || unnest([doc_id % 4, (doc_id + 1) % 4]) AS topic, 0.78 + (doc_id % 20) / 100.0 AS similarity FROM documents),
-o AS (SELECT domain, section, document, topic, max(similarity) AS similarity FROM t GROUP BY ALL),
-p AS (SELECT a.domain, a.topic AS a, b.topic AS b, a.document, a.section, least(a.similarity, b.similarity) AS s FROM o a JOIN o b ON a.domain = b.domain AND a.section = b.section AND a.document = b.document AND a.topic < b.topic WHERE least(a.similarity, b.similarity) >= 0.78)
-SELECT domain, a, b, count(DISTINCT document) AS documents, count(DISTINCT section) AS sections, round(min(s), 4)::DOUBLE AS signal FROM p GROUP BY ALL HAVING count(DISTINCT document) >= 2""")
+@query("""WITH t AS (SELECT source AS domain, lang AS section, doc_id AS document, 't' || unnest([doc_id % 4, (doc_id + 1) % 4]) AS topic, 0.78 + (doc_id % 20) / 100.0 AS similarity, 'f' || doc_id || ':' || doc_id % 3 AS mark FROM documents),
+o AS (SELECT domain, section, document, topic, max(similarity) AS similarity, max(mark) AS mark FROM t GROUP BY ALL),
+p AS (SELECT a.domain, a.topic AS a, b.topic AS b, a.document, a.section, a.mark, least(a.similarity, b.similarity) AS s FROM o a JOIN o b ON a.domain = b.domain AND a.section = b.section AND a.document = b.document AND a.topic < b.topic WHERE least(a.similarity, b.similarity) >= 0.78)
+SELECT domain, a, b, count(DISTINCT document) AS documents, count(DISTINCT section) AS sections, round(min(s), 4)::DOUBLE AS signal, sha256('[' || string_agg('["' || section || '","' || mark || '"]', ',' ORDER BY section, mark) || ']') AS revision FROM p GROUP BY ALL HAVING count(DISTINCT document) >= 2""")
 def gap_pairs(spark, sf):
-    """Topics that occur together in sections of at least two documents of a domain."""
-    d = table(spark, sf, "documents")
-    t = d.select(F.col("source").alias("domain"), F.col("lang").alias("section"), F.col("doc_id").alias("document"), F.explode(F.array(F.col("doc_id") % 4, (F.col("doc_id") + 1) % 4)).alias("t"), (0.78 + (F.col("doc_id") % 20) / 100.0).alias("similarity"))
+    """Topics that occur together in sections of at least two documents of a domain, and the revision of what they were found in."""
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    t = d.select(F.col("source").alias("domain"), F.col("lang").alias("section"), k.alias("document"), F.explode(F.array(k % 4, (k + 1) % 4)).alias("t"), (0.78 + (k % 20) / 100.0).alias("similarity"), F.concat(F.lit("f"), k.cast("string")).alias("fingerprint"), (k % 3).alias("reference"))
     return D.gap_pairs(t.withColumn("topic", F.concat(F.lit("t"), F.col("t").cast("string"))))
+
+
+@query(r"""WITH l AS (SELECT doc_id, length(text) AS whole, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT doc_id, regexp_replace(text, '[.] ', '.' || chr(10) || chr(10), 'g') AS text FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'Chapter 1' || chr(10) || text FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 3 = 2)),
+h AS (SELECT *, trim(raw) AS line, trim(raw) <> '' AND length(trim(raw)) <= 120 AND regexp_matches(trim(raw), '(?i)""" + V.HEADING_PATTERN + r"""') AS head FROM l),
+s AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY k) AS section, sum((head OR line = '')::INT) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM h),
+e AS (SELECT doc_id, block - 1 AS block, start AS ends FROM s WHERE head OR line = ''),
+p AS (SELECT s.doc_id, s.section, s.block, string_agg(line, ' ' ORDER BY k) AS content, coalesce(min(e.ends), max(whole)) AS ends FROM s LEFT JOIN e ON e.doc_id = s.doc_id AND e.block = s.block WHERE NOT head AND line <> '' GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS place FROM p)
+SELECT doc_id, CASE WHEN section > 0 THEN '/section/' || (section - 1)::INT ELSE '' END || '/paragraph/' || place AS path, (section > 0)::INT AS depth, sha256(content) AS digest, greatest(0, ends - length(content))::BIGINT AS start, ends::BIGINT AS "end" FROM n
+UNION ALL SELECT doc_id, '/section/' || (section - 1)::INT, 0, sha256(line), start::BIGINT, (start + length(raw) + 1)::BIGINT FROM s WHERE head""")
+def doc_units(spark, sf):
+    """Sections and paragraphs of documents with paths, depths and places; some are dressed with blank lines and headings."""
+    k = F.col("doc_id")
+    text = F.when(k % 3 == 0, F.regexp_replace("text", "[.] ", ".\n\n")).when(k % 3 == 1, F.concat(F.lit("Chapter 1\n"), F.col("text"))).otherwise(F.col("text"))
+    u = D.units(table(spark, sf, "documents").select("doc_id", text.alias("text")))
+    long = lambda n: F.col(n).cast("long").alias(n)
+    return u.select("doc_id", "path", "depth", F.sha2(F.when(F.col("kind") == "section", F.col("title")).otherwise(F.col("content")), 256).alias("digest"), long("start"), long("end"))

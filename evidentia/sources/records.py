@@ -34,12 +34,27 @@ def chat_logs(spark: SparkSession, path: str) -> DataFrame:
     Logs whose header names no character or user are left out. A date keeps its text: a time zone is not invented. Lines keep their order by file and
     place, so a file is read by one task.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).filter(F.trim("line") != "")
-    first = lines.groupBy("file").agg(F.min_by("line", "k").alias("line"), F.min("k").alias("k0"))
-    headers = first.select("file", "k0", F.from_json("line", _HEADER).alias("h")).select("file", "k0", "h.character_name", "h.user_name").filter("trim(coalesce(character_name, '')) != '' and trim(coalesce(user_name, '')) != ''")
-    said = lines.join(headers, "file").filter("k > k0").withColumn("m", F.from_json("line", _MESSAGE)).filter("m.mes is not null")
+    return chat_messages(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def chat_messages(logs: DataFrame) -> DataFrame:
+    """chat_logs() of whole files (file, value); all of it stays within a row, so that streams of files can be read as well."""
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    head = logs.withColumn("lines", lines).withColumn("h", F.from_json(F.get("lines", F.lit(0)), _HEADER))
+    head = head.filter("trim(coalesce(h.character_name, '')) != '' and trim(coalesce(h.user_name, '')) != ''")
+    said = head.select("file", "h.character_name", "h.user_name", F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.lit(0), F.size("lines") - 1))).alias("k", "line")).withColumn("m", F.from_json("line", _MESSAGE)).filter("m.mes is not null")
     role = F.when(F.col("m.is_system"), "system").when(F.col("m.is_user"), "user").otherwise("assistant")
-    return said.select("file", "character_name", "user_name", (F.col("k") - F.col("k0") - 1).alias("k"), role.alias("role"), F.col("m.name").alias("name"), F.col("m.send_date").alias("sent"), F.col("m.mes").alias("text"), F.coalesce("m.swipes", F.array().cast("array<string>")).alias("swipes"))
+    return said.select("file", "character_name", "user_name", "k", role.alias("role"), F.col("m.name").alias("name"), F.col("m.send_date").alias("sent"), F.col("m.mes").alias("text"), F.coalesce("m.swipes", F.array().cast("array<string>")).alias("swipes"))
+
+
+def chat_stream(spark: SparkSession, path: str) -> DataFrame:
+    """chat_messages() of a stream of files: a log that is written anew is read anew; poll() with the keys file and k appends what is new."""
+    return chat_messages(spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def crawl_lines(pages: DataFrame) -> DataFrame:
+    """Crawl records (CRAWL) of pages as JSON lines (value), for append-only files."""
+    return pages.select(F.to_json(F.struct(*[F.col(c) for c in pages.columns])).alias("value"))
 
 
 def lorebook(spark: SparkSession, path: str) -> DataFrame:

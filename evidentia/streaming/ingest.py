@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -28,6 +29,23 @@ def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
     batch.dropDuplicates(keys).join(held, keys, "left_anti").write.mode("append").parquet(path)
 
 
+def poll(stream: DataFrame, path: str, keys: list[str], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream's rows to a table, each key once: all that is there now, and then end; or again and again, at an interval such as "30 seconds". The
+    checkpoint remembers what was read; a batch that is repeated after a failure adds nothing."""
+    writer = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, keys)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def replace_superseded(batch: DataFrame, held: DataFrame, slot: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(table, receipts) after a batch of edits: the latest event of each slot, and for every event of the batch whether it was new, superseded another, was
+    late (an event of its slot is newer) or replayed (it is held already)."""
+    known = held.select(*slot, F.col(order).alias("_held"))
+    judged = batch.join(known, slot, "left")
+    state = F.when(F.col("_held").isNull(), "new").when(F.col(order) == F.col("_held"), "replayed").when(F.col(order) < F.col("_held"), "late").otherwise("superseded")
+    receipts = judged.select(*slot, order, state.alias("receipt"))
+    return current(held.unionByName(batch.select(held.columns)), slot, order).select(held.columns), receipts
+
+
 def current(events: DataFrame, slot: list[str], order: str) -> DataFrame:
     """The latest event of each slot; earlier ones are superseded."""
     rest = [c for c in events.columns if c not in [*slot, order]]

@@ -173,11 +173,17 @@ def test_paragraphs_and_windows(spark):
     assert col(spark, f"Too short.\n{a}\nno end", T.paragraphs) == [f"Too short. {a}", "no end"]
     assert col(spark, "", T.paragraphs) == []
     assert [len(x) for x in col(spark, "x" * 2500, T.windows)] == [1200, 1200, 100]
+    # edges lose white space, never the digits that are their places
+    assert col(spark, " 0 first 0 \n\n\t1 second 1 ", T.windows) == ["0 first 0", "1 second 1"]
+    assert col(spark, "0 is none.  1 is one 1\n 2 is two 2", T.sentences) == ["0 is none.", "1 is one 1", "2 is two 2"]
+    assert col(spark, f" {a} 0\n\n 1 {b} 1", T.paragraphs) == [f"{a} 0", f"1 {b} 1"] and col(spark, "0 one\n 1 two. ", T.paragraphs) == ["0 one 1 two."]
 
 
 def test_message_units(spark):
     want = {"I remember the old bridge.": "MEMORY", "She thinks that it rains": "BELIEF", "He wants to go home": "GOAL", "You must stay here": "RULE", "Do you want it?": None, "I won't open that door": "STATE", "You made me want that": None, "They arrived late": "EVENT", "my friend and I": "RELATIONSHIP", "I'll fix the roof": "GOAL", "I'm not going anywhere": "STATE"}
     assert {t: (u.kind if (u := col(spark, t, T.message_unit)) else None) for t in want} == want
+    who = {"They arrived late": "They", "Late, they arrived": None, "Ann is my friend": "Ann", "we’re partners": "we", "my friend and I": None, "'He took it": "He"}
+    assert {t: col(spark, t, T.message_unit).subject for t in who} == who
 
 
 def test_identity_ignores_case_and_edges_and_knows_polarity(spark):
@@ -483,3 +489,20 @@ def test_acquisitions_keep_the_first_and_the_latest_that_is_known(spark):
     assert (r.first_node, r.last_node, r.first_at, r.updated_at, r.status, r.confidence, r.mode, r.source, r.n) == (None, "n2", 10, 30, "gone", 0.9, "read", "b", 3)
     r = M.acquire(df, df.filter("ord = 3").select("instance", "proposition", "ord")).first()
     assert (r.status, r.confidence, r.mode, r.source, r.n) == ("believed", 0.5, "taught", "a", 2)
+
+
+def test_polling_appends_each_message_once(spark, tmp_path):
+    from evidentia.sources import records
+    from evidentia.streaming import ingest
+
+    logs, out, marks = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "c")
+    logs.mkdir()
+    lines = [{"user_name": "U", "character_name": "C"}, {"name": "U", "is_user": True, "mes": "hi"}]
+    (logs / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    for text in ("yo", "and more"):
+        ingest.poll(records.chat_stream(spark, str(logs)), out, ["file", "k"], marks).awaitTermination(60)
+        lines.append({"name": "C", "is_user": False, "mes": text})
+        (logs / f"b{len(lines)}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    ingest.poll(records.chat_stream(spark, str(logs)), out, ["file", "k"], marks).awaitTermination(60)
+    got = sorted((r.file.rsplit("/", 1)[1], r.k, r.role, r.text) for r in spark.read.parquet(out).collect())
+    assert got == [("a.jsonl", 0, "user", "hi"), ("b3.jsonl", 0, "user", "hi"), ("b3.jsonl", 1, "assistant", "yo"), ("b4.jsonl", 0, "user", "hi"), ("b4.jsonl", 1, "assistant", "yo"), ("b4.jsonl", 2, "assistant", "and more")]
