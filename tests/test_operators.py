@@ -182,7 +182,7 @@ def test_paragraphs_and_windows(spark):
 def test_message_units(spark):
     want = {"I remember the old bridge.": "MEMORY", "She thinks that it rains": "BELIEF", "He wants to go home": "GOAL", "You must stay here": "RULE", "Do you want it?": None, "I won't open that door": "STATE", "You made me want that": None, "They arrived late": "EVENT", "my friend and I": "RELATIONSHIP", "I'll fix the roof": "GOAL", "I'm not going anywhere": "STATE"}
     assert {t: (u.kind if (u := col(spark, t, T.message_unit)) else None) for t in want} == want
-    who = {"They arrived late": "They", "Late, they arrived": None, "Ann is my friend": "Ann", "we’re partners": "we", "my friend and I": None, "'He took it": "He"}
+    who = {"They arrived late": "They", "Late, they arrived": None, "Ann is my friend": "Ann", "so we’re an ally": "we", "my friend and I": None, "'He took it": "He"}
     assert {t: col(spark, t, T.message_unit).subject for t in who} == who
 
 
