@@ -506,3 +506,27 @@ def test_polling_appends_each_message_once(spark, tmp_path):
     ingest.poll(records.chat_stream(spark, str(logs)), out, ["file", "k"], marks).awaitTermination(60)
     got = sorted((r.file.rsplit("/", 1)[1], r.k, r.role, r.text) for r in spark.read.parquet(out).collect())
     assert got == [("a.jsonl", 0, "user", "hi"), ("b3.jsonl", 0, "user", "hi"), ("b3.jsonl", 1, "assistant", "yo"), ("b4.jsonl", 0, "user", "hi"), ("b4.jsonl", 1, "assistant", "yo"), ("b4.jsonl", 2, "assistant", "and more")]
+
+
+def test_the_index_finds_nearly_all_neighbours(spark, monkeypatch):
+    import numpy as np
+
+    from evidentia.operators import vector as X
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 16))
+    x = centres[r.integers(0, 20, 1500)] + 0.35 * r.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(X, "BLOCK", 64)
+    asked = points.filter("vec_id % 20 = 0")
+    exact = X.top_k(asked, points, 10)
+    index = X.Index(points, 20, sample=600)
+    found = index.search(asked, 10, probes=4)
+    share = X.recall(found, exact)
+    assert share >= 0.9 and X.recall(exact, exact) == 1.0
+    # every point is in the index: all cells give the exact answer
+    assert X.recall(index.search(asked, 10, probes=20), exact) == 1.0
+    pairs = X.neighbor_graph(points.filter("vec_id < 300"), 5, 0.5, index=X.Index(points.filter("vec_id < 300"), 8), probes=8)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, X.neighbor_graph(points.filter("vec_id < 300"), 5, 0.5).collect()))
+    assert X.Index(points.limit(0), 4).search(asked.limit(0), 3).count() == 0
