@@ -190,15 +190,28 @@ def focus_terms(*values: Column, most: int = 12, anchors: int = 5) -> Column:
     """At most `most` distinct words of three letters or more: all, if there are no more. Else names with an underscore and the first `anchors` further words
     of each of the first two values come first, and what room is left is spread evenly over the others."""
     of = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_'-]+"), F.lit(0)), lambda w: F.length(w) >= 3))
-    every = F.array_distinct(F.concat(*map(of, values)))
-    first = F.filter(every, lambda w: w.contains("_"))
-    for value in values[:2]:
-        first = F.concat(first, F.slice(F.array_except(of(value), first), 1, anchors))
-    plain = F.array_except(every, first)
-    room = most - F.least(F.lit(most), F.size(first))
-    spread = F.transform(F.sequence(F.lit(0), F.greatest(room, F.lit(1)) - 1), lambda k: F.get(plain, F.least(F.floor(k * (F.size(plain) / room)).cast("int"), F.size(plain) - 1)))
-    rest = F.when(room <= 0, F.array().cast("array<string>")).when(F.size(plain) <= room, plain).otherwise(spread)
-    return F.when(F.size(every) <= most, every).otherwise(F.slice(F.concat(first, rest), 1, most))
+    # each list is made once: an expression that lambdas refer to would be made again in each of them
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def spread(plain: Column, room: Column) -> Column:
+        step = F.size(plain) / room
+        return F.transform(F.sequence(F.lit(0), F.greatest(room, F.lit(1)) - 1), lambda k: F.get(plain, F.least(F.floor(k * step).cast("int"), F.size(plain) - 1)))
+
+    def chosen(every: Column, lists: list[Column]) -> Column:
+        first = F.filter(every, lambda w: w.contains("_"))
+        for own in lists:
+            first = F.concat(first, F.slice(F.array_except(own, first), 1, anchors))
+
+        def with_first(first: Column) -> Column:
+            room = most - F.least(F.lit(most), F.size(first))
+            rest = let(F.array_except(every, first), lambda plain: F.when(room <= 0, none).when(F.size(plain) <= room, plain).otherwise(spread(plain, room)))
+            return F.slice(F.concat(first, rest), 1, most)
+
+        return F.when(F.size(every) <= most, every).otherwise(let(first, with_first))
+
+    lists = F.struct(*[of(v).alias(f"x{k}") for k, v in enumerate(values)])
+    return let(lists, lambda x: let(F.array_distinct(F.concat(*[x[f"x{k}"] for k in range(len(values))])), lambda every: chosen(every, [x[f"x{k}"] for k in range(min(2, len(values)))])))
 
 
 def trim(items: DataFrame, budget: int) -> DataFrame:

@@ -118,11 +118,11 @@ def section_budget(spark, sf):
 
 
 @query(f"""WITH o AS (SELECT o_custkey AS k, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders, count(*) AS n FROM orders GROUP BY ALL),
-c AS (SELECT c_custkey AS k, c_name || ' says so. ' || c_mktsegment || ' and more of it! ' || c_name || ' ' || c_acctbal::INT AS t FROM customer)
+c AS (SELECT c_custkey AS k, c_name || ' says so. ' || c_mktsegment || ' and more of it! ' || c_name || ' ' || floor(c_acctbal)::BIGINT AS t FROM customer)
 SELECT c.k, coalesce(orders, '') AS orders, coalesce(n, 0) AS n, CASE WHEN length(t) <= 66 THEN t ELSE {_excerpt_sql("t", "66")} END AS name FROM c LEFT JOIN o ON o.k = c.k""")
 def hud_frames(spark, sf):
     """A nested document per customer, rendered."""
-    said = F.concat(F.col("c_name"), F.lit(" says so. "), F.col("c_mktsegment"), F.lit(" and more of it! "), F.col("c_name"), F.lit(" "), F.round("c_acctbal").cast("int").cast("string"))
+    said = F.concat(F.col("c_name"), F.lit(" says so. "), F.col("c_mktsegment"), F.lit(" and more of it! "), F.col("c_name"), F.lit(" "), F.floor("c_acctbal").cast("string"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), P.excerpt(said, F.lit(66)).alias("name"))
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderstatus")
     f = c.join(P.frame("k", orders=(o, ["o_orderkey", "o_orderstatus"])), "k", "left")

@@ -215,7 +215,7 @@ def frame_places(spark, sf):
     return M.frame_places(f).withColumn("place", F.col("place").cast("long"))
 
 
-_ANCHOR = """WITH d AS (SELECT doc_id, text, length(text) AS n, doc_id % 4 AS k, substr(text, 40 + doc_id % 60, 12) AS w FROM documents), a AS (SELECT *, CASE k WHEN 0 THEN trim(w, ' ') WHEN 1 THEN 'zz no such zz' WHEN 2 THEN '' ELSE trim(upper(w), ' ') END AS needle FROM d),
+_ANCHOR = """WITH d AS (SELECT doc_id, text, length(text) AS n, doc_id % 4 AS k, substr(text, 40 + doc_id % 60, 12) AS w FROM documents), a AS (SELECT *, CASE k WHEN 0 THEN trim(w, ' ') WHEN 1 THEN 'zz no such zz' WHEN 2 THEN '' ELSE trim(translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ') END AS needle FROM d),
 p AS (SELECT *, instr(lower(text), lower(needle)) - 1 AS first FROM a), q AS (SELECT *, instr(substr(lower(text), first + 1 + length(needle)), lower(needle)) > 0 AS again FROM p),
 l AS (SELECT *, CASE WHEN needle <> '' AND first >= 0 AND NOT again THEN first END AS lo FROM q), b AS (SELECT *, lo + length(needle) AS hi, greatest(0, lo - floor((200 - length(needle)) * CASE WHEN doc_id % 3 = 0 THEN 0.78 ELSE 0.58 END)::INT) AS s0 FROM l),
 e AS (SELECT *, CASE WHEN least(n, s0 + 200) < hi THEN greatest(0, hi - 200) ELSE s0 END AS s1 FROM b), g AS (SELECT *, least(n, s1 + 200) AS e1, instr(substr(text, s1 + 1, least(24, lo - s1)), ' ') AS gap FROM e),
@@ -229,7 +229,7 @@ def inquiry_passages(spark, sf):
     """The part of a document around an anchor, for anchors that are there once, several times, not at all, or not given."""
     k = F.col("doc_id") % 4
     w = F.substring(F.col("text"), (40 + F.col("doc_id") % 60).cast("int"), F.lit(12))
-    anchor = F.when(k == 0, F.trim(w)).when(k == 1, "zz no such zz").when(k == 2, "").otherwise(F.trim(F.upper(w)))
+    anchor = F.when(k == 0, F.trim(w)).when(k == 1, "zz no such zz").when(k == 2, "").otherwise(F.trim(F.translate(w, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
     none = F.lit(None).cast("int")
     p = M.anchored_passage(F.col("text"), anchor, none, none, F.when(F.col("doc_id") % 3 == 0, "unresolved_reference").otherwise("other"), 200)
     return table(spark, sf, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.start", "p.end", "p.method")
