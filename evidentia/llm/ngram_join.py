@@ -383,8 +383,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     wanted = spark.sparkContext.broadcast(bitmap(cells, "id"))
     members = map_batches(docs, _sets(size, wanted), "id long, fp1 long, fp2 long, shingles binary")
-    # half as large as a cell, so that a task that joins two of them holds no more than one
-    blocks = cells.join(_over(cells).select("cell", (2 * F.col("blocks")).alias("blocks")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = cells.join(_over(cells).select("cell", "blocks"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     keyed = blocks.select(F.struct("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("key"), "member", *_KEY)
     keyed = keyed.join(members, _KEY).select(F.to_json("key").alias("key"), "member", "shingles")
