@@ -55,7 +55,8 @@ relation("rel_position_order", "SELECT n_nationkey, array_position(array('CHINA'
 relation("rel_union_all", "SELECT kind, count(*) AS n FROM (SELECT 'c' AS kind FROM {customer} UNION ALL SELECT 's' FROM {supplier}) GROUP BY kind")
 relation("rel_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 relation("rel_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM {orders} GROUP BY o_custkey), m AS (SELECT max(t) AS top FROM big) SELECT o_custkey, round(t / top, 6) AS share FROM big, m WHERE t > 0.5 * top")
-relation("rel_recursive_lineage", "WITH RECURSIVE w AS (SELECT c_custkey AS id, c_custkey AS anc, 0 AS depth FROM {customer} UNION ALL SELECT id, anc DIV 2, depth + 1 FROM w WHERE anc > 1 AND depth < 64) SELECT id, anc, depth FROM w", "WITH RECURSIVE w AS (SELECT c_custkey AS id, c_custkey AS anc, 0 AS depth FROM {customer} UNION ALL SELECT id, anc // 2, depth + 1 FROM w WHERE anc > 1 AND depth < 64) SELECT id, anc, depth FROM w")
+# LIMIT ALL lifts the engine's limit of a million rows, at which recursion fails
+relation("rel_recursive_lineage", "WITH RECURSIVE w AS (SELECT c_custkey AS id, c_custkey AS anc, 0 AS depth FROM {customer} UNION ALL SELECT id, anc DIV 2, depth + 1 FROM w WHERE anc > 1 AND depth < 64) SELECT id, anc, depth FROM w LIMIT ALL", "WITH RECURSIVE w AS (SELECT c_custkey AS id, c_custkey AS anc, 0 AS depth FROM {customer} UNION ALL SELECT id, anc // 2, depth + 1 FROM w WHERE anc > 1 AND depth < 64) SELECT id, anc, depth FROM w")
 relation("rel_recursive_paths", "WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b, n_regionkey AS kind FROM {nation}), w AS (SELECT a, b, array(a, b) AS path, 1 AS hops FROM e UNION ALL SELECT w.a, e.b, concat(path, array(e.b)), hops + 1 FROM w JOIN e ON e.a = w.b WHERE hops < 2 AND NOT array_contains(path, e.b)) SELECT a, b, hops, array_join(path, '>') AS path FROM w", "WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b, n_regionkey AS kind FROM {nation}), w AS (SELECT a, b, [a, b] AS path, 1 AS hops FROM e UNION ALL SELECT w.a, e.b, list_append(path, e.b), hops + 1 FROM w JOIN e ON e.a = w.b WHERE hops < 2 AND NOT list_contains(path, e.b)) SELECT a, b, hops, array_to_string(path, '>') AS path FROM w")
 relation("rel_strings", "SELECT n_nationkey, upper(n_name) AS u, left(n_name, 3) AS l, length(n_name) AS n, concat_ws('-', n_name, CAST(n_regionkey AS STRING)) AS c, regexp_replace(n_name, '[AEIOU]', '_') AS r, md5(n_name) AS m FROM {nation}", "SELECT n_nationkey, upper(n_name) AS u, left(n_name, 3) AS l, length(n_name)::INT AS n, concat_ws('-', n_name, CAST(n_regionkey AS VARCHAR)) AS c, regexp_replace(n_name, '[AEIOU]', '_', 'g') AS r, md5(n_name) AS m FROM {nation}")
 relation("rel_dates", "SELECT o_orderkey, CAST(unix_timestamp(o_orderdate) AS BIGINT) AS epoch, date_format(o_orderdate + INTERVAL 36 HOURS, 'yyyy-MM-dd') AS later, CAST(floor((unix_timestamp(TIMESTAMP '2000-01-01 00:00:00') - unix_timestamp(o_orderdate)) / 3600) AS BIGINT) AS age FROM {orders}", "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS epoch, strftime(o_orderdate + INTERVAL 36 HOURS, '%Y-%m-%d') AS later, CAST(floor((epoch(TIMESTAMP '2000-01-01 00:00:00') - epoch(o_orderdate)) / 3600) AS BIGINT) AS age FROM {orders}")

@@ -530,3 +530,22 @@ def test_the_index_finds_nearly_all_neighbours(spark, monkeypatch):
     pairs = X.neighbor_graph(points.filter("vec_id < 300"), 5, 0.5, index=X.Index(points.filter("vec_id < 300"), 8), probes=8)
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, X.neighbor_graph(points.filter("vec_id < 300"), 5, 0.5).collect()))
     assert X.Index(points.limit(0), 4).search(asked.limit(0), 3).count() == 0
+
+
+def test_a_lineage_of_more_rows_than_recursion_may_have_is_whole(spark, sf):
+    from evidentia.plans.registry import QUERIES
+
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        got = sorted(map(tuple, QUERIES["rel_recursive_lineage"](spark, sf).collect()))
+    finally:
+        spark.conf.set(key, before)
+    ids = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    want = []
+    for i in ids:
+        want.append((i, i, 0))
+        while want[-1][1] > 1:
+            want.append((i, want[-1][1] // 2, want[-1][2] + 1))
+    assert len(got) > 100 and got == sorted(want)
