@@ -549,3 +549,24 @@ def test_a_lineage_of_more_rows_than_recursion_may_have_is_whole(spark, sf):
         while want[-1][1] > 1:
             want.append((i, want[-1][1] // 2, want[-1][2] + 1))
     assert len(got) > 100 and got == sorted(want)
+
+
+def test_the_dearest_order_of_a_customer_survives_spills_and_nulls(spark, tmp_path):
+    from evidentia.plans.registry import QUERIES
+
+    def run(name, customers, orders):
+        spark.createDataFrame([(k,) for k in customers], "c_custkey long").write.parquet(str(tmp_path / name / "customer.parquet"))
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / name / "orders.parquet"))
+        return sorted(map(tuple, QUERIES["rel_lateral"](spark, str(tmp_path / name)).collect()))
+
+    many = [(k, k % 40, float(k * 7919 % 1009)) for k in range(1000)]
+    dearest = [(c, max((p, -k) for k, o, p in many if o == c)[1] * -1) for c in range(40)]
+    conf, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "50")
+    try:
+        assert run("spills", range(40), many) == dearest
+    finally:
+        conf.remove(key)
+    # ties go to the smaller key, nulls come last, customers without orders go, those named twice come twice
+    odd = [(None, 1, 5.0), (2, 1, 5.0), (1, 1, 5.0), (3, 2, None), (4, 2, -1.0), (5, 3, float("nan")), (6, 3, 9.0), (-(2**63), 4, 1.0), (2**63 - 1, 4, 1.0), (7, None, 1.0), (8, 9, 1.0)]
+    assert run("odd", [1, 1, 2, 3, 4, 5, None], odd) == [(1, 1), (1, 1), (2, 4), (3, 5), (4, -(2**63))]
